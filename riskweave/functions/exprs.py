@@ -31,7 +31,7 @@ def nan_to_null(c: str | Column) -> Column:
 
 def to_double(c: str | Column) -> Column:
     """Lenient numeric coercion (``pd.to_numeric(errors='coerce')``), NaN -> NULL."""
-    return nan_to_null(F.try_cast(F.trim(col(c).cast("string")), "double"))
+    return nan_to_null((F.trim(col(c).cast("string"))).try_cast("double"))
 
 
 def clip(c: str | Column, lo: float | None, hi: float | None) -> Column:

@@ -21,17 +21,17 @@ MONTH_YEAR_FORMAT = "MMM-yyyy"
 def parse_percent(c: str | Column) -> Column:
     """N1: '13.5%' -> 13.5; trailing '%' signs stripped; 'nan', '' and junk -> NULL."""
     s = F.regexp_replace(strip(col(c)), r"%+$", "")
-    return nan_to_null(F.try_cast(strip(s), "double"))
+    return nan_to_null((strip(s)).try_cast("double"))
 
 
 def parse_term(c: str | Column) -> Column:
     """First run of digits as double (' 36 months' -> 36.0), none -> NULL."""
-    return F.try_cast(F.regexp_extract(col(c), r"(\d+)", 1), "double")
+    return (F.regexp_extract(col(c), r"(\d+)", 1)).try_cast("double")
 
 
 def parse_month_year(c: str | Column) -> Column:
     """N3: 'Dec-2015' (month name case-insensitive) -> 2015-12-01, invalid -> NULL."""
-    return F.try_to_date(strip(col(c)), F.lit(MONTH_YEAR_FORMAT))
+    return F.try_to_date(strip(col(c)), MONTH_YEAR_FORMAT)
 
 
 def parse_emp_length(c: str | Column) -> Column:

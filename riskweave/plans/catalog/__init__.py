@@ -1,3 +1,3 @@
 """Importing this package fills ``plans.registry.QUERIES`` / ``ORACLE``."""
 
-from . import labels  # noqa: F401
+from . import labels, prep  # noqa: F401
