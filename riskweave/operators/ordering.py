@@ -92,12 +92,13 @@ def _unpivot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def _interpolate(lo: float, hi: float, frac: float) -> float:
+def interpolate(lo: float, hi: float, frac: float) -> float:
     return lo if frac == 0 or lo == hi else lo + (hi - lo) * frac
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact",
-              decimals: int | None = 6, accuracy: int = 100_000) -> dict[str, list[float | None]]:
+              decimals: int | None = 6, accuracy: int = 100_000,
+              points: bool = False) -> dict[str, list]:
     """Quantiles of several columns at once, NULL/NaN ignored.
 
     ``exact``: linear interpolation between order statistics (the definition of
@@ -106,6 +107,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     one task, unlike the ``percentile`` aggregate whose value->count map for a
     column ends up in a single task.
     ``approx``: ``percentile_approx`` with the given accuracy (one pass, no sort).
+    ``points=True`` (exact only) returns the raw ``(lower, upper, fraction)``
+    order statistics instead, so a caller can apply a monotone map (a clip)
+    before interpolating.
 
     Edges are rounded to ``decimals`` so values compare alike across engines
     (floating-point interpolation differs in the last bits).
@@ -153,7 +157,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
                 res.append(None)
                 continue
             a, b, frac = plan[(i, j)]
-            res.append(rnd(_interpolate(vals[a], vals[b], frac)))
+            res.append((vals[a], vals[b], frac) if points else rnd(interpolate(vals[a], vals[b], frac)))
         out[c] = res
     return out
 

@@ -1,3 +1,3 @@
 """Importing this package fills ``plans.registry.QUERIES`` / ``ORACLE``."""
 
-from . import labels, prep, windows  # noqa: F401
+from . import features, labels, prep, windows  # noqa: F401

@@ -35,7 +35,9 @@ LABELLED_CTES = _LABELS_SQL
 
 
 def labelled(spark, sf):
-    return L.build_fraud_labels(applications(spark, sf))
+    """Applications with L1-L5, materialised once: the label rules and every
+    later fit read it in several passes."""
+    return L.build_fraud_labels(applications(spark, sf, materialize=True)).checkpoint(eager=True)
 
 
 @register("FX_applications", with_apps(" SELECT * FROM applications"))

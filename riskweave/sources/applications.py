@@ -25,7 +25,18 @@ def _date(c: str) -> Column:
     return F.to_date(F.col(c))
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def applications(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """The view; ``materialize=True`` checkpoints it once (reliable checkpoint
+    dir) for jobs that read it in several passes (fits, then transforms)."""
+    out = _applications(spark, sf_dir)
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        out = out.checkpoint(eager=True)
+    return out
+
+
+def _applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
