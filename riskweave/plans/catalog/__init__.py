@@ -1,3 +1,3 @@
 """Importing this package fills ``plans.registry.QUERIES`` / ``ORACLE``."""
 
-from . import evaluation, features, labels, prep, windows  # noqa: F401
+from . import evaluation, features, labels, models, prep, windows  # noqa: F401
