@@ -105,9 +105,11 @@ def curve_metrics(t: DataFrame, fpr_target: float = 0.05, group_col: str | None
         tot = totals.first()
         tt = t.withColumn("P", F.lit(float(tot["P"] or 0.0))).withColumn("N", F.lit(float(tot["N"] or 0.0)))
     auc = F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.first("P") * F.first("N"))
-    ap = F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.first("P"))
-    ks = F.greatest(F.max(F.col("tp") / F.col("P") - F.col("fp") / F.col("N")), F.lit(0.0))
-    rec = F.coalesce(F.max(F.when(F.col("fp") / F.col("N") <= fpr_target, F.col("tp") / F.col("P"))), F.lit(0.0))
+    ap = F.try_divide(F.sum(F.col("pos") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))), F.first("P"))
+    tpr = F.try_divide(F.col("tp"), F.col("P"))
+    fpr = F.try_divide(F.col("fp"), F.col("N"))
+    ks = F.greatest(F.max(tpr - fpr), F.lit(0.0))
+    rec = F.coalesce(F.max(F.when(fpr <= fpr_target, tpr)), F.lit(0.0))
     both = (F.first("P") > 0) & (F.first("N") > 0)
     out = tt.groupBy(*g).agg(F.when(both, auc).alias("roc_auc"), F.when(both, ap).alias("pr_auc"),
                              F.when(both, ks).alias("ks"), F.when(both, rec).alias("recall_at_fpr"))
