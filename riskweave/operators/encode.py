@@ -63,11 +63,13 @@ class TargetModel:
 
 
 def _apply(df, table, cols, enc, suffix, fallback, max_rows):
+    # the fitted table is checkpointed: measure it once; every per-column slice is smaller
+    small = table.count() <= max_rows
     out = df
     for c in cols:
         look = table.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"),
                                                         F.col(enc).alias(f"{c}{suffix}"))
-        look = sized_broadcast(look, max_rows)
+        look = F.broadcast(look) if small else sized_broadcast(look, max_rows)
         key = F.coalesce(F.col(c).cast("string"), F.lit(NA)) if c in df.columns else F.lit(NA)
         out = (out.withColumn(f"_k_{c}", key)
                .join(look, F.col(f"_k_{c}") == F.col(f"_v_{c}"), "left")

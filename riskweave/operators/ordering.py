@@ -14,9 +14,10 @@ Positions in a total order are what the time split (P1), exact quantiles
    partitioning (range boundaries come from sampling and are not stable
    between two separate jobs); this also cuts the lineage, so a lost
    executor re-reads files instead of re-sorting,
-5. per-partition counts (one row per partition, a bounded table) give
-   offsets, joined back by broadcast: global position = offset + local
-   position.
+5. per-partition counts (one row per partition and group, a bounded table)
+   give offsets: global position = offset + local position. Wanted rows are
+   fetched by (partition, local position) filters; ``indexed`` joins the
+   offsets back by broadcast when every row needs its position.
 
 Only rows at requested positions are returned to the driver (a handful of
 values), never the data.
@@ -36,8 +37,13 @@ from ..session import ensure_checkpoint_dir, shuffle_partitions
 _POS_MASK = (1 << 33) - 1
 
 
-def _ranked(df: DataFrame, order_by: Sequence[str | Column], partitions: int | None):
-    """Range-sorted, checkpointed narrow frame with _pid/_pos, and per-partition offsets."""
+def _ranked(df: DataFrame, order_by: Sequence[str | Column], partitions: int | None,
+            group_col: str | None = None):
+    """Range-sorted, checkpointed narrow frame with _pid/_pos, and its counts.
+
+    Returns ``(ranked, counts)`` where counts maps (pid, group) -> rows; the
+    counts table has one row per partition and group (bounded), one job.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = partitions or shuffle_partitions(spark)
@@ -49,15 +55,40 @@ def _ranked(df: DataFrame, order_by: Sequence[str | Column], partitions: int | N
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)))
               .checkpoint(eager=True))
     src.unpersist()
-    # one row per partition: a bounded table, safe to collect and broadcast
-    counts = sorted((r["_pid"], r["_cnt"]) for r in
-                    ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).collect())
-    offsets, acc = [], 0
-    for pid, cnt in counts:
-        offsets.append((pid, acc))
-        acc += cnt
-    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
-    return ranged, off_df
+    keys = ["_pid"] + ([group_col] if group_col else [])
+    counts = {(r["_pid"], r[group_col] if group_col else None): r["_cnt"]
+              for r in ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt")).collect()}
+    return ranged, counts
+
+
+def _offsets(counts: dict) -> list:
+    """Per-partition start offsets in the global order, from (pid, group) counts."""
+    per_pid: dict = {}
+    for (pid, _), c in counts.items():
+        per_pid[pid] = per_pid.get(pid, 0) + c
+    out, acc = [], 0
+    for pid in sorted(per_pid):
+        out.append((pid, acc, per_pid[pid]))
+        acc += per_pid[pid]
+    return out
+
+
+def _select(ranked: DataFrame, offsets: list, positions: Iterable[int]) -> dict:
+    """Rows at the given global positions, fetched by (partition, local position) filters."""
+    by_pid: dict = {}
+    for g in sorted(set(int(p) for p in positions)):
+        for pid, start, n in offsets:
+            if start <= g < start + n:
+                by_pid.setdefault(pid, []).append(g - start)
+                break
+    if not by_pid:
+        return {}
+    cond = None
+    for pid, locs in by_pid.items():
+        c = (F.col("_pid") == pid) & F.col("_pos").isin(locs)
+        cond = c if cond is None else (cond | c)
+    start_of = {pid: start for pid, start, _ in offsets}
+    return {start_of[r["_pid"]] + r["_pos"]: r for r in ranked.where(cond).collect()}
 
 
 def indexed(df: DataFrame, order_by: Sequence[str | Column], index_col: str = "gidx",
@@ -67,7 +98,10 @@ def indexed(df: DataFrame, order_by: Sequence[str | Column], index_col: str = "g
     Ties are ordered arbitrarily; include a unique key in ``order_by`` when the
     position of tied rows matters.
     """
-    ranged, off_df = _ranked(df, order_by, partitions)
+    ranged, counts = _ranked(df, order_by, partitions)
+    offsets = [(pid, start) for pid, start, _ in _offsets(counts)]
+    off_df = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
+    # one row per partition: a bounded table
     return (ranged.join(F.broadcast(off_df), "_pid")
             .withColumn(index_col, F.col("_off") + F.col("_pos"))
             .drop("_pid", "_pos", "_off"))
@@ -75,12 +109,32 @@ def indexed(df: DataFrame, order_by: Sequence[str | Column], index_col: str = "g
 
 def rows_at(df: DataFrame, order_by: Sequence[str | Column], positions: Iterable[int],
             partitions: int | None = None) -> list:
-    """Rows at the given 0-based positions of the total order (collected; the list is small)."""
-    wanted = sorted({int(p) for p in positions})
-    if not wanted:
-        return []
-    idx = indexed(df, order_by, "_gidx", partitions)
-    return idx.where(F.col("_gidx").isin(wanted)).orderBy("_gidx").collect()
+    """Rows at the given 0-based positions of the total order (collected; the list is small).
+
+    Each row carries ``_gidx``; positions beyond the end are skipped.
+    """
+    ranked, counts = _ranked(df, order_by, partitions)
+    got = _select(ranked, _offsets(counts), positions)
+    out = []
+    for g in sorted(got):
+        d = got[g].asDict()
+        d["_gidx"] = g
+        out.append(d)
+    return out
+
+
+def ranked_positions(df: DataFrame, order_by: Sequence[str | Column], partitions: int | None = None):
+    """(total rows, fetch(positions) -> {position: row dict}) over one checkpointed sort.
+
+    Lets a caller learn the row count and then fetch cut rows without a second pass.
+    """
+    ranked, counts = _ranked(df, order_by, partitions)
+    offsets = _offsets(counts)
+    total = sum(n for _, _, n in offsets)
+
+    def fetch(positions):
+        return {g: r.asDict() for g, r in _select(ranked, offsets, positions).items()}
+    return total, fetch
 
 
 def _unpivot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -130,8 +184,10 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    ranked = indexed(long, ["f", "v"], "_gidx")
-    counts = {r["f"]: r["n"] for r in ranked.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranked, pcounts = _ranked(long, ["f", "v"], None, group_col="f")
+    counts: dict = {}
+    for (_, f), c in pcounts.items():
+        counts[f] = counts.get(f, 0) + c
     start, acc = {}, 0
     for i in range(len(cols)):
         start[i] = acc
@@ -148,7 +204,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
             wanted.update((start[i] + lo, start[i] + hi))
     if not wanted:
         return {c: [None] * len(probs) for c in cols}
-    vals = {r["_gidx"]: r["v"] for r in ranked.where(F.col("_gidx").isin(sorted(wanted))).collect()}
+    vals = {g: r["v"] for g, r in _select(ranked, _offsets(pcounts), wanted).items()}
     out = {}
     for i, c in enumerate(cols):
         res = []

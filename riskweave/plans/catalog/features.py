@@ -255,3 +255,25 @@ def gr5(spark, sf):
                   F.max("graph_component_size").alias("largest")).first()
     return spark.createDataFrame([(s["n_nodes"], s["n_edges"], int(round(c["nc"])), int(c["largest"]))],
                                  "n_nodes long, n_edges long, n_components long, largest_component long")
+
+
+@register("F10_engineered_frame")
+def f10(spark, sf):
+    """Behavioural + velocity + graph features of the labelled applications (keyed by id, no order needed)."""
+    lab = labelled(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+    eng = FB.engineer(lab, use_velocity=True, use_graph=True)
+    keep = [c for c in eng.columns if c not in lab.columns or c == "id"]
+    return rounded(eng.select(*keep))
+
+
+@register("IO6_feature_state_roundtrip")
+def io6(spark, sf):
+    """Fit the feature pipeline on train, persist it (Parquet + JSON), reload, transform the test split."""
+    from ...sources.io import scratch_path
+    lab = labelled(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+    s = P.time_split(lab)
+    model = FB.FeatureBuilder(use_graph=False).fit(s.where(F.col("split") == "train"))
+    path = scratch_path(spark, "feature-state")
+    model.save(path)
+    loaded = FB.FeatureModel.load(spark, path)
+    return rounded(loaded.transform(s.where(F.col("split") == "test")))

@@ -37,7 +37,10 @@ LABELLED_CTES = _LABELS_SQL
 def labelled(spark, sf):
     """Applications with L1-L5, materialised once: the label rules and every
     later fit read it in several passes."""
-    return L.build_fraud_labels(applications(spark, sf, materialize=True)).checkpoint(eager=True)
+    apps = applications(spark, sf).persist()
+    out = L.build_fraud_labels(apps).checkpoint(eager=True)
+    apps.unpersist()
+    return out
 
 
 @register("FX_applications", with_apps(" SELECT * FROM applications"))

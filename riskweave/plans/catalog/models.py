@@ -180,3 +180,21 @@ def s4_stream(spark, sf):
     src = scratch_path(spark, "stream-source-agg")
     a.repartition(4).write.parquet(src)
     return ST.decision_count_stream(spark, src, a.schema, table=f"decisions_{abs(hash(src)) % 10**8}")
+
+
+@register("M9_isotonic_calibration")
+def m9(spark, sf):
+    """Isotonic calibration of the label on the raw score (clipped outside the fitted range)."""
+    lab = labelled(spark, sf).select("id", "issue_d", F.col("is_fraud").alias("label"),
+                                     F.col("score").alias("meta_score"))
+    s = P.time_split(lab)
+    iso = M.fit_isotonic(s.where(F.col("split") == "val"))
+    return iso.transform(s.where(F.col("split") == "test")).select("id", "meta_score", F.col("_iso").alias("calibrated"))
+
+
+@register("M8_meta_coefficients")
+def m8_coef(spark, sf):
+    r = _trained(spark, sf)
+    coefs = r.ensemble.meta.coefficients.toArray().tolist()
+    return spark.createDataFrame([(n, float(c)) for n, c in zip(r.ensemble.names, coefs)] +
+                                 [("intercept", float(r.ensemble.meta.intercept))], "input string, coefficient double")

@@ -24,7 +24,6 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array

@@ -3,8 +3,8 @@
 * IO1 raw CSV scan: every column read as string (no inference pass), header
   names matched against an allow-list; unknown columns are ignored, missing
   ones tolerated. The CSV reader prunes columns that are not selected.
-* IO2 exact-size seeded sample: the n rows with the smallest seeded hash
-  (``orderBy(hash).limit(n)`` plans as a distributed top-k, no full sort).
+* IO2 exact-size seeded sample: the n rows with the smallest seeded hash,
+  cut at the exact rank-n boundary found by G1 order statistics.
 * IO3/IO4 scored-pairs sink and scan (Parquet by default, CSV with header
   when asked); a missing path reads as an empty frame with the schema.
 * IO5 metric reports: long-form (model, metric, value) rows, written as JSON
@@ -56,13 +56,21 @@ def write_csv(df: DataFrame, path: str) -> str:
 def seeded_sample(df: DataFrame, n: int | None, seed: int = 42, key: str = "id") -> DataFrame:
     """IO2: exactly ``min(n, rows)`` rows without replacement, reproducible for a seed.
 
-    Rows are ranked by ``xxhash64(key, seed)`` (ties by key); ``limit`` after
-    ``orderBy`` is planned as TakeOrderedAndProject: each task keeps its own n
-    best rows, only those reach the final merge.
+    Rows are ranked by ``(xxhash64(key, seed), key)``. The rank-``n`` boundary
+    comes from the G1 order statistics of that narrow pair (one range sort);
+    the sample is then a plain filter, so no task ever merges n rows from every
+    partition (as ``orderBy(..).limit(n)`` would for large n).
     """
+    from ..operators.ordering import ranked_positions
     if n is None:
         return df
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(int(n))
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    total, fetch = ranked_positions(df.select(h.alias("_h"), F.col(key).alias("_k")), ["_h", "_k"])
+    if n >= total:
+        return df
+    b = fetch([int(n) - 1])[int(n) - 1]
+    bound = F.struct(F.lit(b["_h"]).alias("_h"), F.lit(b["_k"]).alias("_k"))
+    return df.where(F.struct(h.alias("_h"), F.col(key).alias("_k")) <= bound)
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> str:

@@ -8,9 +8,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_SCANS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table. Projections and filters applied later reach the
-    Parquet reader (column pruning, pushed filters)."""
+    Parquet reader (column pruning, pushed filters).
+
+    The scan *definition* is memoised per session and path (file listing and
+    footer reads happen once); data is still read by every job that uses it.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    hit = _SCANS.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _SCANS[key] = (spark, df)
+    return df
