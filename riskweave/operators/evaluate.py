@@ -164,11 +164,14 @@ def cost_sweep(pairs: DataFrame, fn: float = COST_FN, fp: float = COST_FP, tp: f
     spark = pairs.sparkSession
     per_bucket = (pairs.groupBy(threshold_index(F.col("score")).alias("b"))
                   .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")))
-    grid = spark.range(1, N_THRESHOLDS + 1).select(F.col("id").cast("int").alias("i"))
-    # 100 x 99 rows at most: both sides are bounded by the threshold count
-    joined = F.broadcast(grid).join(F.broadcast(per_bucket), F.col("b") >= F.col("i"), "left")
-    agg = joined.groupBy("i").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"),
-                                  F.coalesce(F.sum("neg"), F.lit(0)).alias("fp"))
+    # tp(t_i) = positives with bucket >= i: a running sum from the top over the
+    # 100 buckets (a bounded table; the window runs in one small task)
+    grid = spark.range(0, N_THRESHOLDS + 1).select(F.col("id").cast("int").alias("b"))
+    from_top = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    agg = (grid.join(F.broadcast(per_bucket), "b", "left").fillna(0, subset=["pos", "neg"])
+           .select(F.col("b").alias("i"), F.sum("pos").over(from_top).alias("tp"),
+                   F.sum("neg").over(from_top).alias("fp"))
+           .where(F.col("i") >= 1))
     tot = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("P")).first()
     n, P = tot["n"], tot["P"] or 0
     c_tp, c_fp = F.col("tp").cast("long"), F.col("fp").cast("long")

@@ -113,7 +113,8 @@ def build_velocity_peers(df: DataFrame, date_col: str = "issue_d", keys: Sequenc
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df
-    long = _long(df, date_col, keys, id_col, unit)
+    # the narrow unpivoted input feeds both the day counts and the join back: compute it once
+    long = _long(df, date_col, keys, id_col, unit).persist()
     grp = _day_counts(long, windows_days, include_today=True, unit=unit)
     per = long.join(grp, ["k", "kv", "day"]).select(
         "_id", "k", *[(F.col(f"c{w}") - 1).cast("int").alias(f"v{w}") for w in windows_days])

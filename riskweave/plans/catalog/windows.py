@@ -97,12 +97,12 @@ def _vel_cols(prefix):
 
 @register("W1_velocity", _vel_all_sql(False))
 def w1(spark, sf):
-    return W.build_velocity_features(applications(spark, sf)).select("id", *_vel_cols("vel"))
+    return W.build_velocity_features(applications(spark, sf, materialize=True)).select("id", *_vel_cols("vel"))
 
 
 @register("W2_velocity_peers", _vel_all_sql(True))
 def w2(spark, sf):
-    return W.build_velocity_peers(applications(spark, sf)).select("id", *_vel_cols("velp"))
+    return W.build_velocity_peers(applications(spark, sf, materialize=True)).select("id", *_vel_cols("velp"))
 
 
 _EV_T = "epoch_us(ts)"
