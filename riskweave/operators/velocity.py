@@ -119,3 +119,55 @@ def build_velocity_peers(df: DataFrame, date_col: str = "issue_d", keys: Sequenc
     per = long.join(grp, ["k", "kv", "day"]).select(
         "_id", "k", *[(F.col(f"c{w}") - 1).cast("int").alias(f"v{w}") for w in windows_days])
     return _pivot_back(df, per, keys, windows_days, id_col, "velp")
+
+
+# ---------------------------------------------------------------- history-aware velocity
+
+def velocity_state(history: DataFrame, date_col: str = "issue_d", keys: Sequence[str] = DEFAULT_KEYS,
+                   id_col: str = "id", unit: str = "day") -> DataFrame:
+    """Stored snapshot for scoring: rows of the history per (key index, key value, day).
+
+    One partial aggregation; write it as a table (or checkpoint it) and reuse it
+    for every scoring batch instead of recomputing windows inside micro-batches.
+    """
+    keys = [k for k in keys if k in history.columns]
+    return (_long(history, date_col, keys, id_col, unit)
+            .groupBy("k", "kv", "day").agg(F.count(F.lit(1)).alias("n_day")))
+
+
+def build_velocity_with_history(batch: DataFrame, state: DataFrame, date_col: str = "issue_d",
+                                keys: Sequence[str] = DEFAULT_KEYS, windows_days: Sequence[int] = DEFAULT_WINDOWS,
+                                id_col: str = "id", unit: str = "day") -> DataFrame:
+    """Velocity of new rows against a stored history snapshot plus the batch itself.
+
+    count = #history rows with the key and day in [d - w, d]  (history arrived
+            before the batch, so same-day history rows all count)
+          + #earlier batch rows (day, id order) with the key and day >= d - w.
+
+    The history part touches only the batch's distinct (key, day) pairs: each is
+    expanded over the w + 1 days of the widest window and equi-joined with the
+    snapshot, so no range join and no per-row expansion is needed.
+    """
+    if unit != "day":
+        raise ValueError("history lookups are day-granular")
+    keys = [k for k in keys if k in batch.columns]
+    in_batch = build_velocity_features(batch, date_col, keys, windows_days, id_col, unit)
+    long = _long(batch, date_col, keys, id_col, unit)
+    wmax = max(windows_days)
+    kd = long.select("k", "kv", "day").distinct()
+    probe = kd.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(wmax)))) \
+        .withColumn("hday", F.col("day") - F.col("off"))
+    hit = probe.join(state.withColumnRenamed("day", "hday"), ["k", "kv", "hday"])
+    hist = hit.groupBy("k", "kv", "day").agg(
+        *[F.sum(F.when(F.col("off") <= w, F.col("n_day")).otherwise(0)).alias(f"h{w}") for w in windows_days])
+    per = (long.join(hist, ["k", "kv", "day"], "left")
+           .select("_id", "k", *[F.coalesce(F.col(f"h{w}"), F.lit(0)).cast("int").alias(f"v{w}")
+                                 for w in windows_days]))
+    hist_cols = _pivot_back(batch.select(id_col), per, keys, windows_days, id_col, "hvel")
+    out = in_batch.join(hist_cols, id_col, "left")
+    for key in keys:
+        for w in windows_days:
+            c = f"vel_{key}_{w}d"
+            out = out.withColumn(c, (F.col(c) + F.coalesce(F.col(f"hvel_{key}_{w}d"), F.lit(0))).cast("int")) \
+                .drop(f"hvel_{key}_{w}d")
+    return out

@@ -81,6 +81,7 @@ def _vel_sql(source: str, id_col: str, key: str, time_expr: str, scale: int, pee
 
 
 _DAY = "(CAST(issue_d AS DATE) - DATE '1970-01-01')"
+_DAYQ = "(CAST(applications.issue_d AS DATE) - DATE '1970-01-01')"
 
 
 def _vel_all_sql(peers: bool) -> str:
@@ -115,3 +116,31 @@ def w1_events(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", "ts")
     out = W.build_velocity_features(ev, "ts", ["user_id"], _WINS, id_col="event_id", unit="micros")
     return out.select("event_id", *[f"vel_user_id_{w}d" for w in _WINS])
+
+
+def _vel_hist_sql() -> str:
+    parts = []
+    for i, k in enumerate(_KEYS):
+        cols = ", ".join(
+            f"CAST(count(b.id) FILTER (WHERE b.t >= a.t - {w} AND (b.hist OR b.t < a.t OR (b.t = a.t AND b.id < a.id)))"
+            f" AS INTEGER) AS vel_{k}_{w}d" for w in _WINS)
+        parts.append(f"""k{i} AS (
+  SELECT a.id, {cols}
+  FROM (SELECT id, CAST({k} AS VARCHAR) AS kv, {_DAYQ} AS t FROM applications JOIN s USING (id)
+        WHERE s.split = 'test') a
+  LEFT JOIN (SELECT id, CAST({k} AS VARCHAR) AS kv, {_DAYQ} AS t, s.split <> 'test' AS hist
+             FROM applications JOIN s USING (id)) b
+    ON a.kv = b.kv AND b.t >= a.t - {max(_WINS)} AND b.t <= a.t AND b.id <> a.id
+  GROUP BY a.id)""")
+    cols = ", ".join(f"vel_{k}_{w}d" for k in _KEYS for w in _WINS)
+    return with_apps(_P1_SQL + ", " + ",\n".join(parts) + f"""
+SELECT id, {cols} FROM k0 JOIN k1 USING (id) JOIN k2 USING (id)""")
+
+
+@register("W1_velocity_with_history", _vel_hist_sql())
+def w1_history(spark, sf):
+    """Test-period rows scored against a stored snapshot of the train/val history (S2/S3 path)."""
+    s = P.time_split(applications(spark, sf, materialize=True))
+    state = W.velocity_state(s.where(F.col("split") != "test")).checkpoint(eager=True)
+    batch = s.where(F.col("split") == "test")
+    return W.build_velocity_with_history(batch, state).select("id", *_vel_cols("vel"))

@@ -48,11 +48,17 @@ WINSOR = (0.005, 0.995)
 
 
 def engineer(df: DataFrame, use_velocity: bool = False, use_graph: bool = True,
-             link_keys=GR.DEFAULT_LINK_KEYS) -> DataFrame:
-    """behavioural (+ velocity) (+ graph) features of the frame; rows keyed by ``id``."""
+             link_keys=GR.DEFAULT_LINK_KEYS, velocity_state: DataFrame | None = None) -> DataFrame:
+    """behavioural (+ velocity) (+ graph) features of the frame; rows keyed by ``id``.
+
+    With ``velocity_state`` (a stored history snapshot, ``velocity.velocity_state``)
+    velocity counts include the history, as a scoring batch needs; without it
+    they are computed within the frame, as the reference does.
+    """
     out = B.build_behavioral_features(df)
     if use_velocity:
-        out = W.build_velocity_features(out)
+        out = (W.build_velocity_with_history(out, velocity_state) if velocity_state is not None
+               else W.build_velocity_features(out))
     if use_graph:
         out = GR.build_graph_features(out, link_keys=link_keys)
     return out
@@ -108,9 +114,9 @@ class FeatureModel:
     link_keys: tuple = GR.DEFAULT_LINK_KEYS
     feature_names: list[str] = field(default_factory=list)
 
-    def transform(self, df: DataFrame, id_col: str = "id") -> DataFrame:
+    def transform(self, df: DataFrame, id_col: str = "id", velocity_state: DataFrame | None = None) -> DataFrame:
         """id + features (fixed order, no NULL/NaN/inf)."""
-        eng = engineer(df, self.use_velocity, self.use_graph, self.link_keys)
+        eng = engineer(df, self.use_velocity, self.use_graph, self.link_keys, velocity_state)
         out = eng.select(F.col(id_col), *[F.col(c) for c in self.low_cols + self.high_cols if c in eng.columns],
                          *numeric_block(eng, self.numeric_cols, self.bounds, self.medians))
         if self.woe is not None:

@@ -117,13 +117,15 @@ def global_importance(df: DataFrame, names, coefs, means, top: int = 20) -> Data
 # ---------------------------------------------------------------- S2
 
 def score_batch(result: TrainingResult, requests: DataFrame, scored_at: str, review: float = S.REVIEW_THRESHOLD,
-                decline: float = S.DECLINE_THRESHOLD) -> DataFrame:
+                decline: float = S.DECLINE_THRESHOLD, velocity_state: DataFrame | None = None) -> DataFrame:
     """Requests -> features -> ensemble -> decision -> reason codes -> response rows.
 
-    Velocity/graph/bucket features are computed within the batch, as the
-    reference computes them within the frame it is given.
+    Graph and bucket features are computed within the batch, as the reference
+    computes them within the frame it is given; velocity features (when the
+    feature model uses them) read the stored history snapshot if one is given.
     """
-    x = M.assemble(result.features.transform(requests), result.features.feature_names)
+    x = M.assemble(result.features.transform(requests, velocity_state=velocity_state),
+                   result.features.feature_names)
     s = result.ensemble.score(x)
     coefs = result.ensemble.meta.coefficients.toArray().tolist()
     s = reason_codes(s, result.ensemble.names, coefs, result.meta_means)

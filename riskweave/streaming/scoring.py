@@ -51,13 +51,17 @@ def decision_count_stream(spark: SparkSession, source_dir: str, schema, score_co
 
 
 def model_scoring_stream(spark: SparkSession, source_dir: str, schema, result, scored_at: str,
-                         sink_dir: str | None = None) -> str:
-    """S3: each micro-batch goes through the batch scoring job S2 (``foreachBatch``)."""
+                         sink_dir: str | None = None, velocity_state: DataFrame | None = None) -> str:
+    """S3: each micro-batch goes through the batch scoring job S2 (``foreachBatch``).
+
+    ``velocity_state`` is a stored history snapshot joined by key and day, so
+    window counts are not recomputed from scratch inside each micro-batch.
+    """
     from ..plans.training import score_batch
     sink = sink_dir or scratch_path(spark, "stream-scored")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        out = score_batch(result, batch, scored_at)
+        out = score_batch(result, batch, scored_at, velocity_state=velocity_state)
         out.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(sink)
 
     q = (stream_requests(spark, source_dir, schema).writeStream.foreachBatch(handle)

@@ -160,3 +160,13 @@ def test_psi_micro_and_identity(spark):
     assert D.psi(exp, act, "x") == pytest.approx(want, rel=1e-9)
     same = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
     assert D.psi(same, same, "x") == pytest.approx(0.0, abs=1e-12)
+
+
+def test_velocity_with_history_snapshot(spark):
+    hist = spark.createDataFrame([(1, "a", "2020-01-01"), (2, "a", "2020-01-01"), (3, "b", "2019-01-01")],
+                                 "id long, k string, d string").withColumn("d", F.to_date("d"))
+    batch = spark.createDataFrame([(10, "a", "2020-01-06"), (11, "a", "2020-01-06"), (12, "a", "2020-03-01")],
+                                  "id long, k string, d string").withColumn("d", F.to_date("d"))
+    state = W.velocity_state(hist, "d", ["k"])
+    out = W.build_velocity_with_history(batch, state, "d", ["k"], [7])
+    assert col_values(out, "vel_k_7d") == [2, 3, 0]

@@ -74,3 +74,10 @@ def test_seeded_sample_is_exact(spark):
     s2 = IO.seeded_sample(a, 100, seed=7)
     ids1 = sorted(r["id"] for r in s1.select("id").collect())
     assert len(ids1) == 100 and ids1 == sorted(r["id"] for r in s2.select("id").collect())
+
+
+def test_stream_banding_equals_batch(spark):
+    q = entry_mod.queries()
+    stream = sorted(tuple(r) for r in q["S3_streaming_banding"](spark, SF).select("id", "decision", "fraud_score").collect())
+    batch = sorted(tuple(r) for r in q["S1_decision_banding"](spark, SF).select("id", "decision", "fraud_score").collect())
+    assert stream == batch
