@@ -257,12 +257,60 @@ def gr5(spark, sf):
                                  "n_nodes long, n_edges long, n_components long, largest_component long")
 
 
-@register("F10_engineered_frame")
+def _f10_sql() -> str:
+    from .prep import _bucket_sql
+    from .windows import _DAY, _KEYS, _WINS
+    inst = "round(loan_amnt * (int_rate / 1200e0) / (1e0 - pow(1e0 + int_rate / 1200e0, -term)), 2)"
+    vel = []
+    for i, k in enumerate(_KEYS):
+        cols = ", ".join(f"CAST(count(b.id) FILTER (WHERE b.t >= a.t - {w}) AS INTEGER) AS vel_{k}_{w}d" for w in _WINS)
+        vel.append(f"""v{i} AS (
+  SELECT a.id, {cols}
+  FROM (SELECT id, CAST({k} AS VARCHAR) AS kv, {_DAY} AS t FROM applications) a
+  LEFT JOIN (SELECT id, CAST({k} AS VARCHAR) AS kv, {_DAY} AS t FROM applications) b
+    ON a.kv = b.kv AND b.t >= a.t - {max(_WINS)} AND (b.t < a.t OR (b.t = a.t AND b.id < a.id))
+  GROUP BY a.id)""")
+    graph = _G_SQL.replace(
+        "CAST(CAST(floor(loan_amnt / 100) AS INTEGER) AS VARCHAR) AS k2 FROM applications",
+        "CAST(income_bucket AS VARCHAR) AS k2 FROM applications JOIN b_income_bucket USING (id)")
+    vcols = ", ".join(f"vel_{k}_{w}d" for k in _KEYS for w in _WINS)
+    body = (_bucket_sql("annual_inc", "income_bucket") + _bucket_sql("loan_amnt", "loan_bucket") + ", "
+            + ",\n".join(vel) + graph + f"""
+SELECT a.id,
+  round(loan_amnt / nullif(annual_inc, 0), 6) AS loan_to_income,
+  round({inst} * 12 / nullif(annual_inc, 0), 6) AS installment_to_income,
+  round(revol_bal / nullif(annual_inc, 0), 6) AS revol_bal_to_income,
+  round(greatest(datediff('day', earliest_cr_line, issue_d) / 365.25e0, 0e0), 6) AS credit_history_years,
+  round(open_acc / nullif(total_acc, 0), 6) AS pct_open_acc,
+  coalesce(delinq_2yrs, 0e0) + coalesce(pub_rec, 0e0) AS n_negative_events,
+  CAST(coalesce(dti > 35, false) AS INTEGER) AS flag_high_dti,
+  CAST(coalesce(emp_length, 0e0) = 0 AS INTEGER) AS flag_no_employment,
+  bi.income_bucket, bl2.loan_bucket,
+  CAST(month(issue_d) AS INTEGER) AS app_month, CAST(quarter(issue_d) AS INTEGER) AS app_quarter,
+  CAST(year(issue_d) AS INTEGER) AS app_year,
+  CAST(length(coalesce(title, '')) AS INTEGER) AS title_len,
+  round(length(regexp_replace(coalesce(title, ''), '[^0-9]', '', 'g')) / greatest(length(coalesce(title, '')), 1), 6)
+    AS title_digit_ratio,
+  CAST(length(coalesce(emp_title, '')) AS INTEGER) AS emp_title_len,
+  round(length(regexp_replace(coalesce(emp_title, ''), '[^0-9]', '', 'g'))
+        / greatest(length(coalesce(emp_title, '')), 1), 6) AS emp_title_digit_ratio,
+  {vcols},
+  CAST(CASE WHEN cs.size IS NULL OR cs.size > 5000 THEN 1 ELSE cs.size END AS INTEGER) AS graph_component_size,
+  coalesce(deg.d, 0) AS graph_degree, CAST(CASE WHEN deg.d IS NULL THEN 1 ELSE 0 END AS INTEGER) AS graph_isolated
+FROM applications a JOIN b_income_bucket bi USING (id) JOIN b_loan_bucket bl2 USING (id)
+JOIN v0 USING (id) JOIN v1 USING (id) JOIN v2 USING (id)
+LEFT JOIN comp ON comp.node = a.id LEFT JOIN csize cs ON cs.component = comp.component
+LEFT JOIN deg ON deg.node = a.id""")
+    return with_apps(body).replace("WITH applications AS (", "WITH RECURSIVE applications AS (", 1)
+
+
+@register("F10_engineered_frame", _f10_sql())
 def f10(spark, sf):
-    """Behavioural + velocity + graph features of the labelled applications (keyed by id, no order needed)."""
-    lab = labelled(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
-    eng = FB.engineer(lab, use_velocity=True, use_graph=True)
-    keep = [c for c in eng.columns if c not in lab.columns or c == "id"]
+    """Behavioural + velocity + graph features of the applications (default link keys; keyed by id)."""
+    a = applications(spark, sf, materialize=True)
+    a = a.withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+    eng = FB.engineer(a, use_velocity=True, use_graph=True)
+    keep = [c for c in eng.columns if c not in a.columns or c == "id"]
     return rounded(eng.select(*keep))
 
 
