@@ -168,7 +168,6 @@ def f11(spark, sf):
                             to_double("grade").alias("grade_num")))
 
 
-@register("F9_feature_matrix")
 def f9(spark, sf):
     """Fit the feature pipeline on the time-split train rows, transform every row."""
     lab = labelled(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
@@ -325,3 +324,114 @@ def io6(spark, sf):
     model.save(path)
     loaded = FB.FeatureModel.load(spark, path)
     return rounded(loaded.transform(s.where(F.col("split") == "test")))
+
+
+# ---------------------------------------------------------------- F9 oracle: engineered features of any relation
+
+_DEC = "[0e0, 1e-1, 2e-1, 3e-1, 4e-1, 5e-1, 6e-1, 7e-1, 8e-1, 9e-1, 1e0]"
+
+
+def _eng_sql(src: str, p: str) -> str:
+    """CTEs computing the engineered numeric features of relation ``src`` (all names prefixed by ``p``).
+
+    Ends with CTE ``{p}eng``: id + every numeric feature of the builder (buckets, velocity-free, graph on
+    the default link keys zip_code / emp_title / income_bucket), computed within ``src``.
+    """
+    def bucket(col, out):
+        return f"""
+, {p}q_{out} AS (SELECT unnest(quantile_cont({col}, {_DEC})) AS e FROM {src} WHERE {col} IS NOT NULL),
+{p}e_{out} AS (SELECT DISTINCT round(e, 6) AS e FROM {p}q_{out}),
+{p}m_{out} AS (SELECT count(*) AS m FROM {p}e_{out}),
+{p}b_{out} AS (
+  SELECT x.id, CASE WHEN x.{col} IS NULL OR (SELECT m FROM {p}m_{out}) < 2 THEN NULL
+    ELSE CAST(least(greatest((SELECT count(*) FROM {p}e_{out} WHERE {p}e_{out}.e < x.{col}) - 1, 0),
+                    (SELECT m FROM {p}m_{out}) - 2) AS INTEGER) END AS {out}
+  FROM {src} x)"""
+    return bucket("annual_inc", "income_bucket") + bucket("loan_amnt", "loan_bucket") + f"""
+, {p}g AS (SELECT x.id, CAST(x.zip_code AS VARCHAR) AS k0, CAST(x.emp_title AS VARCHAR) AS k1,
+                  CAST(b.income_bucket AS VARCHAR) AS k2 FROM {src} x JOIN {p}b_income_bucket b USING (id)),
+{p}bl AS (SELECT id,
+         CASE WHEN count(k0) OVER (PARTITION BY k0) BETWEEN 2 AND 200 THEN k0 END AS key0,
+         CASE WHEN count(k1) OVER (PARTITION BY k1) BETWEEN 2 AND 200 THEN k1 END AS key1,
+         CASE WHEN count(k2) OVER (PARTITION BY k2) BETWEEN 2 AND 200 THEN k2 END AS key2 FROM {p}g),
+{p}pairs AS (SELECT a.id AS src, b.id AS dst FROM {p}bl a JOIN {p}bl b ON a.key0 = b.key0 AND a.id < b.id
+          UNION ALL SELECT a.id, b.id FROM {p}bl a JOIN {p}bl b ON a.key1 = b.key1 AND a.id < b.id
+          UNION ALL SELECT a.id, b.id FROM {p}bl a JOIN {p}bl b ON a.key2 = b.key2 AND a.id < b.id),
+{p}e AS (SELECT src, dst FROM {p}pairs GROUP BY src, dst HAVING count(*) >= 2),
+{p}ud AS (SELECT src AS a, dst AS b FROM {p}e UNION ALL SELECT dst, src FROM {p}e),
+{p}reach(node, lbl) AS (SELECT a, a FROM {p}ud UNION SELECT {p}ud.b, r.lbl FROM {p}reach r JOIN {p}ud ON {p}ud.a = r.node),
+{p}comp AS (SELECT node, min(lbl) AS component FROM {p}reach GROUP BY node),
+{p}csize AS (SELECT component, count(*) AS size FROM {p}comp GROUP BY component),
+{p}deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM {p}e UNION ALL SELECT dst FROM {p}e) GROUP BY node),
+{p}eng AS (
+  SELECT x.id, x.loan_amnt, x.int_rate, x.installment, x.annual_inc, x.dti, x.delinq_2yrs, x.open_acc, x.pub_rec,
+    x.revol_bal, x.revol_util, x.total_acc, x.emp_length, x.term,
+    x.loan_amnt / nullif(x.annual_inc, 0) AS loan_to_income,
+    x.installment * 12 / nullif(x.annual_inc, 0) AS installment_to_income,
+    x.revol_bal / nullif(x.annual_inc, 0) AS revol_bal_to_income,
+    greatest(datediff('day', x.earliest_cr_line, x.issue_d) / 365.25e0, 0e0) AS credit_history_years,
+    x.open_acc / nullif(x.total_acc, 0) AS pct_open_acc,
+    coalesce(x.delinq_2yrs, 0e0) + coalesce(x.pub_rec, 0e0) AS n_negative_events,
+    CAST(coalesce(x.dti > 35, false) AS DOUBLE) AS flag_high_dti,
+    CAST(coalesce(x.emp_length, 0e0) = 0 AS DOUBLE) AS flag_no_employment,
+    CAST(month(x.issue_d) AS DOUBLE) AS app_month, CAST(quarter(x.issue_d) AS DOUBLE) AS app_quarter,
+    CAST(year(x.issue_d) AS DOUBLE) AS app_year,
+    CAST(length(coalesce(x.title, '')) AS DOUBLE) AS title_len,
+    length(regexp_replace(coalesce(x.title, ''), '[^0-9]', '', 'g')) / greatest(length(coalesce(x.title, '')), 1)
+      AS title_digit_ratio,
+    CAST(length(coalesce(x.emp_title, '')) AS DOUBLE) AS emp_title_len,
+    length(regexp_replace(coalesce(x.emp_title, ''), '[^0-9]', '', 'g')) / greatest(length(coalesce(x.emp_title, '')), 1)
+      AS emp_title_digit_ratio,
+    CAST(CASE WHEN cs.size IS NULL OR cs.size > 5000 THEN 1 ELSE cs.size END AS DOUBLE) AS graph_component_size,
+    CAST(coalesce(dg.d, 0) AS DOUBLE) AS graph_degree, CAST(CASE WHEN dg.d IS NULL THEN 1 ELSE 0 END AS DOUBLE)
+      AS graph_isolated
+  FROM {src} x LEFT JOIN {p}comp cp ON cp.node = x.id LEFT JOIN {p}csize cs ON cs.component = cp.component
+  LEFT JOIN {p}deg dg ON dg.node = x.id)
+"""
+
+
+_F9_NUM = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "delinq_2yrs", "open_acc", "pub_rec",
+           "revol_bal", "revol_util", "total_acc", "emp_length", "term", "loan_to_income", "installment_to_income",
+           "revol_bal_to_income", "credit_history_years", "pct_open_acc", "n_negative_events", "flag_high_dti",
+           "flag_no_employment", "app_month", "app_quarter", "app_year", "title_len", "title_digit_ratio",
+           "emp_title_len", "emp_title_digit_ratio", "graph_component_size", "graph_degree", "graph_isolated"]
+
+
+def _f9_sql() -> str:
+    inst = "round(loan_amnt * (int_rate / 1200e0) / (1e0 - pow(1e0 + int_rate / 1200e0, -term)), 2)"
+    cols = ", ".join(_F9_NUM)
+    head = LABELLED_CTES + _P1_SQL + f"""
+, lab2 AS (SELECT *, {inst} AS installment FROM labelled),
+trn AS (SELECT l.* FROM lab2 l JOIN s USING (id) WHERE s.split = 'train')
+"""
+    fit = f"""
+, tl AS (SELECT feature, x FROM (SELECT {cols} FROM t_eng) UNPIVOT (x FOR feature IN ({cols}))),
+bnd AS (SELECT feature, round(quantile_cont(x, 5e-3), 6) AS lo, round(quantile_cont(x, 995e-3), 6) AS hi
+        FROM tl GROUP BY feature),
+med AS (SELECT feature, round(quantile_cont(CASE WHEN x < lo THEN lo WHEN x > hi THEN hi ELSE x END, 5e-1), 6)
+          AS median FROM tl JOIN bnd USING (feature) GROUP BY feature)
+"""
+    def num(c):
+        lo = f"(SELECT lo FROM bnd WHERE feature = '{c}')"
+        hi = f"(SELECT hi FROM bnd WHERE feature = '{c}')"
+        med = f"(SELECT median FROM med WHERE feature = '{c}')"
+        x = f"ae.{c}"
+        return (f"round(coalesce(coalesce(CASE WHEN {x} < {lo} THEN {lo} WHEN {x} > {hi} THEN {hi} ELSE {x} END, "
+                f"{med}), 0e0), 6) AS {c}")
+    woe_cols = ["grade", "home_ownership", "purpose", "addr_state"]
+    te_cols = ["emp_title", "zip_code"]
+    enc = ", ".join(
+        [f"round(coalesce((SELECT woe FROM wt WHERE \"column\" = '{c}' AND value = coalesce(CAST(l.{c} AS VARCHAR), "
+         f"'__NA__')), 0e0), 6) AS {c}_woe" for c in woe_cols] +
+        [f"round(coalesce((SELECT te FROM te WHERE \"column\" = '{c}' AND value = coalesce(CAST(l.{c} AS VARCHAR), "
+         f"'__NA__')), (SELECT m FROM gm)), 6) AS {c}_te" for c in te_cols])
+    body = (head + _eng_sql("trn", "t_") + _eng_sql("lab2", "a_") + fit + _woe_sql(woe_cols, "trn")
+            + _te_sql(te_cols, "trn") + f"""
+SELECT ae.id, {", ".join(num(c) for c in _F9_NUM)}, {enc}
+FROM a_eng ae JOIN lab2 l USING (id)""")
+    return with_apps(body).replace("WITH applications AS (", "WITH RECURSIVE applications AS (", 1)
+
+
+ORACLE_F9 = _f9_sql()
+
+register("F9_feature_matrix", ORACLE_F9)(f9)
