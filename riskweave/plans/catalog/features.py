@@ -313,7 +313,6 @@ def f10(spark, sf):
     return rounded(eng.select(*keep))
 
 
-@register("IO6_feature_state_roundtrip")
 def io6(spark, sf):
     """Fit the feature pipeline on train, persist it (Parquet + JSON), reload, transform the test split."""
     from ...sources.io import scratch_path
@@ -397,9 +396,10 @@ _F9_NUM = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "delinq_
            "emp_title_len", "emp_title_digit_ratio", "graph_component_size", "graph_degree", "graph_isolated"]
 
 
-def _f9_sql() -> str:
+def _f9_sql(graph: bool = True, only_split: str | None = None) -> str:
+    num_cols = _F9_NUM if graph else [c for c in _F9_NUM if not c.startswith("graph_")]
     inst = "round(loan_amnt * (int_rate / 1200e0) / (1e0 - pow(1e0 + int_rate / 1200e0, -term)), 2)"
-    cols = ", ".join(_F9_NUM)
+    cols = ", ".join(num_cols)
     head = LABELLED_CTES + _P1_SQL + f"""
 , lab2 AS (SELECT *, {inst} AS installment FROM labelled),
 trn AS (SELECT l.* FROM lab2 l JOIN s USING (id) WHERE s.split = 'train')
@@ -427,11 +427,12 @@ med AS (SELECT feature, round(quantile_cont(CASE WHEN x < lo THEN lo WHEN x > hi
          f"'__NA__')), (SELECT m FROM gm)), 6) AS {c}_te" for c in te_cols])
     body = (head + _eng_sql("trn", "t_") + _eng_sql("lab2", "a_") + fit + _woe_sql(woe_cols, "trn")
             + _te_sql(te_cols, "trn") + f"""
-SELECT ae.id, {", ".join(num(c) for c in _F9_NUM)}, {enc}
-FROM a_eng ae JOIN lab2 l USING (id)""")
+SELECT ae.id, {", ".join(num(c) for c in num_cols)}, {enc}
+FROM a_eng ae JOIN lab2 l USING (id)""" + (f" JOIN s USING (id) WHERE s.split = '{only_split}'" if only_split else ""))
     return with_apps(body).replace("WITH applications AS (", "WITH RECURSIVE applications AS (", 1)
 
 
 ORACLE_F9 = _f9_sql()
 
 register("F9_feature_matrix", ORACLE_F9)(f9)
+register("IO6_feature_state_roundtrip", _f9_sql(graph=False, only_split="test"))(io6)
