@@ -81,3 +81,14 @@ def test_stream_banding_equals_batch(spark):
     stream = sorted(tuple(r) for r in q["S3_streaming_banding"](spark, SF).select("id", "decision", "fraud_score").collect())
     batch = sorted(tuple(r) for r in q["S1_decision_banding"](spark, SF).select("id", "decision", "fraud_score").collect())
     assert stream == batch
+
+
+def test_velocity_w1_never_exceeds_peer_inclusive_w2(spark):
+    q = entry_mod.queries()
+    w1 = {r["id"]: r for r in q["W1_velocity"](spark, SF).collect()}
+    w2 = {r["id"]: r for r in q["W2_velocity_peers"](spark, SF).collect()}
+    assert w1.keys() == w2.keys()
+    for i, r in w1.items():
+        for c in r.asDict():
+            if c.startswith("vel_"):
+                assert r[c] <= w2[i]["velp_" + c[len("vel_"):]]
