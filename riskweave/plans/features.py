@@ -26,7 +26,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, to_double
+from pyspark.sql.types import NumericType
+
+from ..functions.exprs import clip, nan_to_null, to_double
 from ..session import ensure_checkpoint_dir
 from ..operators import behavior as B
 from ..operators import encode as E
@@ -81,11 +83,20 @@ def winsor_and_medians(df: DataFrame, cols: list[str], q=WINSOR):
     return bounds, medians
 
 
+def as_double(df: DataFrame, c: str):
+    """F11 coercion: numeric columns are cast (NaN -> NULL); only text goes through parsing."""
+    if c not in df.columns:
+        return F.lit(None).cast("double")
+    if isinstance(df.schema[c].dataType, NumericType):
+        return nan_to_null(F.col(c).cast("double"))
+    return to_double(c)
+
+
 def numeric_block(df: DataFrame, cols, bounds, medians) -> list:
     """F11 + F6 + F7 column expressions: coerce, clip, impute."""
     out = []
     for c in cols:
-        x = to_double(c) if c in df.columns else F.lit(None).cast("double")
+        x = as_double(df, c)
         lo, hi = bounds.get(c, (None, None))
         if lo is not None and hi is not None:
             x = clip(x, lo, hi)
@@ -173,7 +184,7 @@ class FeatureBuilder:
         numeric = [c for c in NUMERIC_BASE + NUMERIC_DERIVED if c in eng.columns]
         low = [c for c in CATEGORICAL_LOW if c in eng.columns]
         high = [c for c in CATEGORICAL_HIGH if c in eng.columns]
-        coerced = eng.select(*[to_double(c).alias(c) for c in numeric])
+        coerced = eng.select(*[as_double(eng, c).alias(c) for c in numeric])
         bounds, medians = winsor_and_medians(coerced, numeric, self.winsorize_quantiles)
         imputed = coerced.select(*numeric_block(coerced, numeric, bounds, medians))
         # F8: mean and population std of the imputed matrix, one aggregate
