@@ -150,16 +150,92 @@ def interpolate(lo: float, hi: float, frac: float) -> float:
     return lo if frac == 0 or lo == hi else lo + (hi - lo) * frac
 
 
+def _order_stats_refine(long: DataFrame, wanted: dict, counts: dict, buckets: int = 1024,
+                        collect_limit: int = 4096, max_passes: int = 12) -> dict:
+    """Exact order statistics of ``long`` (f, v) by bucket refinement, without sorting the data.
+
+    ``wanted`` maps feature -> set of 0-based ranks. Per target the state is an
+    interval [lo, hi] of actual values plus the number of values below lo. Each
+    pass is ONE partial aggregation of (interval, bucket) -> count/min/max
+    against a broadcast table of the open intervals (bounded by the number of
+    targets); the target's bucket becomes its next interval (its true min/max,
+    so no floating-point edge can lose a value). Intervals with equal ends are
+    solved; intervals with at most ``collect_limit`` values are collected.
+    Returns {(feature, rank): value}; targets still open after ``max_passes``
+    are returned as missing (the caller falls back to the sort).
+    """
+    spark = long.sparkSession
+    ext = {r["f"]: (r["lo"], r["hi"]) for r in
+           long.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    state = {(f, k): (ext[f][0], ext[f][1], 0, counts[f]) for f, ks in wanted.items() for k in ks if f in ext}
+    done: dict = {}
+    for _ in range(max_passes + 1):
+        for t, (lo, hi, _below, _n) in list(state.items()):
+            if lo == hi:
+                done[t] = lo
+                del state[t]
+        if not state:
+            break
+        small = {t: st for t, st in state.items() if st[3] <= collect_limit}
+        big = {t: st for t, st in state.items() if st[3] > collect_limit}
+        if not big or _ == max_passes:
+            break
+        ivs = sorted({(t[0], st[0], st[1]) for t, st in big.items()})
+        iv_id = {iv: j for j, iv in enumerate(ivs)}
+        iv_df = spark.createDataFrame([(f, j, float(lo), float(hi)) for (f, lo, hi), j in iv_id.items()],
+                                      "f int, j int, lo double, hi double")
+        width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
+        b = F.least(F.floor((F.col("v") - F.col("lo")) / width).cast("int"), F.lit(buckets - 1))
+        rows = (long.join(F.broadcast(iv_df), "f")          # one row per open interval of the feature
+                .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+                .groupBy("j", b.alias("b"))
+                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+                .collect())
+        per_iv: dict = {}
+        for r in rows:
+            per_iv.setdefault(r["j"], []).append((r["b"], r["c"], r["mn"], r["mx"]))
+        for t, (lo, hi, below, _n) in big.items():
+            k = t[1]
+            acc = below
+            for _b, c, mn, mx in sorted(per_iv.get(iv_id[(t[0], lo, hi)], [])):
+                if acc + c > k:
+                    state[t] = (mn, mx, acc, c)
+                    break
+                acc += c
+        state.update(small)
+    # collect the remaining small intervals (each holds at most collect_limit values)
+    small = {t: st for t, st in state.items() if st[3] <= collect_limit}
+    if small:
+        ivs = sorted({(t[0], st[0], st[1]) for t, st in small.items()})
+        iv_id = {iv: j for j, iv in enumerate(ivs)}
+        iv_df = spark.createDataFrame([(f, j, float(lo), float(hi)) for (f, lo, hi), j in iv_id.items()],
+                                      "f int, j int, lo double, hi double")
+        got: dict = {}
+        for r in (long.join(F.broadcast(iv_df), "f")
+                  .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+                  .select("j", "v").collect()):
+            got.setdefault(r["j"], []).append(r["v"])
+        for t, (lo, hi, below, _n) in small.items():
+            vals = sorted(got.get(iv_id[(t[0], lo, hi)], []))
+            i = t[1] - below
+            if 0 <= i < len(vals):
+                done[t] = vals[i]
+    return done
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact",
               decimals: int | None = 6, accuracy: int = 100_000,
               points: bool = False) -> dict[str, list]:
     """Quantiles of several columns at once, NULL/NaN ignored.
 
     ``exact``: linear interpolation between order statistics (the definition of
-    pandas/numpy ``quantile`` and SQL ``percentile_cont``), computed with one
-    range sort of the unpivoted (feature, value) pairs. No group is ever held by
-    one task, unlike the ``percentile`` aggregate whose value->count map for a
-    column ends up in a single task.
+    pandas/numpy ``quantile`` and SQL ``percentile_cont``). The order statistics
+    come from bucket refinement (``_order_stats_refine``): a few partial
+    aggregations over the unpivoted (feature, value) pairs, no sort and no
+    shuffle of the values. No group is ever held by one task, unlike the
+    ``percentile`` aggregate whose value->count map for a column ends up in a
+    single task.
+    ``sort``: the same order statistics from one range sort (G1).
     ``approx``: ``percentile_approx`` with the given accuracy (one pass, no sort).
     ``points=True`` (exact only) returns the raw ``(lower, upper, fraction)``
     order statistics instead, so a caller can apply a monotone map (a clip)
@@ -181,13 +257,17 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
         rows = (long.groupBy("f").agg(F.percentile_approx("v", probs, accuracy).alias("q")).collect())
         got = {r["f"]: [rnd(x) for x in r["q"]] for r in rows}
         return {c: got.get(i, [None] * len(probs)) for i, c in enumerate(cols)}
-    if method != "exact":
+    if method not in ("exact", "sort"):
         raise ValueError(f"unknown quantile method {method!r}")
 
-    ranked, pcounts = _ranked(long, ["f", "v"], None, group_col="f")
-    counts: dict = {}
-    for (_, f), c in pcounts.items():
-        counts[f] = counts.get(f, 0) + c
+    if method == "exact":
+        src = long.persist(StorageLevel.MEMORY_AND_DISK)     # read once per refinement pass
+        counts = {r["f"]: r["n"] for r in src.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    else:
+        ranked, pcounts = _ranked(long, ["f", "v"], None, group_col="f")
+        counts = {}
+        for (_, f), c in pcounts.items():
+            counts[f] = counts.get(f, 0) + c
     start, acc = {}, 0
     for i in range(len(cols)):
         start[i] = acc
@@ -203,8 +283,26 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
             plan[(i, j)] = (start[i] + lo, start[i] + hi, h - lo)
             wanted.update((start[i] + lo, start[i] + hi))
     if not wanted:
+        if method == "exact":
+            src.unpersist()
         return {c: [None] * len(probs) for c in cols}
-    vals = {g: r["v"] for g, r in _select(ranked, _offsets(pcounts), wanted).items()}
+    if method == "exact":
+        # global positions -> (feature, rank within feature)
+        by_f: dict = {}
+        for g in wanted:
+            f = max(i for i in range(len(cols)) if start[i] <= g and counts.get(i, 0) > 0 and g < start[i] + counts[i])
+            by_f.setdefault(f, set()).add(g - start[f])
+        found = _order_stats_refine(src, by_f, counts)
+        missing = {(f, k) for f, ks in by_f.items() for k in ks if (f, k) not in found}
+        if missing:     # pathological clustering: finish those ranks with the sort
+            ranked, pcounts = _ranked(src, ["f", "v"], None, group_col="f")
+            extra = _select(ranked, _offsets(pcounts), [start[f] + k for f, k in missing])
+            for g, r in extra.items():
+                found[(r["f"], g - start[r["f"]])] = r["v"]
+        src.unpersist()
+        vals = {start[f] + k: v for (f, k), v in found.items()}
+    else:
+        vals = {g: r["v"] for g, r in _select(ranked, _offsets(pcounts), wanted).items()}
     out = {}
     for i, c in enumerate(cols):
         res = []

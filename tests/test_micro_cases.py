@@ -170,3 +170,18 @@ def test_velocity_with_history_snapshot(spark):
     state = W.velocity_state(hist, "d", ["k"])
     out = W.build_velocity_with_history(batch, state, "d", ["k"], [7])
     assert col_values(out, "vel_k_7d") == [2, 3, 0]
+
+
+def test_refinement_order_statistics_many_passes(spark):
+    rng = np.random.default_rng(7)
+    # heavy tail, many repeats and a constant block: refinement must stay exact
+    x = np.concatenate([rng.lognormal(0, 2, 3000), np.full(500, 3.25), rng.integers(0, 5, 1000).astype(float)])
+    df = spark.createDataFrame([(0, float(v)) for v in x], "f int, v double")
+    ranks = [0, 1, 17, 999, 2500, 3499, 3500, 4498, 4499]
+    got = G._order_stats_refine(df, {0: set(ranks)}, {0: len(x)}, buckets=8, collect_limit=16, max_passes=40)
+    srt = np.sort(x)
+    assert {k: got[(0, k)] for k in ranks} == {k: float(srt[k]) for k in ranks}
+    probs = [0.0, 0.005, 0.1, 0.5, 0.995, 1.0]
+    df2 = spark.createDataFrame([(float(v),) for v in x], "x double")
+    assert G.quantiles(df2, ["x"], probs)["x"] == [round(float(v), 6) for v in np.quantile(x, probs)]
+    assert G.quantiles(df2, ["x"], probs, method="sort")["x"] == G.quantiles(df2, ["x"], probs)["x"]
