@@ -1,7 +1,7 @@
-"""G1: exact global order statistics without a one-partition window.
+"""G1: exact global order statistics without a one-partition window, and exact quantiles.
 
-Positions in a total order are what the time split (P1), exact quantiles
-(L2, B5, F6, F7, D1, M6, S8) and top-k shares need. A ``Window`` without
+Positions in a total order are what the time split (P1), stratified splits,
+top-k shares and within-group ranks need. A ``Window`` without
 ``partitionBy`` would pull every row into one task, so instead:
 
 1. project the *narrow* columns that define the order (never whole rows),
@@ -21,6 +21,10 @@ Positions in a total order are what the time split (P1), exact quantiles
 
 Only rows at requested positions are returned to the driver (a handful of
 values), never the data.
+
+Quantiles (L2, B5, F6, F7, D1, M6, S8) need only values at given ranks, not
+positions of every row: ``quantiles`` finds them by bucket refinement
+(partial aggregations, no sort of the values), with the sort as a fallback.
 """
 
 from __future__ import annotations
