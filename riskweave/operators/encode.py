@@ -105,3 +105,32 @@ def fit_target(df: DataFrame, cols: Sequence[str], y: str, smoothing: float = 20
     te = (F.col("n_pos") + F.lit(gm * smoothing)) / (F.col("n") + F.lit(smoothing))
     table = st.select("column", "value", te.alias("te")).checkpoint(eager=True)
     return TargetModel(cols, table, gm)
+
+
+def fit_encoders(df: DataFrame, woe_cols: Sequence[str], te_cols: Sequence[str], y: str,
+                 woe_smoothing: float = 0.5, te_smoothing: float = 20.0) -> tuple[WoEModel | None, TargetModel | None]:
+    """F1 + F4 from one pass: class totals and the (column, value) statistics of all
+    encoded columns come from a single aggregation each; both lookups derive from them."""
+    woe_cols = [c for c in woe_cols if c in df.columns]
+    te_cols = [c for c in te_cols if c in df.columns]
+    if not woe_cols and not te_cols:
+        return None, None
+    ensure_checkpoint_dir(df.sparkSession)
+    tot = df.agg(F.sum(F.col(y).cast("double")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    pos, n = (tot["b"] or 0.0), tot["n"]
+    st = category_stats(df, woe_cols + te_cols, y).checkpoint(eager=True)
+    woe = te = None
+    if woe_cols:
+        bad_total, good_total = pos + woe_smoothing, (n - pos) + woe_smoothing
+        bad = F.col("n_pos") + F.lit(woe_smoothing)
+        good = F.col("n") - F.col("n_pos") + F.lit(woe_smoothing)
+        w = F.log((good / F.lit(good_total)) / (bad / F.lit(bad_total)))
+        table = st.where(F.col("column").isin(woe_cols)).select(
+            "column", "value", w.alias("woe"), ((good / F.lit(good_total) - bad / F.lit(bad_total)) * w).alias("iv_part"))
+        iv = table.groupBy("column").agg(F.sum("iv_part").alias("iv"))
+        woe = WoEModel(woe_cols, table.select("column", "value", "woe"), iv)
+    if te_cols:
+        gm = pos / n if n else 0.0
+        t = (F.col("n_pos") + F.lit(gm * te_smoothing)) / (F.col("n") + F.lit(te_smoothing))
+        te = TargetModel(te_cols, st.where(F.col("column").isin(te_cols)).select("column", "value", t.alias("te")), gm)
+    return woe, te

@@ -7,7 +7,7 @@ on the training frame, then fits, with as few passes as possible:
   exact order-statistics sort of all numeric columns (clip is monotone, so
   the clipped median is the interpolation of clipped order statistics);
 * F8 mean / population std of the imputed columns: one aggregate;
-* F1/F4 encoders: one grouped aggregation each.
+* F1/F4 encoders: one grouped aggregation for both.
 
 ``FeatureModel.transform(df)`` re-engineers the given frame (window, graph and
 bucket features are computed within the frame, as the reference does), clips,
@@ -192,8 +192,7 @@ class FeatureBuilder:
                           *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
         scaler = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in numeric}
         labelled = eng.select(*low, *high, F.col(y))
-        woe = E.fit_woe(labelled, low, y) if low else None
-        te = E.fit_target(labelled, high, y) if high else None
+        woe, te = E.fit_encoders(labelled, low, high, y)   # one aggregation for both encoders
         names = numeric + [f"{c}_woe" for c in low] + [f"{c}_te" for c in high]
         return FeatureModel(numeric, low, high, bounds, medians, scaler, woe, te, self.use_velocity,
                             self.use_graph, self.link_keys, names)
