@@ -32,6 +32,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .ordering import indexed
 
 # Default keys and windows (days).
@@ -114,7 +115,9 @@ def build_velocity_peers(df: DataFrame, date_col: str = "issue_d", keys: Sequenc
     if not keys:
         return df
     # the narrow unpivoted input feeds both the day counts and the join back: compute it once
-    long = _long(df, date_col, keys, id_col, unit).persist()
+    # (a reliable checkpoint: nothing stays cached, a lost executor re-reads files)
+    ensure_checkpoint_dir(df.sparkSession)
+    long = _long(df, date_col, keys, id_col, unit).checkpoint(eager=True)
     grp = _day_counts(long, windows_days, include_today=True, unit=unit)
     per = long.join(grp, ["k", "kv", "day"]).select(
         "_id", "k", *[(F.col(f"c{w}") - 1).cast("int").alias(f"v{w}") for w in windows_days])
