@@ -36,7 +36,7 @@ DOCS_PER_LANG, WINDOWS, WINDOW_WORDS = 500, 6000, 32
 MAX_LANGS = 200
 EPOCHS, RATE, DECAY = 30, 0.15, 1e-4
 #: Texts are scored in groups of about this many characters; words remembered between groups.
-GROUP_CHARS, REMEMBERED = 1_000_000, 300_000
+GROUP_CHARS, REMEMBERED = 1_000_000, 500_000
 _LETTERS = r"\p{L}+"
 
 

@@ -49,10 +49,10 @@ class NbSvm:
 
 
 class NGrams:
-    """Sorted distinct hashed n-grams of a text."""
+    """Distinct hashed n-grams of a text."""
 
     def __init__(self):
-        self.flags = np.zeros(WIDTH, bool)
+        self.place = np.zeros(WIDTH, np.int64)
         self.known: dict[str, int] = {}
         self.runs = re.compile(r"(a+|0+|(.)\2+)", re.S)
 
@@ -62,37 +62,40 @@ class NGrams:
         shape = self.runs.sub(lambda m: m.group(0)[:1] + ("+" if len(m.group(0)) > 1 else ""), shape)
         return (zlib.crc32(shape.encode("utf-8", "replace")) & 0xFFFFFF) | (zlib.crc32(t.encode("utf-8", "replace")) << 24)
 
-    def _mark(self, parts: list[np.ndarray], salt: int) -> None:
+    @staticmethod
+    def _hashes(parts: list[np.ndarray], salt: int) -> np.ndarray:
         n = min(len(p) for p in parts)
-        h = np.full(n, salt * 2654435761 % (1 << 32), np.uint64)
+        h = np.full(n, salt * 2654435761, np.uint64)
         for p in parts:
-            h = (h ^ p[:n]) * np.uint64(0x9E3779B97F4A7C15 & ((1 << 40) - 1) | 1)
+            h ^= p[:n]
+            h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        self.flags[(h % np.uint64(WIDTH)).astype(np.int64)] = True
+        return (h & np.uint64(WIDTH - 1)).astype(np.int64)
 
     def __call__(self, text: str) -> np.ndarray:
         b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint64)
+        found = [np.zeros(0, np.int64)]
         with np.errstate(over="ignore"):
-            for k in BYTE_ORDERS:
-                if len(b) >= k:
-                    self._mark([b[i:] for i in range(k)], k)
+            found += [self._hashes([b[i:] for i in range(k)], k) for k in BYTE_ORDERS if len(b) >= k]
             tokens = text.split()
             if tokens:
                 known = self.known
                 if len(known) > REMEMBERED:
                     known.clear()
-                for t in set(tokens).difference(known):
-                    known[t] = self._token(t)
-                v = np.array([known[t] for t in tokens], np.uint64)
-                shape, same = v & np.uint64(0xFFFFFF), np.zeros(len(v), np.uint64)
-                same[1:] = v[1:] == v[:-1]
-                s = shape * np.uint64(2) + same
-                for k in SHAPE_ORDERS:
-                    if len(s) >= k:
-                        self._mark([s[i:] for i in range(k)], 100 + k)
-        found = np.flatnonzero(self.flags)
-        self.flags[found] = False
-        return found
+                v = [*map(known.get, tokens)]
+                if None in v:
+                    for i, x in enumerate(v):
+                        if x is None:
+                            v[i] = known[tokens[i]] = self._token(tokens[i])
+                v = np.array(v, np.uint64)
+                s = (v & np.uint64(0xFFFFFF)) * np.uint64(2)
+                s[1:] += v[1:] == v[:-1]
+                found += [self._hashes([s[i:] for i in range(k)], 100 + k) for k in SHAPE_ORDERS if len(s) >= k]
+        # keeps the last occurrence of each hash, without sorting
+        h = np.concatenate(found)
+        at = np.arange(len(h))
+        self.place[h] = at
+        return h[self.place[h] == at]
 
 
 def count_classes(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:

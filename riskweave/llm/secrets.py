@@ -17,6 +17,8 @@ ordered once, so a text with very many parts costs n log n and no pair is listed
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ _NAMES = "|".join([*(_any_case(x) for x in ("password", "passwd", "secret", "tok
 _ACCOUNTS = "|".join(f"{_any_case(x)}" for x in (
     "username", "user", "login", "account", "client_id", "access_key_id"))
 
+#: Plain strings one of which every match of the kind holds, lower-cased: a text without them is not searched.
+MARKS = {
+    "assign": ("passw", "secret", "token", "api"), "access": ("akia",), "hex": (),
+    "ident": ("user", "login", "account", "client_id", "access_key_id"), "opaque": (), "endpoint": ("://",),
+}
 #: Kinds in report order. Pattern, then what a match must also satisfy.
 PATTERNS = {
     "assign": f"(?:{_NAMES}){_BIND}{_VALUE}+",
@@ -70,6 +77,9 @@ def _found(text: Column, kind: str, worth: Column | None = None) -> Column:
     """
     pattern = PATTERNS[kind]
     hit = text.rlike(pattern)
+    if MARKS[kind]:
+        marks = [F.contains(F.col("_lower"), F.lit(m)) for m in MARKS[kind]]
+        hit = reduce(lambda x, y: x | y, marks) & hit
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p).cast("long"))
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     lens = F.zip_with(matches, gaps, lambda m, g: F.struct(
@@ -93,7 +103,7 @@ def find_parts(docs: DataFrame, text: Column) -> DataFrame:
     Opaque tokens are looked for only where an identifier or endpoint could
     complement them; where there is none they could never be reported.
     """
-    found = docs.withColumns({f"_{k}": _found(text, k) for k in ("assign", "access", "hex", "ident", "endpoint")})
+    found = docs.withColumn("_lower", F.lower(text)).withColumns({f"_{k}": _found(text, k) for k in ("assign", "access", "hex", "ident", "endpoint")})
     anchored = (F.size("_ident") > 0) | (F.size("_endpoint") > 0) | (F.size("_access") > 0)
     found = found.withColumn("_opaque", _found(text, "opaque", anchored))
     return found.withColumns({
@@ -139,7 +149,7 @@ def _listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame, scope: int = SCOPE, keep: list[str] | None = None) -> DataFrame:
     """Adds ``spans`` (sorted array of start, rank, end) and ``base`` (the same, base kinds only) to the
-    columns ``keep`` of ``docs`` (all by default). ``docs`` is read twice and must give the same rows both times.
+    columns ``keep`` of ``docs`` (all by default).
 
     Null text counts as empty and has no spans. Equal texts are linked once, so
     groups of copies cost one text. Rows are neither dropped nor merged; columns
@@ -147,18 +157,19 @@ def scan(docs: DataFrame, scope: int = SCOPE, keep: list[str] | None = None) ->
     """
     keep = docs.columns if keep is None else keep
     keep = [c for c in keep if c not in ("spans", "base")]
-    found = find_parts(docs, text_or_empty()).withColumn("_key", F.sha2(text_or_empty(), 256))
-    parts = scratch(found.where(F.size("_weak") > 0).groupBy("_key").agg(
-        F.first("_base").alias("_base"), F.first("_weak").alias("_weak"), F.count(F.lit(1)).alias("_n")), "secret-parts")
-    exploded = parts.select(F.col("_key").alias("key"), F.explode(F.concat("_base", "_weak")).alias("p")) \
-        .select("key", "p.start", "p.rank", "p.end")
-    linked = link_weak(exploded, scope).groupBy("key").agg(
-        F.collect_list(F.struct("start", "rank", "end")).alias("_linked"))
-    linked = scratch(parts.select("_key", "_n").join(linked.withColumnRenamed("key", "_key"), "_key"), "secret-links")
-    narrow = found.select(*keep, "_base", F.when(F.size("_weak") > 0, F.col("_key")).alias("_key"))
-    plain = narrow.where("_key IS NULL").select(*keep, F.col("_base").alias("base"), F.col("_base").alias("spans"))
-    total = linked.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    weak = attach(narrow.where("_key IS NOT NULL"), linked, "_key", "_n", total).select(
+    found = find_parts(docs, text_or_empty())
+    found = scratch(found.select(*keep, "_base", "_weak", F.when(F.size("_weak") > 0, F.sha2(text_or_empty(), 256))
+                                 .alias("_key")), "secret-parts")
+    plain = found.where("_key IS NULL").select(*keep, F.col("_base").alias("base"), F.col("_base").alias("spans"))
+    parts = found.where("_key IS NOT NULL").groupBy("_key").agg(
+        F.first("_base").alias("_base"), F.first("_weak").alias("_weak"))
+    linked = link_weak(parts.select(F.col("_key").alias("key"), F.explode(F.concat("_base", "_weak")).alias("p"))
+                       .select("key", "p.start", "p.rank", "p.end"), scope)
+    per_text = linked.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "rank", "end")).alias("_linked"))
+    sizes = found.where("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    per_text = scratch(per_text.join(sizes, "_key"), "secret-links")
+    total = per_text.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    weak = attach(found.where("_key IS NOT NULL"), per_text, "_key", "_n", total).select(
         *keep, F.col("_base").alias("base"),
         F.when(F.col("_linked").isNull(), F.col("_base"))
         .otherwise(F.array_sort(F.concat("_base", "_linked"))).alias("spans"))

@@ -9,7 +9,7 @@ the pieces that occur at a place; a shortest path under the tropical semiring
 Unigram models: an arc costs the negative score of its piece. Pair models: the
 states also remember the last piece, and the arc from piece a to piece b costs
 0 if merging the text of a followed by b ends in exactly these two pieces,
-else infinity. An encoding is the only path all of whose neighbours are so
+else infinity. An encoding is the only finite path all of whose neighbours are so
 compatible: the first merge across a boundary would also happen when the two
 neighbours are merged alone, so it is ruled out, and then each piece must form
 by itself. Every prefix has one encoding, hence one finite state per place.
@@ -41,7 +41,7 @@ MARK = "▁"
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-GROUP_CHARS, REMEMBERED, PAIRS_REMEMBERED = 1_000_000, 200_000, 1_000_000
+GROUP_CHARS, REMEMBERED, PAIRS_REMEMBERED = 1_000_000, 400_000, 1_000_000
 
 ENCODED_SCHEMA = "doc_id bigint, n_pieces bigint, ids array<int>, text_sha256 string, round_trip boolean"
 
@@ -110,11 +110,18 @@ class Transducer:
                 if t == BYTE:
                     self.bytes[int(p[3:-1], 16)] = i
         self.fallback = fallback
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)} if fallback else {}
+        self.spelled = [self._spelling(i) for i in range(len(self.pieces))]
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.least = min((s for s, t in zip(self.scores, self.types) if t == NORMAL), default=0.0)
         self.words = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
     def normalise(self, text: str) -> str:
@@ -146,7 +153,7 @@ class Transducer:
             if ok is None:
                 ok = self.whole[b] = self._merged(self.pieces[b]) == [self.pieces[b]]
             return ok
-        key = (a, b)
+        key = a * len(self.pieces) + b
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > PAIRS_REMEMBERED:
@@ -161,30 +168,49 @@ class Transducer:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")]
 
     def _pair_path(self, word: str) -> list[int]:
-        """The one path of finite cost: per place the last piece of the prefix's encoding (-1: a spelled character)."""
-        ids, longest, compatible, merged = self.ids, self.longest, self._compatible, self.pairs
-        last = [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                p = ids.get(word[start:end])
-                if p is None:
-                    continue
-                a = last[start]
-                ok = merged.get((a, p)) if a >= 0 else None
-                if compatible(a, p) if ok is None else ok:
-                    last[end] = p
+        """The one path of finite cost, found depth first, longer arcs first.
+
+        A place reached over compatible arcs is reached in its only finite
+        state, so a place that leads nowhere is never tried again.
+        """
+        trie, n, pairs, compatible, size = self.trie, len(word), self.pairs, self._compatible, len(self.pieces)
+        dead: set[int] = set()
+        path: list[tuple[int, int]] = []  # (start, piece; -1: a spelled character)
+        at, last = 0, -1
+        while at < n:
+            node, ends, i = trie, [], at
+            while i < n:
+                node = node.get(word[i])
+                if node is None:
                     break
-        out: list[list[int]] = []
-        end = len(word)
-        while end:
-            p = last[end]
+                i += 1
+                p = node.get("")
+                if p is not None:
+                    ends.append((i, p))
+            step = None
+            if not ends and word[at] not in self.ids:
+                step = at + 1, -1
+            while ends and step is None:
+                end, p = ends.pop()
+                if end in dead:
+                    continue
+                ok = pairs.get(last * size + p) if last >= 0 else None
+                if compatible(last, p) if ok is None else ok:
+                    step = end, p
+            if step is None:  # infinite cost from here on: take back the last arc
+                dead.add(at)
+                at, _ = path.pop()
+                last = path[-1][1] if path else -1
+                continue
+            path.append((at, step[1]))
+            at, last = step
+        out: list[int] = []
+        for start, p in path:
             if p < 0:
-                out.append(self._spell(word[end - 1]))
-                end -= 1
+                out += self._spell(word[start])
             else:
-                out.append([p])
-                end -= len(self.pieces[p])
-        return [i for x in reversed(out) for i in x]
+                out.append(p)
+        return out
 
     def _score_path(self, word: str) -> list[int]:
         """Least cost by piece scores; an unknown character costs more than any piece."""
@@ -206,35 +232,49 @@ class Transducer:
             end = start
         return [i for x in reversed(out) for i in x]
 
+    def _path(self, word: str) -> bytes:
+        """Encoding of a word; the words of the last two generations are remembered."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                path = (self._pair_path if self.kind == BPE else self._score_path)(word)
+                found = struct.pack(f"={len(path)}i", *path)
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[word] = found
+        return found
+
+    def encode_words(self, text: str) -> bytes:
+        """Piece ids of a text as 32-bit integers."""
+        norm = self.normalise(text)
+        words = norm.split(MARK)
+        # the plain case: one mark before each word; else words keep their runs of marks
+        if words[0] or "" in words[1:]:
+            words = self.words(norm)
+        else:
+            words = [MARK + w for w in words[1:]]
+        found = [*map(self.known.get, words)]
+        if None in found:
+            found = [self._path(w) if f is None else f for f, w in zip(found, words)]
+        return b"".join(found)
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        path = self._pair_path if self.kind == BPE else self._score_path
-        for w in self.words(self.normalise(text)):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = path(w)
-                if len(w) <= 40:
-                    known[w] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.encode_words(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Bytes join to characters, marks become spaces, the leading mark goes. Control pieces say nothing."""
-        parts = []
-        for i in ids:
-            t = self.types[i]
-            if t == BYTE:
-                parts.append(bytes([self.byte_of[i]]))
-            elif t == UNKNOWN:
-                parts.append(b" \xe2\x81\x87 ")
-            elif t != CONTROL:
-                parts.append(self.pieces[i].replace(MARK, " ").encode("utf-8"))
-        text = b"".join(parts).decode("utf-8", "replace")
+        text = b"".join([*map(self.spelled.__getitem__, ids)]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def _spelling(self, i: int) -> bytes:
+        kind = self.types[i]
+        if kind == BYTE:
+            return bytes([int(self.pieces[i][3:-1], 16)])
+        if kind == UNKNOWN:
+            return " \u2047 ".encode()
+        return b"" if kind == CONTROL else self.pieces[i].replace(MARK, " ").encode("utf-8")
+
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """One row per input row: doc_id, n_pieces, ids, text_sha256, round_trip.
@@ -256,10 +296,10 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
                 flat, ends, same, shas, size, first = [], [0], [], [], 0, at
                 while at < len(texts) and size < GROUP_CHARS:
                     text = texts[at].as_py()
-                    found = fst.encode(text)
-                    flat.append(np.array(found, np.int32))
+                    found = np.frombuffer(fst.encode_words(text), np.int32)
+                    flat.append(found)
                     ends.append(ends[-1] + len(found))
-                    same.append(fst.decode(found) == text)
+                    same.append(fst.decode(found.tolist()) == text)
                     shas.append(hashlib.sha256(text.encode("utf-8", "replace")).hexdigest())
                     size += len(text)
                     at += 1

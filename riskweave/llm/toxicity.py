@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,16 +66,22 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
     return {r["term"]: float(r["ratio"]) for r in top.collect()}
 
 
+CAPITAL, LETTER, MARK, HIDING = 1, 2, 4, 8
+
+
+def _character_kind(c: str) -> int:
+    letter = unicodedata.category(c)[0]
+    return (CAPITAL * c.isupper() | LETTER * (letter == "L") | MARK * (letter in "PS") | HIDING * (c in "0123456789@$*#!"))
+
+
 class Measure:
     """Dense features of texts."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.words = regex.compile(r"\p{L}+").findall
-        self.capitals = regex.compile(r"\p{Lu}").findall
-        self.punctuation = regex.compile(r"[^\w\s]").findall
         self.hidden = regex.compile(r"(?<=\p{L})[0-9@$*#!]+(?=\p{L})").findall
-        self.stretched = regex.compile(r"(\p{L})\1\1").findall
+        self.kind = np.array([_character_kind(chr(c)) for c in range(1 << 16)], np.uint8)
         self.fixed, self.second = frozenset(INSULTS), frozenset(SECOND_PERSON)
         self.known: dict[str, tuple | None] = {}
 
@@ -110,10 +117,15 @@ class Measure:
         word = [v[1] for _, v in hits if v[1]]
         stem = [v[2] for _, v in hits if v[2]]
         chars = max(len(text), 1)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[np.minimum(code, len(self.kind) - 1)]
+        same = (code[1:] == code[:-1]) & (kind[1:] & LETTER > 0)
+        stretched = int((same[1:] & same[:-1]).sum())
+        hidden = len(self.hidden(text)) if (kind & HIDING).any() else 0
         return [fixed / n, math.log1p(fixed), sum(word) / n, max(word, default=0.0), math.log1p(len(word)),
                 sum(stem) / n, max(stem, default=0.0), math.log1p(len(stem)), near / n, len(you) / n,
-                len(self.capitals(text)) / chars, len(self.punctuation(text)) / chars, text.count("!") / n,
-                len(self.hidden(text)) / n, len(self.stretched(text)) / n, math.log1p(len(words))]
+                int((kind & CAPITAL > 0).sum()) / chars, int((kind & MARK > 0).sum()) / chars, text.count("!") / n,
+                hidden / n, stretched / n, math.log1p(len(words))]
 
 
 def featurizer(lexicon: dict[str, float]):
