@@ -1,153 +1,178 @@
 """GR1-GR5: shared-attribute linkage graph and its component features.
 
-GR1 blocking: per link key, blocks of 2..cap rows (NULL never links). Block
-sizes come from a partial aggregation; keys outside the range are nulled via
-a join with the (size-checked) table of valid blocks, so a hot key value is
-never gathered into one task.
-
-GR2 edges: two rows are linked when they share at least ``min_link_keys``
-valid keys. For every ``min_link_keys``-subset of keys the rows are
-self-joined on all keys of the subset at once; every such group lies inside a
-capped block, so a group has at most ``cap`` rows and the pair count per row
-is bounded. The weight (number of shared valid keys) is computed in the join
-output, and the union over subsets is de-duplicated. This gives exactly the
-edges of "all pairs per block, summed weights, weight >= min" without ever
-materialising weight-1 pairs.
-
-GR3 components: min-label propagation with pointer jumping (label <- label of
-label), one grouped min and two joins per round, the propagated labels checkpointed
-to the reliable checkpoint dir every round (lineage stays short, a lost
-executor re-reads the last round). Stops when no label changes. Components
-larger than ``max_component_size`` report size 1.
-
-GR4 degree / isolated flag; GR5 node and edge counts.
+Two rows are linked when they share at least ``min_link_keys`` non-null link
+keys. The pairs of a block grow with the square of its size, so they are never
+listed; what the features need comes from counts and from a linkage table of linear size:
+
+GR1 blocking: per link key, values held by at least two rows (NULL never
+links). Block sizes come from a partial aggregation; there is no upper limit.
+
+GR2 linkage: every ``min_link_keys``-subset of keys and its values form a hub;
+a row belongs to the hubs of the values it has. Two rows are linked exactly
+when they share a hub. ``links_of`` lists the partners of asked ids only.
+
+GR3 components: every member of a hub is linked to the hub's smallest id (a
+star instead of all pairs). Each round a node takes the smallest label among
+itself and its neighbours, then that label's label; the loop ends when a round
+changes nothing, however many rounds that takes. Labels are written to the shared folder each round.
+
+GR4 degree: the number of rows that share at least m of K keys follows by
+inclusion and exclusion from the block sizes of the key subsets of m keys and more.
+Component sizes are the true sizes.
+
+GR5: nodes, edges (half the sum of the degrees), components, largest component.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .joins import sized_broadcast
+from ..sources.scratch import discard, materialise
 
 # Defaults of the graph builder.
 DEFAULT_LINK_KEYS = ("zip_code", "emp_title", "income_bucket")
-MAX_BLOCK = 200
 MIN_LINK_KEYS = 2
-MAX_COMPONENT_SIZE = 5000
 
 
-def blocked_keys(df: DataFrame, keys: Sequence[str], id_col: str = "id", cap: int = MAX_BLOCK,
-                 broadcast_max_rows: int = 2_000_000) -> DataFrame:
-    """GR1: (id, key_0 .. key_k) with each key NULL unless its block has 2..cap rows.
+def _keyed(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), *[F.col(k).cast("string").alias(f"key{i}") for i, k in enumerate(keys)])
 
-    Block sizes of all keys come from one aggregation over the unpivoted
-    (key index, value) pairs; the valid blocks are joined back per key
-    (broadcast when their measured count allows). The result is checkpointed:
-    the pair joins of GR2 read it several times.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    base = df.select(F.col(id_col).alias("id"),
-                     *[F.col(k).cast("string").alias(f"key{i}") for i, k in enumerate(keys)]).persist()
-    kv = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"key{i}").alias("v")) for i in range(len(keys))]))
-    valid = (base.select(kv.alias("e")).select("e.i", "e.v").where(F.col("v").isNotNull())
-             .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-             .where((F.col("n") >= 2) & (F.col("n") <= cap)).select("i", "v"))
-    valid = sized_broadcast(valid, broadcast_max_rows)
-    out = base
+
+def blocked_keys(df: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
+    """GR1: (id, key_0 .. key_k) with each key NULL unless at least two rows hold its value."""
+    out = _keyed(df, keys, id_col)
     for i in range(len(keys)):
         c = f"key{i}"
-        ok = valid.where(F.col("i") == i).select(F.col("v").alias(f"_ok{i}"))
-        out = out.join(ok, F.col(c) == F.col(f"_ok{i}"), "left").withColumn(c, F.col(f"_ok{i}")).drop(f"_ok{i}")
-    out = out.checkpoint(eager=True)
-    base.unpersist()
+        shared = (_keyed(df, keys, id_col).where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_ok{i}"))
+                  .agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(f"_ok{i}"))
+        out = out.join(shared, F.col(c) == F.col(f"_ok{i}"), "left").withColumn(c, F.col(f"_ok{i}")).drop(f"_ok{i}")
     return out
 
 
-def edges(blocked: DataFrame, n_keys: int, min_link_keys: int = MIN_LINK_KEYS) -> DataFrame:
-    """GR2: undirected edges (src < dst) with weight = number of shared valid keys >= min."""
-    key_cols = [f"key{i}" for i in range(n_keys)]
-    a = blocked.select(F.col("id").alias("src"), *[F.col(k).alias(f"a_{k}") for k in key_cols])
-    b = blocked.select(F.col("id").alias("dst"), *[F.col(k).alias(f"b_{k}") for k in key_cols])
-    weight = sum(F.coalesce((F.col(f"a_{k}") == F.col(f"b_{k}")).cast("int"), F.lit(0)) for k in key_cols)
-    parts = []
-    for subset in combinations(key_cols, min_link_keys):
-        left = a.where(F.col(f"a_{subset[0]}").isNotNull())
-        for k in subset[1:]:
-            left = left.where(F.col(f"a_{k}").isNotNull())
-        cond = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in subset]
-        joined = left.join(b, cond).where(F.col("src") < F.col("dst"))
-        parts.append(joined.select("src", "dst", weight.alias("weight")))
-    if not parts:
-        return blocked.sparkSession.createDataFrame([], "src long, dst long, weight int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates(["src", "dst"]).where(F.col("weight") >= min_link_keys)
-
-
-def components(edge_df: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """GR3: (node, component) with component = smallest node id of the connected component.
-
-    Only nodes with at least one edge appear; isolated nodes are their own component.
+def _hubs(keyed: DataFrame, n_keys: int, sizes: Sequence[int]) -> DataFrame:
+    """(id, size, hub): one row per row and key subset of a wanted size whose keys are all present.
+
+    ``hub`` is the subset's number and its values; values are length-prefixed, so no two lists collide.
     """
-    spark = edge_df.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edge_df.select("src", "dst")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).checkpoint(eager=True)
-    # initial label: min(self, neighbours)
-    label = (both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-             .select("node", F.least("node", "m").alias("label"))).checkpoint(eager=True)
-    for rnd in range(max_rounds):
-        # propagate: each node takes the smallest label among itself and its neighbours
-        nb = (both.join(label.withColumnRenamed("node", "src"), "src")
-              .select(F.col("dst").alias("node"), "label"))
-        prop = nb.unionByName(label).groupBy("node").agg(F.min("label").alias("label")).checkpoint(eager=True)
-        # pointer jumping: label <- label(label)
-        q = prop.select(F.col("node").alias("q_node"), F.col("label").alias("q_label"))
-        new = (prop.join(q, prop["label"] == q["q_node"], "left")
-               .select("node", F.least(F.col("label"), F.coalesce(F.col("q_label"), F.col("label"))).alias("label")))
-        changed = (new.join(label.select("node", F.col("label").alias("old")), "node")
-                   .where(F.col("label") != F.col("old")).limit(1).count())
+    subsets = [s for m in sizes for s in combinations(range(n_keys), m)]
+
+    def hub(j: int, s: tuple[int, ...]) -> Column:
+        values = [F.concat(F.char_length(f"key{i}").cast("string"), F.lit(":"), F.col(f"key{i}")) for i in s]
+        return F.concat(F.lit(f"{j}|"), *values)      # NULL when any key is
+
+    entries = F.array(*[F.struct(F.lit(len(s)).alias("size"), hub(j, s).alias("hub")) for j, s in enumerate(subsets)])
+    return keyed.select("id", F.explode(entries).alias("e")).select("id", "e.size", "e.hub").where("hub IS NOT NULL")
+
+
+def linkage(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
+    """GR2: (id, link_keys, hub, members): the hubs of two members and more that a row belongs to."""
+    hubs = _hubs(_keyed(df, keys, id_col), len(keys), [min_link_keys])
+    members = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members >= 2")
+    names = ["+".join(keys[i] for i in s) for s in combinations(range(len(keys)), min_link_keys)]
+    number = F.substring_index("hub", "|", 1).cast("int")
+    return hubs.join(members, "hub").select("id", F.get(F.array(*[F.lit(n) for n in names]), number).alias("link_keys"),
+                                            "hub", "members")
+
+
+def links_of(df: DataFrame, asked: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS,
+             id_col: str = "id") -> DataFrame:
+    """All partners of the asked ids: (id, partner, weight), weight the number of shared keys."""
+    keyed = _keyed(df, keys, id_col)
+    hubs = _hubs(keyed, len(keys), [min_link_keys]).select("id", "hub")
+    mine = hubs.join(asked.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    pairs = (mine.join(hubs.select(F.col("id").alias("partner"), "hub"), "hub").where(F.col("id") != F.col("partner"))
+             .select("id", "partner").distinct())
+    a = keyed.select("id", *[F.col(f"key{i}").alias(f"a{i}") for i in range(len(keys))])
+    b = keyed.select(F.col("id").alias("partner"), *[F.col(f"key{i}").alias(f"b{i}") for i in range(len(keys))])
+    weight = sum((F.coalesce((F.col(f"a{i}") == F.col(f"b{i}")).cast("int"), F.lit(0)) for i in range(len(keys))), F.lit(0))
+    return pairs.join(a, "id").join(b, "partner").select("id", "partner", weight.alias("weight"))
+
+
+def star_links(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
+    """(src, dst): every hub member linked to the hub's smallest id; same components as all pairs, linear size."""
+    hubs = _hubs(_keyed(df, keys, id_col), len(keys), [min_link_keys]).select("id", "hub")
+    centre = hubs.groupBy("hub").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("members")).where("members >= 2")
+    return (hubs.join(centre, "hub").where(F.col("id") != F.col("src"))
+            .select("src", F.col("id").alias("dst")).distinct())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """GR3: (node, component): the smallest id of the node's component, for every node that has a link."""
+    both = materialise(links.select(F.col("src").alias("node"), F.col("dst").alias("peer")).unionByName(
+        links.select(F.col("dst").alias("node"), F.col("src").alias("peer"))), "graph-links")
+    label = materialise(both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("label")), "graph-labels")
+    rounds = 0
+    while True:
+        rounds += 1
+        near = (both.join(label.select(F.col("node").alias("peer"), F.col("label").alias("_peer_label")), "peer")
+                .groupBy("node").agg(F.min("_peer_label").alias("_near")))
+        lower = label.join(near, "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
+        jump = label.select(F.col("node").alias("label"), F.col("label").alias("_jump"))
+        new = materialise(lower.join(jump, "label").select(
+            "node", F.least("label", "_jump").alias("label"), "_old"), "graph-labels")
+        moved = new.where(F.col("label") != F.col("_old")).limit(1).count()
+        discard(label)
         label = new
-        if changed == 0:
+        if not moved:
             break
-    components.rounds = rnd + 1   # exposed for tests and tuning
-    return label.withColumnRenamed("label", "component")
+    discard(both)
+    components.rounds = rounds   # exposed for tests and tuning
+    return label.select("node", F.col("label").alias("component"))
+
+
+def degrees(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
+    """(id, degree): rows that share at least ``min_link_keys`` keys with the row, itself excluded.
+
+    With S_j the summed block sizes of a row's j-key subsets, the rows that agree on
+    at least m keys number sum over j >= m of (-1)^(j-m) C(j-1, m-1) S_j.
+    """
+    k, m = len(keys), min_link_keys
+    keyed = _keyed(df, keys, id_col)
+    hubs = _hubs(keyed, k, range(m, k + 1))
+    sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    sign = F.lit(0)
+    for j in range(m, k + 1):
+        sign = F.when(F.col("size") == j, F.lit((-1) ** (j - m) * comb(j - 1, m - 1))).otherwise(sign)
+    return (hubs.join(sizes, "hub").groupBy("id").agg((F.sum(sign * F.col("n")) - 1).cast("long").alias("degree")))
 
 
 def graph_features(df: DataFrame, link_keys: Sequence[str] = DEFAULT_LINK_KEYS, min_link_keys: int = MIN_LINK_KEYS,
-                   max_component_size: int = MAX_COMPONENT_SIZE, cap: int = MAX_BLOCK,
-                   id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """GR1-GR4: (features per row, edges). Features: graph_component_size, graph_degree,
-    graph_isolated. Missing link keys are skipped."""
+                   id_col: str = "id") -> DataFrame:
+    """GR1-GR4: the frame with graph_component_size, graph_degree, graph_isolated. Missing link keys are skipped."""
     keys = [k for k in link_keys if k in df.columns]
-    blocked = blocked_keys(df, keys, id_col, cap)
-    ed = edges(blocked, len(keys), min_link_keys).checkpoint(eager=True)
-    comp = components(ed)
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    comp_size = (comp.join(sizes, "component")
-                 .select(F.col("node").alias(id_col),
-                         F.when(F.col("size") > max_component_size, F.lit(1)).otherwise(F.col("size"))
-                         .alias("graph_component_size")))
-    deg = (ed.select(F.explode(F.array("src", "dst")).alias(id_col))
-           .groupBy(id_col).agg(F.count(F.lit(1)).cast("int").alias("graph_degree")))
-    feats = (df.join(comp_size, id_col, "left").join(deg, id_col, "left")
-             .withColumn("graph_component_size", F.coalesce(F.col("graph_component_size").cast("int"), F.lit(1)))
-             .withColumn("graph_degree", F.coalesce(F.col("graph_degree"), F.lit(0)))
-             .withColumn("graph_isolated", (F.col("graph_degree") == 0).cast("int")))
-    return feats, ed
+    if len(keys) < min_link_keys:
+        return df.select("*", F.lit(1).alias("graph_component_size"), F.lit(0).cast("long").alias("graph_degree"),
+                         F.lit(1).alias("graph_isolated"))
+    narrow = materialise(df.select(id_col, *keys), "graph-keys")
+    comp = components(star_links(narrow, keys, min_link_keys, id_col))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
+    comp_size = comp.join(sizes, "component").select(F.col("node").alias(id_col), "_size")
+    deg = degrees(narrow, keys, min_link_keys, id_col).select(F.col("id").alias(id_col), F.col("degree").alias("_degree"))
+    degree = F.coalesce(F.col("_degree"), F.lit(0).cast("long"))
+    return (df.join(comp_size, id_col, "left").join(deg, id_col, "left")
+            .withColumns({"graph_component_size": F.coalesce(F.col("_size").cast("int"), F.lit(1)),
+                          "graph_degree": degree, "graph_isolated": (degree == 0).cast("int")})
+            .drop("_size", "_degree"))
 
 
 def build_graph_features(df: DataFrame, **kw) -> DataFrame:
-    return graph_features(df, **kw)[0]
+    return graph_features(df, **kw)
 
 
-def graph_summary(df: DataFrame, edge_df: DataFrame) -> DataFrame:
-    """GR5: nodes and edges after pruning."""
-    n_nodes = df.count()
-    return edge_df.agg(F.count(F.lit(1)).alias("n_edges")).select(F.lit(n_nodes).alias("n_nodes"), "n_edges")
+def graph_summary(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
+    """GR5: n_nodes, n_edges, n_components (isolated rows included), largest_component."""
+    narrow = materialise(df.select(id_col, *keys), "graph-keys")
+    comp = components(star_links(narrow, keys, min_link_keys, id_col))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    c = sizes.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("linked"),
+                  F.coalesce(F.max("size"), F.lit(1)).alias("largest")).first()
+    edges = degrees(narrow, keys, min_link_keys, id_col).agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("d")).first()["d"]
+    n = narrow.count()
+    return df.sparkSession.createDataFrame(
+        [(n, edges // 2, n - c["linked"] + c["groups"], int(c["largest"]))],
+        "n_nodes long, n_edges long, n_components long, largest_component long")

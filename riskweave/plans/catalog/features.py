@@ -10,6 +10,7 @@ from ...operators import encode as E
 from ...operators import graph as GR
 from ...operators import split as P
 from ...sources.applications import applications, raw_applications
+from ...sources.scratch import materialise
 from .. import features as FB
 from ..registry import register, rounded, with_apps
 from .labels import LABELLED_CTES, labelled
@@ -183,56 +184,84 @@ _LINK = ["zip_code", "emp_title", "loan_link"]
 
 
 def _graph_input(spark, sf):
-    return applications(spark, sf, materialize=True).withColumn("loan_link", F.floor(F.col("loan_amnt") / 100).cast("int"))
+    a = applications(spark, sf).select("id", "zip_code", "emp_title",
+                                       F.floor(F.col("loan_amnt") / 100).cast("int").alias("loan_link"))
+    return materialise(a, "graph-input")
+
+
+def _linked_sql(src: str, p: str = "") -> str:
+    """CTEs over ``src`` (id, k0, k1, k2; NULL never links), names prefixed by ``p``.
+
+    ``{p}w``: per key pair the block size and smallest id; ``{p}deg``: rows that share two keys or more;
+    ``{p}comp``: smallest id reachable over stars around the blocks' smallest ids.
+    """
+    def block(*ks):
+        name, part = "".join(ks), ", ".join(f"k{k}" for k in ks)
+        there = " AND ".join(f"k{k} IS NOT NULL" for k in ks)
+        return (f"CASE WHEN {there} THEN count(*) OVER (PARTITION BY {part}) END AS n{name}, "
+                f"CASE WHEN {there} THEN min(id) OVER (PARTITION BY {part}) END AS m{name}")
+    stars = " UNION ".join(f"SELECT id AS a, m{x} AS b FROM {p}w WHERE m{x} <> id" for x in ("01", "02", "12"))
+    return f"""
+, {p}w AS (SELECT id, k0, k1, k2, {block("0", "1")}, {block("0", "2")}, {block("1", "2")}, {block("0", "1", "2")} FROM {src}),
+{p}deg AS (SELECT id AS node, coalesce(n01, 0) + coalesce(n02, 0) + coalesce(n12, 0) - 2 * coalesce(n012, 0)
+             - CASE WHEN coalesce(n01, n02, n12) IS NULL THEN 0 ELSE 1 END AS d FROM {p}w),
+{p}st AS ({stars}),
+{p}ud AS (SELECT a, b FROM {p}st UNION SELECT b, a FROM {p}st),
+{p}comp(node, component) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM {p}ud
+  UNION
+  (SELECT e.b, min(r.component) FROM {p}comp r JOIN {p}ud e ON e.a = r.node JOIN recurring.{p}comp t ON t.node = e.b
+   WHERE r.component < t.component GROUP BY e.b)),
+{p}csize AS (SELECT component, count(*) AS size FROM {p}comp GROUP BY component)"""
 
 
 _G_SQL = """
 , g AS (SELECT id, CAST(zip_code AS VARCHAR) AS k0, CAST(emp_title AS VARCHAR) AS k1,
-               CAST(CAST(floor(loan_amnt / 100) AS INTEGER) AS VARCHAR) AS k2 FROM applications),
-bl AS (SELECT id,
-         CASE WHEN count(k0) OVER (PARTITION BY k0) BETWEEN 2 AND 200 THEN k0 END AS key0,
-         CASE WHEN count(k1) OVER (PARTITION BY k1) BETWEEN 2 AND 200 THEN k1 END AS key1,
-         CASE WHEN count(k2) OVER (PARTITION BY k2) BETWEEN 2 AND 200 THEN k2 END AS key2 FROM g),
-pairs AS (SELECT a.id AS src, b.id AS dst FROM bl a JOIN bl b ON a.key0 = b.key0 AND a.id < b.id
-          UNION ALL SELECT a.id, b.id FROM bl a JOIN bl b ON a.key1 = b.key1 AND a.id < b.id
-          UNION ALL SELECT a.id, b.id FROM bl a JOIN bl b ON a.key2 = b.key2 AND a.id < b.id),
-e AS (SELECT src, dst, CAST(count(*) AS INTEGER) AS weight FROM pairs GROUP BY src, dst HAVING count(*) >= 2),
-ud AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e),
-reach(node, lbl) AS (SELECT a, a FROM ud UNION SELECT ud.b, r.lbl FROM reach r JOIN ud ON ud.a = r.node),
-comp AS (SELECT node, min(lbl) AS component FROM reach GROUP BY node),
-csize AS (SELECT component, count(*) AS size FROM comp GROUP BY component),
-deg AS (SELECT node, CAST(count(*) AS INTEGER) AS d FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)
-        GROUP BY node)
-"""
+               CAST(CAST(floor(loan_amnt / 100) AS INTEGER) AS VARCHAR) AS k2 FROM applications)
+""" + _linked_sql("g")
 
 
 def _graph_sql(body: str) -> str:
     return with_apps(_G_SQL + body).replace("WITH applications AS (", "WITH RECURSIVE applications AS (", 1)
 
 
-@register("GR1_blocking", with_apps(_G_SQL.split(",\npairs AS")[0] + "\nSELECT id, key0, key1, key2 FROM bl"))
+@register("GR1_blocking", with_apps(_G_SQL.split(", w AS")[0] + """
+SELECT id, CASE WHEN count(k0) OVER (PARTITION BY k0) >= 2 THEN k0 END AS key0,
+       CASE WHEN count(k1) OVER (PARTITION BY k1) >= 2 THEN k1 END AS key1,
+       CASE WHEN count(k2) OVER (PARTITION BY k2) >= 2 THEN k2 END AS key2 FROM g"""))
 def gr1(spark, sf):
     return GR.blocked_keys(_graph_input(spark, sf), _LINK)
 
 
-def _edges(spark, sf):
-    return GR.edges(GR.blocked_keys(_graph_input(spark, sf), _LINK), 3)
-
-
-@register("GR2_edges", _graph_sql("SELECT src, dst, weight FROM e"))
+@register("GR2_linkage", _graph_sql("""
+SELECT id, 'zip_code+emp_title' AS link_keys, n01 AS members FROM w WHERE n01 >= 2
+UNION ALL SELECT id, 'zip_code+loan_link', n02 FROM w WHERE n02 >= 2
+UNION ALL SELECT id, 'emp_title+loan_link', n12 FROM w WHERE n12 >= 2"""))
 def gr2(spark, sf):
-    return _edges(spark, sf)
+    """Every row's place in the hubs of two shared keys; the pairs themselves grow with the square of a block."""
+    return GR.linkage(_graph_input(spark, sf), _LINK).select("id", "link_keys", "members")
+
+
+@register("GR2_links_of_asked", _graph_sql("""
+SELECT a.id, b.id AS partner,
+  CAST(coalesce(CAST(a.k0 = b.k0 AS INTEGER), 0) + coalesce(CAST(a.k1 = b.k1 AS INTEGER), 0)
+       + coalesce(CAST(a.k2 = b.k2 AS INTEGER), 0) AS INTEGER) AS weight
+FROM (SELECT * FROM g WHERE id % 20 = 0) a
+JOIN g b ON a.id <> b.id AND ((a.k0 = b.k0 AND a.k1 = b.k1) OR (a.k0 = b.k0 AND a.k2 = b.k2) OR (a.k1 = b.k1 AND a.k2 = b.k2))"""))
+def gr2_asked(spark, sf):
+    """Partners of the asked ids (every id divisible by 20) among all rows."""
+    a = _graph_input(spark, sf)
+    return GR.links_of(a, a.where("id % 20 = 0").select("id"), _LINK)
 
 
 @register("GR3_components", _graph_sql("SELECT node, component FROM comp"))
 def gr3(spark, sf):
-    return GR.components(_edges(spark, sf))
+    return GR.components(GR.star_links(_graph_input(spark, sf), _LINK))
 
 
 @register("GR4_graph_features", _graph_sql("""
-SELECT a.id, CAST(CASE WHEN cs.size IS NULL OR cs.size > 5000 THEN 1 ELSE cs.size END AS INTEGER)
-         AS graph_component_size,
-       coalesce(deg.d, 0) AS graph_degree, CAST(CASE WHEN deg.d IS NULL THEN 1 ELSE 0 END AS INTEGER) AS graph_isolated
+SELECT a.id, CAST(coalesce(cs.size, 1) AS INTEGER) AS graph_component_size, coalesce(deg.d, 0) AS graph_degree,
+       CAST(CASE WHEN coalesce(deg.d, 0) = 0 THEN 1 ELSE 0 END AS INTEGER) AS graph_isolated
 FROM applications a LEFT JOIN comp ON comp.node = a.id LEFT JOIN csize cs ON cs.component = comp.component
 LEFT JOIN deg ON deg.node = a.id"""))
 def gr4(spark, sf):
@@ -241,19 +270,12 @@ def gr4(spark, sf):
 
 
 @register("GR5_graph_summary", _graph_sql("""
-SELECT (SELECT count(*) FROM applications) AS n_nodes, (SELECT count(*) FROM e) AS n_edges,
+SELECT (SELECT count(*) FROM applications) AS n_nodes, (SELECT CAST(sum(d) // 2 AS BIGINT) FROM deg) AS n_edges,
        (SELECT count(*) FROM applications) - (SELECT count(*) FROM comp)
          + (SELECT count(DISTINCT component) FROM comp) AS n_components,
-       (SELECT max(size) FROM csize) AS largest_component"""))
+       (SELECT coalesce(max(size), 1) FROM csize) AS largest_component"""))
 def gr5(spark, sf):
-    a = _graph_input(spark, sf)
-    feats, ed = GR.graph_features(a, link_keys=_LINK)
-    s = GR.graph_summary(a, ed).first()
-    # every row adds 1/size of its component: the sum is the number of components
-    c = feats.agg(F.sum(1.0 / F.col("graph_component_size")).alias("nc"),
-                  F.max("graph_component_size").alias("largest")).first()
-    return spark.createDataFrame([(s["n_nodes"], s["n_edges"], int(round(c["nc"])), int(c["largest"]))],
-                                 "n_nodes long, n_edges long, n_components long, largest_component long")
+    return GR.graph_summary(_graph_input(spark, sf), _LINK)
 
 
 def _f10_sql() -> str:
@@ -294,8 +316,8 @@ SELECT a.id,
   round(length(regexp_replace(coalesce(emp_title, ''), '[^0-9]', '', 'g'))
         / greatest(length(coalesce(emp_title, '')), 1), 6) AS emp_title_digit_ratio,
   {vcols},
-  CAST(CASE WHEN cs.size IS NULL OR cs.size > 5000 THEN 1 ELSE cs.size END AS INTEGER) AS graph_component_size,
-  coalesce(deg.d, 0) AS graph_degree, CAST(CASE WHEN deg.d IS NULL THEN 1 ELSE 0 END AS INTEGER) AS graph_isolated
+  CAST(coalesce(cs.size, 1) AS INTEGER) AS graph_component_size,
+  coalesce(deg.d, 0) AS graph_degree, CAST(CASE WHEN coalesce(deg.d, 0) = 0 THEN 1 ELSE 0 END AS INTEGER) AS graph_isolated
 FROM applications a JOIN b_income_bucket bi USING (id) JOIN b_loan_bucket bl2 USING (id)
 JOIN v0 USING (id) JOIN v1 USING (id) JOIN v2 USING (id)
 LEFT JOIN comp ON comp.node = a.id LEFT JOIN csize cs ON cs.component = comp.component
@@ -348,20 +370,7 @@ def _eng_sql(src: str, p: str) -> str:
   FROM {src} x)"""
     return bucket("annual_inc", "income_bucket") + bucket("loan_amnt", "loan_bucket") + f"""
 , {p}g AS (SELECT x.id, CAST(x.zip_code AS VARCHAR) AS k0, CAST(x.emp_title AS VARCHAR) AS k1,
-                  CAST(b.income_bucket AS VARCHAR) AS k2 FROM {src} x JOIN {p}b_income_bucket b USING (id)),
-{p}bl AS (SELECT id,
-         CASE WHEN count(k0) OVER (PARTITION BY k0) BETWEEN 2 AND 200 THEN k0 END AS key0,
-         CASE WHEN count(k1) OVER (PARTITION BY k1) BETWEEN 2 AND 200 THEN k1 END AS key1,
-         CASE WHEN count(k2) OVER (PARTITION BY k2) BETWEEN 2 AND 200 THEN k2 END AS key2 FROM {p}g),
-{p}pairs AS (SELECT a.id AS src, b.id AS dst FROM {p}bl a JOIN {p}bl b ON a.key0 = b.key0 AND a.id < b.id
-          UNION ALL SELECT a.id, b.id FROM {p}bl a JOIN {p}bl b ON a.key1 = b.key1 AND a.id < b.id
-          UNION ALL SELECT a.id, b.id FROM {p}bl a JOIN {p}bl b ON a.key2 = b.key2 AND a.id < b.id),
-{p}e AS (SELECT src, dst FROM {p}pairs GROUP BY src, dst HAVING count(*) >= 2),
-{p}ud AS (SELECT src AS a, dst AS b FROM {p}e UNION ALL SELECT dst, src FROM {p}e),
-{p}reach(node, lbl) AS (SELECT a, a FROM {p}ud UNION SELECT {p}ud.b, r.lbl FROM {p}reach r JOIN {p}ud ON {p}ud.a = r.node),
-{p}comp AS (SELECT node, min(lbl) AS component FROM {p}reach GROUP BY node),
-{p}csize AS (SELECT component, count(*) AS size FROM {p}comp GROUP BY component),
-{p}deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM {p}e UNION ALL SELECT dst FROM {p}e) GROUP BY node),
+                  CAST(b.income_bucket AS VARCHAR) AS k2 FROM {src} x JOIN {p}b_income_bucket b USING (id))""" + _linked_sql(f"{p}g", p) + f""",
 {p}eng AS (
   SELECT x.id, x.loan_amnt, x.int_rate, x.installment, x.annual_inc, x.dti, x.delinq_2yrs, x.open_acc, x.pub_rec,
     x.revol_bal, x.revol_util, x.total_acc, x.emp_length, x.term,
@@ -381,9 +390,8 @@ def _eng_sql(src: str, p: str) -> str:
     CAST(length(coalesce(x.emp_title, '')) AS DOUBLE) AS emp_title_len,
     length(regexp_replace(coalesce(x.emp_title, ''), '[^0-9]', '', 'g')) / greatest(length(coalesce(x.emp_title, '')), 1)
       AS emp_title_digit_ratio,
-    CAST(CASE WHEN cs.size IS NULL OR cs.size > 5000 THEN 1 ELSE cs.size END AS DOUBLE) AS graph_component_size,
-    CAST(coalesce(dg.d, 0) AS DOUBLE) AS graph_degree, CAST(CASE WHEN dg.d IS NULL THEN 1 ELSE 0 END AS DOUBLE)
-      AS graph_isolated
+    CAST(coalesce(cs.size, 1) AS DOUBLE) AS graph_component_size, CAST(coalesce(dg.d, 0) AS DOUBLE) AS graph_degree,
+    CAST(coalesce(dg.d, 0) = 0 AS DOUBLE) AS graph_isolated
   FROM {src} x LEFT JOIN {p}comp cp ON cp.node = x.id LEFT JOIN {p}csize cs ON cs.component = cp.component
   LEFT JOIN {p}deg dg ON dg.node = x.id)
 """
