@@ -21,9 +21,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
 from .ordering import quantiles
 
 N_BINS = 10
@@ -57,6 +58,14 @@ class DriftReference:
     edges: DataFrame          # feature, edges array<double> (9 inner edges)
     expected: DataFrame       # feature, bin, expected_pct
 
+    def save(self, path: str) -> None:
+        self.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        self.expected.write.mode("overwrite").parquet(f"{path}/expected")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "DriftReference":
+        return DriftReference(spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/expected"))
+
     def psi_report(self, current: DataFrame, alert: float = ALERT, min_current: int = MIN_CURRENT) -> DataFrame:
         """D3: feature, psi, alert (sorted by psi descending)."""
         feats = [r["feature"] for r in self.edges.select("feature").collect()]
@@ -80,7 +89,50 @@ def fit_reference(df: DataFrame, cols: Sequence[str], bins: int = N_BINS) -> Dri
     edges = spark.createDataFrame(rows, "feature string, edges array<double>")
     expected = (_shares(_binned(_long(df, [r[0] for r in rows]), edges))
                 .select("feature", "bin", F.col("pct").alias("expected_pct")))
-    return DriftReference(edges, expected.checkpoint(eager=True))
+    return DriftReference(edges, materialise(expected, "drift-expected"))
+
+
+def psi_of_long(expected: DataFrame, current: DataFrame, bins: int = N_BINS, alert: float = ALERT,
+                min_current: int = MIN_CURRENT) -> DataFrame:
+    """D2 and D3 on long rows (feature, x): any number of features, none of them known to the driver.
+
+    The decile edges of a feature are interpolated between the values at two
+    ranks. Values are counted first (one row per feature and distinct value), so
+    a feature that holds most rows is spread over the order's range partitions.
+    """
+    from .evaluate import prefix_sums
+    known = F.col("x").isNotNull() & ~F.isnan("x") & F.col("feature").isNotNull()
+    exp = materialise(expected.where(known).groupBy("feature", F.col("x").cast("double").alias("x"))
+                      .agg(F.count(F.lit(1)).cast("double").alias("c")), "drift-values")
+    cum = prefix_sums(exp, ["feature"], [F.col("x")], ["x"], ["c"])
+    totals = exp.groupBy("feature").agg(F.sum("c").alias("n"))
+    at = F.explode(F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("p")
+    wanted = totals.select("feature", "n", at).withColumn("h", (F.col("n") - 1) * F.col("p")) \
+        .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
+    def holds(rank: str) -> Column:
+        return F.max(F.when((F.col("cum_c") - F.col("c") <= F.col(rank)) & (F.col(rank) < F.col("cum_c")), F.col("x")))
+    # the (at most 2 (bins - 1)) values that hold a wanted rank, by feature
+    cut = cum.join(wanted, "feature").where(
+        ((F.col("cum_c") - F.col("c") <= F.col("lo")) & (F.col("lo") < F.col("cum_c")))
+        | ((F.col("cum_c") - F.col("c") <= F.col("hi")) & (F.col("hi") < F.col("cum_c"))))
+    edges = cut.groupBy("feature", "p").agg(holds("lo").alias("a"), holds("hi").alias("b"), F.first(F.col("h") - F.col("lo")).alias("f")) \
+        .groupBy("feature").agg(F.array_sort(F.collect_list(F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"), 6))).alias("edges"))
+    edges = materialise(edges, "drift-edges")
+
+    def shares(values: DataFrame, name: str) -> DataFrame:
+        b = values.join(edges, "feature").select("feature", "c", F.size(F.filter("edges", lambda e: e <= F.col("x"))).alias("bin"))
+        counts = b.groupBy("feature", "bin").agg(F.sum("c").alias("c"))
+        grid = counts.groupBy("feature").agg(F.sum("c").alias("n")).select(
+            "feature", "n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        return grid.join(counts, ["feature", "bin"], "left").select(
+            "feature", "bin", F.col("n").alias(f"n_{name}"),
+            F.greatest(F.coalesce(F.col("c"), F.lit(0.0)) / F.col("n"), F.lit(FLOOR)).alias(name))
+
+    cur = current.where(known).groupBy("feature", F.col("x").cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    e, a = shares(exp, "e"), shares(cur, "a").where(F.col("n_a") >= min_current)
+    psi_value = F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e")))
+    return a.join(e, ["feature", "bin"]).groupBy("feature").agg(psi_value.alias("psi")) \
+        .withColumn("alert", F.col("psi") > F.lit(alert))
 
 
 def psi(expected: DataFrame, actual: DataFrame, col: str, bins: int = N_BINS) -> float | None:

@@ -4,7 +4,7 @@ Everything starts from the threshold table T: one pre-aggregation by score
 (``pos``, ``neg`` per distinct score; partial aggregation map-side), then the
 descending cumulative ``tp``/``fp``. The cumulative sum is a distributed
 prefix sum (``prefix_sums``): T is range-partitioned and sorted by the order
-key, each partition's totals (one row per partition and group: bounded) give
+key, the totals of the earlier partitions give a piece
 its carry-in, and a native window over (partition, group) adds the running
 sum. No step pulls T, which may have one row per input row, into one task.
 
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 from .ordering import rows_at
 
-SCORE_DECIMALS = 6
-
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], order_names: Sequence[str],
                 sum_cols: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -37,10 +35,9 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
     Output columns ``cum_<c>`` are added; every other column is kept.
 
     Plan: range-partition by (group, order) and checkpoint, so a hot group is
-    spread over many partitions; totals per (partition, group) are a bounded
-    table whose running sum over earlier partitions is each piece's carry-in
-    (broadcast); the running sum inside a piece is a native window over
-    (partition, group), whose size is bounded by the range partition.
+    spread over many partitions; the running sum of a group's totals over earlier
+    partitions is each piece's carry-in; the running sum inside a piece is a
+    native window over (partition, group), whose size is bounded by the range partition.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -48,22 +45,24 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
     keys = [F.col(g) for g in group_cols] + list(order_cols)
     ranged = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
-    totals = (ranged.groupBy("_pid", *group_cols).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect())
-    by_group: dict = {}
-    for r in sorted(totals, key=lambda r: r["_pid"]):
-        by_group.setdefault(tuple(r[g] for g in group_cols), []).append((r["_pid"], [r[c] or 0 for c in sum_cols]))
-    carry_rows = []
-    for g, parts in by_group.items():
-        acc = [0.0] * len(sum_cols)
-        for pid, vals in parts:
-            carry_rows.append((pid, *g, *[float(a) for a in acc]))
-            acc = [a + v for a, v in zip(acc, vals)]
-    gtypes = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
-    schema = ", ".join(["_pid int"] + [f"{g} {gtypes[g]}" for g in group_cols] + [f"_carry_{c} double" for c in sum_cols])
-    carry = spark.createDataFrame(carry_rows, schema)
+    # carry-in of a piece: what its group has in earlier partitions. Only groups that
+    # straddle partitions have any, so their number is below the number of partitions,
+    # however many groups there are.
+    totals = ranged.groupBy("_pid", *group_cols).agg(*[F.sum(F.col(c).cast("double")).alias(f"_t_{c}") for c in sum_cols])
+    earlier = (Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    carry = totals.select("_pid", *group_cols, F.count(F.lit(1)).over(earlier).alias("_pieces"),
+                          *[F.sum(f"_t_{c}").over(earlier).alias(f"_carry_{c}") for c in sum_cols])
+    carry = carry.where("_pieces > 0").drop("_pieces")
     w = (Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ranged.join(F.broadcast(carry), ["_pid", *group_cols], "left")   # one row per (partition, group)
+    keep = [f"_g_{g}" for g in group_cols]
+    carry = carry.select(F.col("_pid").alias("_cpid"), *[F.col(g).alias(k) for g, k in zip(group_cols, keep)],
+                         *[f"_carry_{c}" for c in sum_cols])
+    same = F.col("_pid") == F.col("_cpid")
+    for g, k in zip(group_cols, keep):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    # at most one row per partition: broadcast
+    out = ranged.join(F.broadcast(carry), same, "left").drop("_cpid", *keep)
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.sum(F.col(c).cast("double")).over(w)
                              + F.coalesce(F.col(f"_carry_{c}"), F.lit(0.0)))
@@ -76,9 +75,9 @@ def scored_pairs(df: DataFrame, label: str = "label", score: str = "score", key:
 
 
 def threshold_table(pairs: DataFrame, group_col: str | None = None) -> DataFrame:
-    """T: per (group,) score: pos, neg, and descending cumulative tp, fp (inclusive)."""
+    """T: per (group,) score: pos, neg, and descending cumulative tp, fp (inclusive). Rows without a score say nothing."""
     g = [group_col] if group_col else []
-    t = pairs.groupBy(*g, "score").agg(F.sum("label").cast("double").alias("pos"),
+    t = pairs.where(F.col("score").isNotNull() & F.col("label").isNotNull()).groupBy(*g, "score").agg(F.sum("label").cast("double").alias("pos"),
                                        F.sum(1 - F.col("label")).cast("double").alias("neg"))
     cum = prefix_sums(t, g, [F.col("score").desc()], ["score"], ["pos", "neg"])
     return cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
@@ -106,16 +105,17 @@ def curve_metrics(t: DataFrame, fpr_target: float = 0.05, group_col: str | None
 
 
 def pointwise_metrics(pairs: DataFrame) -> DataFrame:
-    """N, positive rate, log loss (scores clipped to [1e-7, 1-1e-7]) and Brier score."""
+    """N, positive rate, log loss (scores clipped to [1e-7, 1-1e-7]) and Brier score of the rows that have a score."""
     p = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
     y = F.col("label").cast("double")
-    return pairs.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("positive_rate"),
+    return pairs.where(F.col("score").isNotNull() & y.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("positive_rate"),
                      F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"),
                      F.avg((F.col("score") - y) ** 2).alias("brier"))
 
 
 def lift_at_k(pairs: DataFrame, top_k: float) -> float:
     """E5: positive rate of the top max(int(n*k), 1) rows (score desc, id asc) over the base rate."""
+    pairs = pairs.where(F.col("score").isNotNull() & F.col("label").isNotNull())
     stats = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("base")).first()
     n = stats["n"]
     if not n:
@@ -150,8 +150,8 @@ N_THRESHOLDS = 99
 
 
 def threshold_index(score: Column, n: int = N_THRESHOLDS) -> Column:
-    """Number of thresholds t_i = i/100 (i = 1..n) with rounded score >= t_i."""
-    s = F.round(score, SCORE_DECIMALS)
+    """Number of thresholds t_i = i/100 (i = 1..n) with score >= t_i (the score as it is)."""
+    s = score
     b = F.floor(s * 100).cast("int")
     b = F.when((b + 1) / F.lit(100.0) <= s, b + 1).otherwise(b)
     b = F.when(b / F.lit(100.0) > s, b - 1).otherwise(b)
@@ -162,6 +162,7 @@ def cost_sweep(pairs: DataFrame, fn: float = COST_FN, fp: float = COST_FP, tp: f
                tn: float = COST_TN) -> DataFrame:
     """Per threshold i/100: tp, fp, fn, tn, review rate, recall, precision, total and per-applicant cost."""
     spark = pairs.sparkSession
+    pairs = pairs.where(F.col("score").isNotNull() & F.col("label").isNotNull())
     per_bucket = (pairs.groupBy(threshold_index(F.col("score")).alias("b"))
                   .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")))
     # tp(t_i) = positives with bucket >= i: a running sum from the top over the
@@ -193,8 +194,8 @@ def optimal_threshold(sweep: DataFrame) -> DataFrame:
 def loss_avoidance(pairs: DataFrame, threshold: float, avg_fraud_loss: float = 1200.0, review_cost: float = 20.0,
                    baseline_recall: float = 0.0) -> DataFrame:
     """Frauds caught, false alarms, gross savings vs a baseline recall, review cost, net savings."""
-    flagged = F.round(F.col("score"), SCORE_DECIMALS) >= F.lit(threshold)
-    a = pairs.agg(F.sum(F.when(flagged & (F.col("label") == 1), 1).otherwise(0)).cast("long").alias("frauds_caught"),
+    flagged = F.col("score") >= F.lit(threshold)
+    a = pairs.where(F.col("score").isNotNull() & F.col("label").isNotNull()).agg(F.sum(F.when(flagged & (F.col("label") == 1), 1).otherwise(0)).cast("long").alias("frauds_caught"),
                   F.sum(F.when(flagged & (F.col("label") == 0), 1).otherwise(0)).cast("long").alias("false_alarms"),
                   F.sum("label").cast("double").alias("_pos"))
     caught = F.col("frauds_caught") * avg_fraud_loss
@@ -209,6 +210,7 @@ def loss_avoidance(pairs: DataFrame, threshold: float, avg_fraud_loss: float = 1
 def group_report(pairs: DataFrame, group_col: str, threshold: float = 0.5, min_group_size: int = 200) -> DataFrame:
     """Per group with n >= min size and both classes: n, positive rate, auc, auc_gap,
     tpr, fpr, fpr_gap, approval rate; NULL group dropped; sorted by auc_gap."""
+    pairs = pairs.where(F.col("score").isNotNull() & F.col("label").isNotNull())
     overall_auc = curve_metrics(threshold_table(pairs)).first()["roc_auc"]
     pred = (F.col("score") >= F.lit(threshold)).cast("int")
     o = pairs.agg(F.sum(F.when((pred == 1) & (F.col("label") == 0), 1).otherwise(0)).alias("fp"),
@@ -221,9 +223,9 @@ def group_report(pairs: DataFrame, group_col: str, threshold: float = 0.5, min_g
         F.sum(F.when((pred == 1) & (F.col("label") == 0), 1).otherwise(0)).alias("fp"),
         F.sum(F.when((pred == 0) & (F.col("label") == 1), 1).otherwise(0)).alias("fn"),
         F.sum(F.when((pred == 0) & (F.col("label") == 0), 1).otherwise(0)).alias("tn"),
-        F.countDistinct("label").alias("n_classes"))
+        (F.min("label") < F.max("label")).alias("both_classes"))
     aucs = curve_metrics(threshold_table(gp, group_col), group_col=group_col).select(group_col, "roc_auc")
-    rep = (stats.where((F.col("n") >= min_group_size) & (F.col("n_classes") >= 2)).join(aucs, group_col))
+    rep = stats.where((F.col("n") >= min_group_size) & F.col("both_classes")).join(aucs, group_col)
     tpr = F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
     fpr = F.col("fp") / F.greatest(F.col("fp") + F.col("tn"), F.lit(1))
     return rep.select(F.col(group_col).alias("group"), "n", "positive_rate", F.col("roc_auc").alias("auc"),

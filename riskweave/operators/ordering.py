@@ -32,11 +32,11 @@ from __future__ import annotations
 import math
 from typing import Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..sources.scratch import discard, materialise
 
 _POS_MASK = (1 << 33) - 1
 
@@ -52,13 +52,13 @@ def _ranked(df: DataFrame, order_by: Sequence[str | Column], partitions: int | N
     ensure_checkpoint_dir(spark)
     n_parts = partitions or shuffle_partitions(spark)
     # the range sampler and the shuffle both read the input: compute it once
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    src = materialise(df, "rank-input")
     ranged = (src.repartitionByRange(n_parts, *order_by)
               .sortWithinPartitions(*order_by)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)))
               .checkpoint(eager=True))
-    src.unpersist()
+    discard(src)
     keys = ["_pid"] + ([group_col] if group_col else [])
     counts = {(r["_pid"], r[group_col] if group_col else None): r["_cnt"]
               for r in ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt")).collect()}
@@ -154,42 +154,53 @@ def interpolate(lo: float, hi: float, frac: float) -> float:
     return lo if frac == 0 or lo == hi else lo + (hi - lo) * frac
 
 
-def _order_stats_refine(long: DataFrame, wanted: dict, counts: dict, buckets: int = 1024,
-                        collect_limit: int = 4096, max_passes: int = 12) -> dict:
+def _order_stats_refine(long: DataFrame, wanted: dict, buckets: int = 1024, max_passes: int = 40) -> dict:
     """Exact order statistics of ``long`` (f, v) by bucket refinement, without sorting the data.
 
-    ``wanted`` maps feature -> set of 0-based ranks. Per target the state is an
+    ``wanted`` maps feature -> set of 0-based ranks. Infinite values are counted
+    first and settle the ranks they cover. Per remaining target the state is an
     interval [lo, hi] of actual values plus the number of values below lo. Each
     pass is ONE partial aggregation of (interval, bucket) -> count/min/max
-    against a broadcast table of the open intervals (bounded by the number of
-    targets); the target's bucket becomes its next interval (its true min/max,
-    so no floating-point edge can lose a value). Intervals with equal ends are
-    solved; intervals with at most ``collect_limit`` values are collected.
+    against a broadcast table of the open intervals (at most one per target);
+    the target's bucket becomes its next interval (its true min/max,
+    so no floating-point edge can lose a value), until its ends are equal. Only
+    bucket counts reach the driver, never values in bulk.
     Returns {(feature, rank): value}; targets still open after ``max_passes``
     are returned as missing (the caller falls back to the sort).
     """
     spark = long.sparkSession
-    ext = {r["f"]: (r["lo"], r["hi"]) for r in
-           long.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    state = {(f, k): (ext[f][0], ext[f][1], 0, counts[f]) for f, ks in wanted.items() for k in ks if f in ext}
+    infinite = F.abs(F.col("v")) == F.lit(float("inf"))
+    finite = F.when(~infinite, F.col("v"))
+    ext = {r["f"]: r for r in long.groupBy("f").agg(
+        F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count(finite).alias("n"),
+        F.sum((infinite & (F.col("v") < 0)).cast("long")).alias("minus")).collect()}
     done: dict = {}
-    for _ in range(max_passes + 1):
-        for t, (lo, hi, _below, _n) in list(state.items()):
+    state: dict = {}
+    for f, ks in wanted.items():
+        if f not in ext:
+            continue
+        e = ext[f]
+        for k in ks:
+            if k < e["minus"]:
+                done[(f, k)] = float("-inf")
+            elif k >= e["minus"] + e["n"]:
+                done[(f, k)] = float("inf")
+            else:
+                state[(f, k)] = (e["lo"], e["hi"], e["minus"])
+    for _ in range(max_passes):
+        for t, (lo, hi, _below) in list(state.items()):
             if lo == hi:
                 done[t] = lo
                 del state[t]
         if not state:
             break
-        small = {t: st for t, st in state.items() if st[3] <= collect_limit}
-        big = {t: st for t, st in state.items() if st[3] > collect_limit}
-        if not big or _ == max_passes:
-            break
-        ivs = sorted({(t[0], st[0], st[1]) for t, st in big.items()})
+        ivs = sorted({(t[0], st[0], st[1]) for t, st in state.items()})
         iv_id = {iv: j for j, iv in enumerate(ivs)}
         iv_df = spark.createDataFrame([(f, j, float(lo), float(hi)) for (f, lo, hi), j in iv_id.items()],
                                       "f int, j int, lo double, hi double")
-        width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
-        b = F.least(F.floor((F.col("v") - F.col("lo")) / width).cast("int"), F.lit(buckets - 1))
+        # halved before the difference, so that the width of the full double range is finite
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        b = F.least(F.floor(share * F.lit(float(buckets))).cast("int"), F.lit(buckets - 1))
         rows = (long.join(F.broadcast(iv_df), "f")          # one row per open interval of the feature
                 .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
                 .groupBy("j", b.alias("b"))
@@ -198,32 +209,13 @@ def _order_stats_refine(long: DataFrame, wanted: dict, counts: dict, buckets: in
         per_iv: dict = {}
         for r in rows:
             per_iv.setdefault(r["j"], []).append((r["b"], r["c"], r["mn"], r["mx"]))
-        for t, (lo, hi, below, _n) in big.items():
-            k = t[1]
+        for t, (lo, hi, below) in state.items():
             acc = below
             for _b, c, mn, mx in sorted(per_iv.get(iv_id[(t[0], lo, hi)], [])):
-                if acc + c > k:
-                    state[t] = (mn, mx, acc, c)
+                if acc + c > t[1]:
+                    state[t] = (mn, mx, acc)
                     break
                 acc += c
-        state.update(small)
-    # collect the remaining small intervals (each holds at most collect_limit values)
-    small = {t: st for t, st in state.items() if st[3] <= collect_limit}
-    if small:
-        ivs = sorted({(t[0], st[0], st[1]) for t, st in small.items()})
-        iv_id = {iv: j for j, iv in enumerate(ivs)}
-        iv_df = spark.createDataFrame([(f, j, float(lo), float(hi)) for (f, lo, hi), j in iv_id.items()],
-                                      "f int, j int, lo double, hi double")
-        got: dict = {}
-        for r in (long.join(F.broadcast(iv_df), "f")
-                  .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-                  .select("j", "v").collect()):
-            got.setdefault(r["j"], []).append(r["v"])
-        for t, (lo, hi, below, _n) in small.items():
-            vals = sorted(got.get(iv_id[(t[0], lo, hi)], []))
-            i = t[1] - below
-            if 0 <= i < len(vals):
-                done[t] = vals[i]
     return done
 
 
@@ -256,7 +248,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
 
     if not cols:
         return {}
-    long = _unpivot(df, cols)
+    narrow = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "quantile-input") \
+        if method == "exact" else df      # the wide columns are written once, each pass unpivots them on the fly
+    long = _unpivot(narrow, cols)
     if method == "approx":
         rows = (long.groupBy("f").agg(F.percentile_approx("v", probs, accuracy).alias("q")).collect())
         got = {r["f"]: [rnd(x) for x in r["q"]] for r in rows}
@@ -265,7 +259,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
         raise ValueError(f"unknown quantile method {method!r}")
 
     if method == "exact":
-        src = long.persist(StorageLevel.MEMORY_AND_DISK)     # read once per refinement pass
+        src = long
         counts = {r["f"]: r["n"] for r in src.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
     else:
         ranked, pcounts = _ranked(long, ["f", "v"], None, group_col="f")
@@ -288,7 +282,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
             wanted.update((start[i] + lo, start[i] + hi))
     if not wanted:
         if method == "exact":
-            src.unpersist()
+            discard(narrow)
         return {c: [None] * len(probs) for c in cols}
     if method == "exact":
         # global positions -> (feature, rank within feature)
@@ -296,14 +290,14 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
         for g in wanted:
             f = max(i for i in range(len(cols)) if start[i] <= g and counts.get(i, 0) > 0 and g < start[i] + counts[i])
             by_f.setdefault(f, set()).add(g - start[f])
-        found = _order_stats_refine(src, by_f, counts)
+        found = _order_stats_refine(src, by_f)
         missing = {(f, k) for f, ks in by_f.items() for k in ks if (f, k) not in found}
         if missing:     # pathological clustering: finish those ranks with the sort
             ranked, pcounts = _ranked(src, ["f", "v"], None, group_col="f")
             extra = _select(ranked, _offsets(pcounts), [start[f] + k for f, k in missing])
             for g, r in extra.items():
                 found[(r["f"], g - start[r["f"]])] = r["v"]
-        src.unpersist()
+        discard(narrow)
         vals = {start[f] + k: v for (f, k), v in found.items()}
     else:
         vals = {g: r["v"] for g, r in _select(ranked, _offsets(pcounts), wanted).items()}

@@ -56,15 +56,15 @@ def cumulative_histogram(df: DataFrame, score: str = "fraud_score", n: int = HIS
 
 
 def portfolio_kpis(df: DataFrame, label: str = "label", score: str = "score", flag_at: float = 0.5) -> DataFrame:
-    """Rows, fraud rate, mean score, share flagged at ``flag_at``."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("fraud_rate"), F.avg(score).alias("mean_score"),
+    """Scored rows, their fraud rate, mean score, share flagged at ``flag_at``."""
+    return df.where(F.col(score).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("fraud_rate"), F.avg(score).alias("mean_score"),
                   F.avg((F.col(score) >= F.lit(flag_at)).cast("int")).alias("flag_rate"))
 
 
 def score_histogram(df: DataFrame, label: str = "label", score: str = "score", bins: int = DASHBOARD_BINS) -> DataFrame:
-    """Fixed [0, 1] bins of width 1/bins by label; a score of 1.0 falls in the last bin."""
+    """Fixed [0, 1] bins of width 1/bins by label; 1.0 falls in the last bin, a missing score in none."""
     b = F.least(F.greatest(F.floor(F.col(score) * bins).cast("int"), F.lit(0)), F.lit(bins - 1))
-    return df.groupBy(b.alias("bin"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return df.where(F.col(score).isNotNull()).groupBy(b.alias("bin"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def decile_rates(df: DataFrame, label: str = "label", score: str = "score", q: int = 10) -> DataFrame:

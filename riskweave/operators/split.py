@@ -37,7 +37,7 @@ def time_split(df: DataFrame, date_col: str = "issue_d", val_size: float = 0.15,
     """Order by (date NULLS LAST, key); rows [0, v) train, [v, t) val, [t, n) test,
     v = int(n * (1 - test - val)), t = int(n * (1 - test)). Exact row counts."""
     if date_col not in df.columns:
-        raise ValueError(f"Date column '{date_col}' not in DataFrame")
+        raise ValueError(f"time_split needs the column {date_col!r}; the frame has {sorted(df.columns)}")
     narrow = df.select(*_time_key(date_col, key))
     n, fetch = ranked_positions(narrow, ["_null", "_d", "_k"])     # one sort gives n and the cut rows
     test_start = int(n * (1 - test_size))
@@ -62,9 +62,14 @@ def split_spans(split_df: DataFrame, date_col: str = "issue_d") -> DataFrame:
                                          F.max(date_col).alias("max_date"))
 
 
+def _shuffle_key(key: str, seed: int) -> Column:
+    """A seeded order that does not depend on the engine: md5 of the key and the seed."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
 def _class_boundaries(df: DataFrame, target: str, seed: int, key: str, fractions: Sequence[float]):
     """Per class, the shuffled-order keys at the cumulative fractions (collected, a few rows)."""
-    shuffled = df.select(F.col(target).alias("_y"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"),
+    shuffled = df.select(F.col(target).alias("_y"), _shuffle_key(key, seed).alias("_h"),
                          F.col(key).alias("_k"))
     counts = {r["_y"]: r["n"] for r in shuffled.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = sorted(counts, key=lambda v: (v is None, v))
@@ -84,7 +89,7 @@ def _class_boundaries(df: DataFrame, target: str, seed: int, key: str, fractions
 
 def _bucket_expr(df: DataFrame, target: str, seed: int, key: str, classes, bounds, n_cuts: int) -> Column:
     """Number of class boundaries at or before the row in the shuffled order."""
-    row = F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_k"))
+    row = F.struct(_shuffle_key(key, seed).alias("_h"), F.col(key).alias("_k"))
     expr = F.lit(0)
     for c in classes:
         passed = F.lit(0)
@@ -99,7 +104,7 @@ def _bucket_expr(df: DataFrame, target: str, seed: int, key: str, classes, bound
 
 def stratified_split(df: DataFrame, target: str = "is_fraud", val_size: float = 0.15, test_size: float = 0.15,
                      seed: int = 42, key: str = "id") -> DataFrame:
-    """Per class, a seeded shuffle (xxhash64 of the key); the first ceil(n_c*test)
+    """Per class, a seeded shuffle (md5 of key and seed); the first ceil(n_c*test)
     rows are test, the next ceil(n_c*(1-test)*val/(1-test)) val, the rest train.
 
     Class shares are kept in every split. Ranks inside a class come from one

@@ -83,19 +83,30 @@ def _violated(df: DataFrame, r: Rule) -> Column | None:
     c = F.col(r.column)
     if r.check == "not_null" or r.check == "required":
         return c.isNull()
+    # text in a numeric column: a failed conversion is its own violation (type_double), the range checks skip it
+    number = c.cast("string").try_cast("double") if isinstance(df.schema[r.column].dataType, StringType) else c
     if r.check == "ge":
-        return F.coalesce(c < F.lit(r.arg), F.lit(False))
+        return F.coalesce(number < F.lit(r.arg), F.lit(False))
     if r.check == "le":
-        return F.coalesce(c > F.lit(r.arg), F.lit(False))
+        return F.coalesce(number > F.lit(r.arg), F.lit(False))
     if r.check == "isin":
-        return F.coalesce(~c.isin(*r.arg), F.lit(False))
+        return F.coalesce(~(c if isinstance(r.arg[0], str) else number).isin(*r.arg), F.lit(False))
     if r.check == "integer":
-        return F.coalesce(c != F.floor(c), F.lit(False))
+        return F.coalesce(number != F.floor(number), F.lit(False))
     if r.check == "type_double":
-        return c.isNotNull() & (c.cast("string")).try_cast("double").isNull()
+        if isinstance(df.schema[r.column].dataType, NumericType):
+            return F.lit(False)
+        return c.isNotNull() & c.cast("string").try_cast("double").isNull()
     raise ValueError(f"unknown check {r.check}")
 
 
+def _type_rules(rules: Sequence[Rule]) -> tuple[Rule, ...]:
+    """A conversion check for every column that has a numeric one."""
+    numeric = [r.column for r in rules if r.check in ("ge", "le", "integer")
+               or (r.check == "isin" and not isinstance(r.arg[0], str))]
+    return tuple(Rule(c, "type_double") for c in dict.fromkeys(numeric))
+
+
 def _entry(df: DataFrame, r: Rule, pred: Column) -> Column:
     dtype = df.schema[r.column].dataType
     num = F.col(r.column).cast("double") if isinstance(dtype, NumericType) else F.lit(None).cast("double")
@@ -107,7 +118,7 @@ def _entry(df: DataFrame, r: Rule, pred: Column) -> Column:
 def violations_column(df: DataFrame, rules: Sequence[Rule]) -> Column:
     """array<struct<column, check, num_value, str_value>> of the rules a row breaks."""
     entries = []
-    for r in rules:
+    for r in (*rules, *_type_rules(rules)):
         pred = _violated(df, r)
         if pred is not None:
             entries.append(_entry(df, r, pred))
@@ -122,6 +133,17 @@ def validate(df: DataFrame, rules: Sequence[Rule] = LOAN_RULES, key: str = "id")
             .select(key, "v.column", "v.check", "v.num_value", "v.str_value"))
 
 
+def validation_report(df: DataFrame, rules: Sequence[Rule] = LOAN_RULES, key: str = "id") -> DataFrame:
+    """V1 and V2 in one report: rule violations, and one ``unique`` failure per row whose key occurs more than once."""
+    again = duplicate_keys(df.select(key), key).select(F.col(key).alias("_key"))
+    repeated = df.select(key).join(again, F.col(key).eqNullSafe(F.col("_key"))).select(
+        key, F.lit(key).alias("column"), F.lit("unique").alias("check"),
+        (F.col(key).cast("double") if isinstance(df.schema[key].dataType, NumericType)
+         else F.lit(None).cast("double")).alias("num_value"),
+        (F.col(key) if isinstance(df.schema[key].dataType, StringType) else F.lit(None).cast("string")).alias("str_value"))
+    return validate(df, rules, key).unionByName(repeated)
+
+
 def violation_summary(violations: DataFrame) -> DataFrame:
     """V1 summary: number of failures per (column, check)."""
     return violations.groupBy("column", "check").agg(F.count(F.lit(1)).alias("n_failures"))

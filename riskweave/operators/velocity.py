@@ -14,8 +14,9 @@ global ordering (G1 range sort over (key, day, id)) minus the group's first
 position, so a hot key or a hot day is spread over many tasks instead of
 landing in one window partition.
 
-All keys are processed together: the frame is unpivoted to (key index, key
-value, day, id), ranked once, and pivoted back by id.
+All keys are processed together: the frame is unpivoted to (key column, key
+value, day, id), ranked once, and pivoted back by id. Finer time units use prefix
+counts instead of a window per key (``_prefix_counts``).
 
 W2 (peer-inclusive, deterministic without a tie key) is #(same key, day in
 [d - w, d]) - 1 and needs the aggregation only.
@@ -29,10 +30,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..sources.scratch import materialise
+from .evaluate import prefix_sums
 from .ordering import indexed
 
 # Default keys and windows (days).
@@ -59,28 +61,53 @@ def time_value(c: str, unit: str = "day"):
 
 
 def _long(df: DataFrame, date_col: str, keys: Sequence[str], id_col: str, unit: str = "day") -> DataFrame:
-    kv = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("kv"))
-                             for i, c in enumerate(keys)])).alias("e")
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("kv")) for c in keys])).alias("e")
     return (df.select(F.col(id_col).alias("_id"), time_value(date_col, unit).alias("day"), kv)
             .select("_id", "day", "e.k", "e.kv")
             .where(F.col("kv").isNotNull() & F.col("day").isNotNull()))
 
 
-def _day_counts(long: DataFrame, windows: Sequence[int], include_today: bool, unit: str = "day") -> DataFrame:
-    """Per (key, day): rows that day and rows in each trailing window of days."""
-    grp = long.groupBy("k", "kv", "day").agg(F.count(F.lit(1)).alias("n_day"))
+def _day_counts(long: DataFrame, windows: Sequence[int], include_today: bool, *more: Column) -> DataFrame:
+    """Per (key, day): rows that day (and ``more`` aggregates) and rows in each trailing window of days."""
+    grp = long.groupBy("k", "kv", "day").agg(F.count(F.lit(1)).alias("n_day"), *more)
     w_by_day = Window.partitionBy("k", "kv").orderBy("day")
     hi = 0 if include_today else -1
-    scale = UNIT_SCALE[unit]
     for w in windows:
-        grp = grp.withColumn(f"c{w}", F.coalesce(F.sum("n_day").over(w_by_day.rangeBetween(-w * scale, hi)),
-                                                 F.lit(0)))
+        grp = grp.withColumn(f"c{w}", F.coalesce(F.sum("n_day").over(w_by_day.rangeBetween(-w, hi)), F.lit(0)))
     return grp
 
 
+def _prefix_counts(df: DataFrame, date_col: str, keys: Sequence[str], windows: Sequence[int], id_col: str,
+                   unit: str, include_now: bool, prefix: str) -> DataFrame:
+    """Window counts at fine time units, where a key may hold any number of distinct times.
+
+    Events and, per event and window, a probe at the window's start lie in one
+    global order (key, time, probes first, id). Prefix counts of events at an
+    event and at its probe differ by the events in between, so no window ever
+    gathers a key. With ``include_now`` a second probe after all events of the same time ends the window.
+    """
+    scale = UNIT_SCALE[unit]
+    long = materialise(_long(df, date_col, keys, id_col, unit), "velocity-events")
+    marks = [F.struct(F.lit(w).alias("w"), (F.col("day") - F.lit(w * scale)).alias("t"), F.lit(0).alias("kind")) for w in windows]
+    marks.append(F.struct(F.lit(0).alias("w"), F.col("day").alias("t"), F.lit(2 if include_now else 1).alias("kind")))
+    if include_now:
+        marks.append(F.struct(F.lit(-1).alias("w"), F.col("day").alias("t"), F.lit(1).alias("kind")))
+    rows = long.select("_id", "k", "kv", F.explode(F.array(*marks)).alias("m")).select(
+        "_id", "k", "kv", "m.w", "m.t", "m.kind", (F.col("m.kind") == 1).cast("long").alias("event"))
+    order = ["k", "kv", "t", "kind", "_id"]
+    counted = prefix_sums(rows, [], [F.col(c) for c in order], order, ["event"])
+
+    def at(w: int) -> Column:
+        return F.max(F.when(F.col("w") == w, F.col("cum_event")))
+
+    # the event itself is inside its own window (and counted by the closing mark): it is taken off
+    per = counted.groupBy("_id", "k").agg(*[(at(0) - at(w) - 1).cast("int").alias(f"v{w}") for w in windows])
+    return _pivot_back(df, per, keys, windows, id_col, prefix)
+
+
 def _pivot_back(df: DataFrame, per_key: DataFrame, keys, windows, id_col: str, prefix: str) -> DataFrame:
-    aggs = [F.max(F.when(F.col("k") == i, F.col(f"v{w}"))).alias(f"{prefix}_{key}_{w}d")
-            for i, key in enumerate(keys) for w in windows]
+    aggs = [F.max(F.when(F.col("k") == key, F.col(f"v{w}"))).alias(f"{prefix}_{key}_{w}d")
+            for key in keys for w in windows]
     wide = per_key.groupBy(F.col("_id").alias(id_col)).agg(*aggs)
     out = df.join(wide, id_col, "left")
     return out.fillna(0, subset=[f"{prefix}_{key}_{w}d" for key in keys for w in windows])
@@ -95,11 +122,12 @@ def build_velocity_features(df: DataFrame, date_col: str = "issue_d", keys: Sequ
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df
+    if unit != "day":
+        return _prefix_counts(df, date_col, keys, windows_days, id_col, unit, False, "vel")
     long = _long(df, date_col, keys, id_col, unit)
     ranked = indexed(long, ["k", "kv", "day", "_id"], "gidx")
-    grp = _day_counts(ranked, windows_days, include_today=False, unit=unit)
-    first = ranked.groupBy("k", "kv", "day").agg(F.min("gidx").alias("first_gidx"))
-    per = (ranked.join(grp.join(first, ["k", "kv", "day"]), ["k", "kv", "day"])
+    grp = _day_counts(ranked, windows_days, False, F.min("gidx").alias("first_gidx"))
+    per = (ranked.join(grp, ["k", "kv", "day"])
            .select("_id", "k", *[(F.col(f"c{w}") + F.col("gidx") - F.col("first_gidx")).cast("int").alias(f"v{w}")
                                  for w in windows_days]))
     return _pivot_back(df, per, keys, windows_days, id_col, "vel")
@@ -114,11 +142,11 @@ def build_velocity_peers(df: DataFrame, date_col: str = "issue_d", keys: Sequenc
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df
+    if unit != "day":
+        return _prefix_counts(df, date_col, keys, windows_days, id_col, unit, True, "velp")
     # the narrow unpivoted input feeds both the day counts and the join back: compute it once
-    # (a reliable checkpoint: nothing stays cached, a lost executor re-reads files)
-    ensure_checkpoint_dir(df.sparkSession)
-    long = _long(df, date_col, keys, id_col, unit).checkpoint(eager=True)
-    grp = _day_counts(long, windows_days, include_today=True, unit=unit)
+    long = materialise(_long(df, date_col, keys, id_col, unit), "velocity-long")
+    grp = _day_counts(long, windows_days, True)
     per = long.join(grp, ["k", "kv", "day"]).select(
         "_id", "k", *[(F.col(f"c{w}") - 1).cast("int").alias(f"v{w}") for w in windows_days])
     return _pivot_back(df, per, keys, windows_days, id_col, "velp")
@@ -128,7 +156,7 @@ def build_velocity_peers(df: DataFrame, date_col: str = "issue_d", keys: Sequenc
 
 def velocity_state(history: DataFrame, date_col: str = "issue_d", keys: Sequence[str] = DEFAULT_KEYS,
                    id_col: str = "id", unit: str = "day") -> DataFrame:
-    """Stored snapshot for scoring: rows of the history per (key index, key value, day).
+    """Stored snapshot for scoring: rows of the history per (key column, key value, day).
 
     One partial aggregation; write it as a table (or checkpoint it) and reuse it
     for every scoring batch instead of recomputing windows inside micro-batches.

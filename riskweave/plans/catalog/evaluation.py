@@ -9,6 +9,7 @@ from ...operators import evaluate as E
 from ...operators import scoring as S
 from ...operators import split as P
 from ...sources.applications import applications
+from ...sources.scratch import materialise
 from ...sources.tables import table
 from ..registry import register, rounded, with_apps
 from .labels import LABELLED_CTES, labelled
@@ -16,8 +17,9 @@ from .windows import _P1_SQL
 
 
 def pairs(spark, sf):
-    """Scored pairs over the labelled applications (label = is_fraud)."""
-    return E.scored_pairs(labelled(spark, sf), "is_fraud", "score")
+    """Scored pairs over the labelled applications (label = is_fraud); every 97th application has no score."""
+    unknown = labelled(spark, sf).select("id", "is_fraud", F.when(F.col("id") % 97 != 0, F.col("score")).alias("score"))
+    return materialise(E.scored_pairs(unknown, "is_fraud", "score"), "pairs")
 
 
 def doc_pairs(spark, sf):
@@ -29,7 +31,9 @@ def doc_pairs(spark, sf):
                     (F.col("n_chars") / (F.col("n_chars") + F.lit(2000.0))).alias("score"))
 
 
-_PAIRS = LABELLED_CTES + ", pairs AS (SELECT id, is_fraud AS label, score FROM labelled)\n"
+_PAIRS = LABELLED_CTES + """, all_pairs AS (SELECT id, is_fraud AS label, CASE WHEN id % 97 <> 0 THEN score END AS score FROM labelled),
+pairs AS (SELECT * FROM all_pairs WHERE score IS NOT NULL)
+"""
 _DOC_PAIRS = """WITH pairs AS (SELECT l.doc_id AS id, CAST(l.toxic AS INTEGER) AS label,
   d.n_chars / (d.n_chars + 2000e0) AS score FROM labels l JOIN documents d USING (doc_id))
 """
@@ -174,9 +178,8 @@ SELECT gs.grp AS "group", gs.n, round(positive_rate, 6) AS positive_rate, round(
        round((tn + fn) / n, 6) AS approval_rate
 FROM gs JOIN ga USING (grp) WHERE n >= 200 AND k >= 2"""))
 def e10(spark, sf):
-    lab = labelled(spark, sf)
-    p = lab.select("id", F.col("is_fraud").alias("label"), "score", "addr_state")
-    return rounded(E.group_report(p, "addr_state"))
+    p = labelled(spark, sf).select("id", F.col("is_fraud").alias("label"), "score", "addr_state")
+    return rounded(E.group_report(materialise(p, "group-pairs"), "addr_state"))
 
 
 # ---------------------------------------------------------------- S1, S4-S8
@@ -266,7 +269,8 @@ te_ AS (SELECT a.* FROM applications a JOIN s USING (id) WHERE s.split = 'test')
 
 
 def _split_frames(spark, sf):
-    a = P.time_split(applications(spark, sf, materialize=True))
+    narrow = materialise(applications(spark, sf).select("id", "issue_d", *_DRIFT_COLS), "drift-input")
+    a = P.time_split(narrow)
     return a.where(F.col("split") == "train"), a.where(F.col("split") == "test")
 
 
@@ -292,17 +296,6 @@ def d3(spark, sf):
     return rounded(D.fit_reference(tr, _DRIFT_COLS).psi_report(te))
 
 
-_EVENT_TYPES_SQL = "SELECT DISTINCT event_type FROM events"
-
-
-def _event_wide(spark, sf):
-    ev = table(spark, sf, "events").select("event_type", "value", "ts")
-    types = sorted(r["event_type"] for r in ev.select("event_type").distinct().collect())
-    wide = ev.select("ts", *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in types])
-    cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
-    return wide.where(F.col("ts") < cut), wide.where(F.col("ts") >= cut), types
-
-
 def _events_psi_sql() -> str:
     return f"""
 WITH evl AS (SELECT event_type AS feature, value AS x, ts < TIMESTAMP '2024-01-16 00:00:00' AS early FROM events
@@ -327,8 +320,16 @@ SELECT feature, round(psi, 6) AS psi, psi > 2e-1 AS alert FROM rep"""
 
 @register("D3_psi_report_events", _events_psi_sql())
 def d3_events(spark, sf):
-    early, late, types = _event_wide(spark, sf)
-    return rounded(D.fit_reference(early, types).psi_report(late))
+    ev = table(spark, sf, "events").select(F.col("event_type").alias("feature"), F.col("value").alias("x"), "ts")
+    cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
+    return rounded(D.psi_of_long(ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)))
+
+
+@register("D4_top_features", with_apps(_SPLIT_SRC + _psi_sql("tr", "te_", _DRIFT_COLS) + """
+SELECT feature, round(psi, 6) AS psi, psi > 2e-1 AS alert FROM rep ORDER BY psi DESC, feature LIMIT 20"""))
+def d4_top(spark, sf):
+    tr, te = _split_frames(spark, sf)
+    return rounded(D.alert_summary(D.fit_reference(tr, _DRIFT_COLS).psi_report(te))[1])
 
 
 @register("D4_alert_summary", with_apps(_SPLIT_SRC + _psi_sql("tr", "te_", _DRIFT_COLS) + """

@@ -71,7 +71,7 @@ SELECT l.id, """ + ", ".join(
     f"round(coalesce((SELECT woe FROM wt WHERE \"column\" = '{c}' AND value = coalesce(CAST(l.{c} AS VARCHAR), "
     f"'__NA__')), 0e0), 6) AS {c}_woe" for c in _LOW) + " FROM labelled l"))
 def f3(spark, sf):
-    lab = labelled(spark, sf)
+    lab = materialise(labelled(spark, sf).select("id", "issue_d", *_LOW, "is_fraud"), "woe-input")
     train = P.time_split(lab).where(F.col("split") == "train")
     m = E.fit_woe(train, _LOW, "is_fraud")
     return rounded(m.transform(lab).select("id", *[f"{c}_woe" for c in _LOW]))
@@ -88,7 +88,7 @@ SELECT l.id, """ + ", ".join(
     f"round(coalesce((SELECT te FROM te WHERE \"column\" = '{c}' AND value = coalesce(CAST(l.{c} AS VARCHAR), "
     f"'__NA__')), (SELECT m FROM gm)), 6) AS {c}_te" for c in _HIGH) + " FROM labelled l"))
 def f5(spark, sf):
-    lab = labelled(spark, sf)
+    lab = materialise(labelled(spark, sf).select("id", "issue_d", *_HIGH, "is_fraud"), "target-input")
     train = P.time_split(lab).where(F.col("split") == "train")
     m = E.fit_target(train, _HIGH, "is_fraud")
     return rounded(m.transform(lab).select("id", *[f"{c}_te" for c in _HIGH]))
@@ -169,9 +169,16 @@ def f11(spark, sf):
                             to_double("grade").alias("grade_num")))
 
 
+def _feature_input(spark, sf):
+    """What the feature pipeline reads, written once: fits and transforms pass over it several times."""
+    lab = labelled(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+    return materialise(lab.drop("rule_fpd", "rule_income_anomaly", "rule_debt_inconsist", "rule_address_ring",
+                                "n_anomalies", "loan_status", "last_pymnt_d", "score"), "feature-input")
+
+
 def f9(spark, sf):
     """Fit the feature pipeline on the time-split train rows, transform every row."""
-    lab = labelled(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+    lab = _feature_input(spark, sf)
     train = P.time_split(lab).where(F.col("split") == "train")
     model = FB.FeatureBuilder().fit(train)
     return rounded(model.transform(lab))
@@ -328,8 +335,9 @@ LEFT JOIN deg ON deg.node = a.id""")
 @register("F10_engineered_frame", _f10_sql())
 def f10(spark, sf):
     """Behavioural + velocity + graph features of the applications (default link keys; keyed by id)."""
-    a = applications(spark, sf, materialize=True)
-    a = a.withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+    a = applications(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+    a = materialise(a.drop("loan_status", "last_pymnt_d", "score", "grade", "home_ownership", "purpose", "revol_util"),
+                    "engineer-input")
     eng = FB.engineer(a, use_velocity=True, use_graph=True)
     keep = [c for c in eng.columns if c not in a.columns or c == "id"]
     return rounded(eng.select(*keep))
@@ -338,8 +346,7 @@ def f10(spark, sf):
 def io6(spark, sf):
     """Fit the feature pipeline on train, persist it (Parquet + JSON), reload, transform the test split."""
     from ...sources.io import scratch_path
-    lab = labelled(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
-    s = P.time_split(lab)
+    s = P.time_split(_feature_input(spark, sf))
     model = FB.FeatureBuilder(use_graph=False).fit(s.where(F.col("split") == "train"))
     path = scratch_path(spark, "feature-state")
     model.save(path)

@@ -35,12 +35,9 @@ LABELLED_CTES = _LABELS_SQL
 
 
 def labelled(spark, sf):
-    """Applications with L1-L5, materialised once: the label rules and every
-    later fit read it in several passes."""
-    apps = applications(spark, sf).persist()
-    out = L.build_fraud_labels(apps).checkpoint(eager=True)
-    apps.unpersist()
-    return out
+    """Applications with L1-L5, lazily: the flags are a projection over one quantile and the ring zips, so a query
+    scans the columns it selects and no others."""
+    return L.build_fraud_labels(applications(spark, sf))
 
 
 @register("FX_applications", with_apps(" SELECT * FROM applications"))

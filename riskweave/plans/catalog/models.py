@@ -8,6 +8,7 @@ from ...operators import scoring as S
 from ...operators import split as P
 from ...sources.applications import applications
 from ...sources.io import scratch_path
+from ...sources.scratch import materialise
 from ...streaming import scoring as ST
 from .. import models as M
 from .. import training as T
@@ -20,9 +21,9 @@ _NUM = ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_util", "revol_bal",
 
 def _matrix(spark, sf):
     """Labelled applications with a numeric feature vector (NULL -> 0)."""
-    lab = labelled(spark, sf).withColumnRenamed("is_fraud", "label")
-    lab = lab.select("id", "label", "issue_d", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _NUM])
-    return M.assemble(lab, _NUM).checkpoint(eager=True)
+    lab = labelled(spark, sf).select("id", F.col("is_fraud").alias("label"), "issue_d",
+                                     *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _NUM])
+    return M.assemble(materialise(lab, "matrix"), _NUM)
 
 
 _TRAINED: dict = {}
@@ -74,11 +75,12 @@ def m5(spark, sf):
 
 
 @register("M6_minmax_scaling", with_apps("""
-, b AS (SELECT round(quantile_cont(score, 1e-2), 6) AS lo, round(quantile_cont(score, 99e-2), 6) AS hi
-        FROM applications)
-SELECT id, round(least(greatest((score - lo) / (hi - lo), 0e0), 1e0), 6) AS scaled FROM applications, b"""))
+, x AS (SELECT id, CASE WHEN id % 97 <> 0 THEN score END AS score FROM applications),
+b AS (SELECT round(quantile_cont(score, 1e-2), 6) AS lo, round(quantile_cont(score, 99e-2), 6) AS hi FROM x)
+SELECT id, CASE WHEN score IS NOT NULL THEN round(least(greatest((score - lo) / (hi - lo), 0e0), 1e0), 6) END AS scaled
+FROM x, b"""))
 def m6(spark, sf):
-    a = applications(spark, sf, materialize=True)
+    a = applications(spark, sf).select("id", F.when(F.col("id") % 97 != 0, F.col("score")).alias("score"))
     lo, hi = M.minmax_bounds(a, "score")
     return rounded(a.select("id", M.minmax("score", lo, hi).alias("scaled")))
 
@@ -187,7 +189,7 @@ def m9(spark, sf):
     """Isotonic calibration of the label on the raw score (clipped outside the fitted range)."""
     lab = labelled(spark, sf).select("id", "issue_d", F.col("is_fraud").alias("label"),
                                      F.col("score").alias("meta_score"))
-    s = P.time_split(lab)
+    s = P.time_split(materialise(lab, "calibration-input"))
     iso = M.fit_isotonic(s.where(F.col("split") == "val"))
     return iso.transform(s.where(F.col("split") == "test")).select("id", "meta_score", F.col("_iso").alias("calibrated"))
 

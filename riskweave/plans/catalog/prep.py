@@ -75,6 +75,36 @@ def io1(spark, sf):
         "earliest_cr_line", "last_pymnt_d", "title"))
 
 
+@register("IO1_quoted_csv_to_typed", with_apps("""
+SELECT id, title || ' "quoted", ' || id AS title,
+       CASE WHEN id % 31 = 0 THEN NULL ELSE round(loan_amnt, 6) END AS loan_amnt, round(annual_inc, 6) AS annual_inc
+FROM applications"""))
+def io1_quoted(spark, sf):
+    """Quotes and commas inside a field and text in a numeric column, through the CSV file to the typed frame."""
+    raw = raw_applications(spark, sf)
+    raw = raw.withColumn("title", F.concat("title", F.lit(' "quoted", '), "id")) \
+        .withColumn("loan_amnt", F.when(F.col("id").cast("long") % 31 == 0, F.lit("n/a")).otherwise(F.col("loan_amnt")))
+    path = IO.write_csv(raw, IO.scratch_path(spark, "quoted-csv"))
+    return rounded(IO.typed_applications(N.normalise(IO.read_raw_csv(spark, path))).select(
+        "id", "title", "loan_amnt", "annual_inc"))
+
+
+@register("V1_V2_report_of_dirty_rows", with_apps("""
+, src AS (SELECT id, CASE WHEN id % 31 = 0 THEN 'n/a' ELSE CAST(CAST(loan_amnt AS INTEGER) AS VARCHAR) END AS loan_amnt
+          FROM applications UNION ALL SELECT id, '1000' FROM applications WHERE id % 101 = 0)
+SELECT id, 'loan_amnt' AS "column", 'ge' AS "check" FROM src WHERE TRY_CAST(loan_amnt AS DOUBLE) < 500
+UNION ALL SELECT id, 'loan_amnt', 'le' FROM src WHERE TRY_CAST(loan_amnt AS DOUBLE) > 50000
+UNION ALL SELECT id, 'loan_amnt', 'type_double' FROM src WHERE loan_amnt = 'n/a'
+UNION ALL SELECT id, 'id', 'unique' FROM src WHERE id % 101 = 0"""))
+def v1_dirty(spark, sf):
+    """Text in a numeric column and repeated ids are reported, not raised."""
+    a = applications(spark, sf).select("id", F.when(F.col("id") % 31 == 0, F.lit("n/a"))
+                                       .otherwise(F.round("loan_amnt").cast("int").cast("string")).alias("loan_amnt"))
+    extra = applications(spark, sf).where("id % 101 = 0").select("id", F.lit("1000").alias("loan_amnt"))
+    rules = [r for r in V.LOAN_RULES if r.column in ("id", "loan_amnt")]
+    return V.validation_report(a.unionByName(extra), rules).select("id", "column", "check")
+
+
 @register("N1_parse_percent", with_apps(_RAW + f"""
 SELECT id, {_pct_sql('int_rate_raw')} AS int_rate, {_pct_sql('revol_util_raw')} AS revol_util FROM raw"""))
 def n1(spark, sf):
@@ -321,10 +351,13 @@ def b7(spark, sf):
 
 # ---------------------------------------------------------------- IO2-IO5
 
-@register("IO2_seeded_sample")
+@register("IO2_seeded_sample", with_apps("""
+SELECT id, issue_d, round(loan_amnt, 6) AS loan_amnt FROM applications
+ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT 1000"""))
 def io2(spark, sf):
     """Exactly 1,000 applications (or all when fewer), reproducible for seed 42."""
-    return IO.seeded_sample(applications(spark, sf), 1000, seed=42).select("id", "issue_d", "loan_amnt")
+    a = applications(spark, sf).select("id", "issue_d", "loan_amnt")
+    return rounded(IO.seeded_sample(a, 1000, seed=42))
 
 
 @register("IO3_IO4_prediction_roundtrip", with_apps("""

@@ -8,6 +8,7 @@ from ...operators import ordering as G
 from ...operators import split as P
 from ...operators import velocity as W
 from ...sources.applications import applications
+from ...sources.scratch import materialise
 from ...sources.tables import table
 from ..registry import register, rounded, with_apps
 from .labels import LABELLED_CTES, labelled
@@ -39,17 +40,28 @@ def g1(spark, sf):
     return G.indexed(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "gidx")
 
 
-@register("P3_stratified_split")
+_SHUFFLED = LABELLED_CTES + """
+, sh AS (SELECT id, is_fraud, row_number() OVER (PARTITION BY is_fraud ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) - 1 AS pos,
+                count(*) OVER (PARTITION BY is_fraud) AS n FROM labelled)
+"""
+
+
+@register("P3_stratified_split", with_apps(_SHUFFLED + """
+, b AS (SELECT id, is_fraud, CASE WHEN pos < ceil(n * 15e-2) THEN 'test' WHEN pos < ceil(n * (15e-2 + 85e-2 * (15e-2 / 85e-2)))
+          THEN 'val' ELSE 'train' END AS split FROM sh)
+SELECT id, is_fraud, split FROM b"""))
 def p3(spark, sf):
-    """Per split: rows and positives (class shares kept); checked by invariants."""
-    s = P.stratified_split(labelled(spark, sf), "is_fraud")
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").alias("positives"))
+    """Every row with its split; class shares are kept."""
+    s = P.stratified_split(materialise(labelled(spark, sf).select("id", "is_fraud"), "split-input"), "is_fraud")
+    return s.select("id", "is_fraud", "split")
 
 
-@register("P4_stratified_folds")
+@register("P4_stratified_folds", with_apps(_SHUFFLED + """
+SELECT id, is_fraud, CAST((CASE WHEN pos >= ceil(n * (1e0 / 3)) THEN 1 ELSE 0 END)
+                          + (CASE WHEN pos >= ceil(n * (2e0 / 3)) THEN 1 ELSE 0 END) AS INTEGER) AS fold FROM sh"""))
 def p4(spark, sf):
-    s = P.stratified_folds(labelled(spark, sf), k=3)
-    return s.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").alias("positives"))
+    s = P.stratified_folds(materialise(labelled(spark, sf).select("id", "is_fraud"), "fold-input"), k=3)
+    return s.select("id", "is_fraud", "fold")
 
 
 _P5_KEEP = ("id", "issue_d", "earliest_cr_line", "loan_amnt", "annual_inc", "dti", "term", "int_rate", "revol_util",
@@ -96,14 +108,18 @@ def _vel_cols(prefix):
     return [f"{prefix}_{k}_{w}d" for k in _KEYS for w in _WINS]
 
 
+def _velocity_input(spark, sf):
+    return materialise(applications(spark, sf).select("id", "issue_d", *_KEYS), "velocity-input")
+
+
 @register("W1_velocity", _vel_all_sql(False))
 def w1(spark, sf):
-    return W.build_velocity_features(applications(spark, sf, materialize=True)).select("id", *_vel_cols("vel"))
+    return W.build_velocity_features(_velocity_input(spark, sf)).select("id", *_vel_cols("vel"))
 
 
 @register("W2_velocity_peers", _vel_all_sql(True))
 def w2(spark, sf):
-    return W.build_velocity_peers(applications(spark, sf, materialize=True)).select("id", *_vel_cols("velp"))
+    return W.build_velocity_peers(_velocity_input(spark, sf)).select("id", *_vel_cols("velp"))
 
 
 _EV_T = "epoch_us(ts)"
@@ -140,7 +156,7 @@ SELECT id, {cols} FROM k0 JOIN k1 USING (id) JOIN k2 USING (id)""")
 @register("W1_velocity_with_history", _vel_hist_sql())
 def w1_history(spark, sf):
     """Test-period rows scored against a stored snapshot of the train/val history (S2/S3 path)."""
-    s = P.time_split(applications(spark, sf, materialize=True))
-    state = W.velocity_state(s.where(F.col("split") != "test")).checkpoint(eager=True)
+    s = P.time_split(_velocity_input(spark, sf))
+    state = materialise(W.velocity_state(s.where(F.col("split") != "test")), "velocity-state")
     batch = s.where(F.col("split") == "test")
     return W.build_velocity_with_history(batch, state).select("id", *_vel_cols("vel"))

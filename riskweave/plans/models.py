@@ -99,9 +99,11 @@ def minmax_bounds(df: DataFrame, col: str) -> tuple[float, float]:
 
 
 def minmax(col: str, lo: float, hi: float) -> F.Column:
-    """M6: (x - p1) / (p99 - p1) clipped to [0, 1]."""
-    span = (hi - lo) if hi is not None and lo is not None and hi > lo else 1.0
-    return F.least(F.greatest((F.col(col) - F.lit(lo)) / F.lit(span), F.lit(0.0)), F.lit(1.0))
+    """M6: (x - p1) / (p99 - p1) clipped to [0, 1]; NULL stays NULL, no spread counts as 1e-9."""
+    if lo is None or hi is None:
+        return F.lit(None).cast("double")
+    scaled = (F.col(col) - F.lit(lo)) / F.lit(max(hi - lo, 1e-9))
+    return F.when(F.col(col).isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
 
 
 # ---------------------------------------------------------------- M4 isolation forest

@@ -25,6 +25,7 @@ from ..operators import scoring as S
 from ..operators import split as P
 from ..sources import io as IO
 from ..sources.applications import applications
+from ..sources.scratch import materialise
 from . import models as M
 from .features import FeatureBuilder, FeatureModel
 
@@ -44,9 +45,8 @@ class TrainingResult:
 
 
 def labelled_applications(spark, sf_dir: str) -> DataFrame:
-    a = applications(spark, sf_dir, materialize=True)
-    a = a.withColumn("installment", installment("loan_amnt", "int_rate", "term"))
-    return L.build_fraud_labels(a).withColumnRenamed("is_fraud", "label").checkpoint(eager=True)
+    a = applications(spark, sf_dir).withColumn("installment", installment("loan_amnt", "int_rate", "term"))
+    return materialise(L.build_fraud_labels(a).withColumnRenamed("is_fraud", "label"), "labelled")
 
 
 def features_with_label(fm: FeatureModel, df: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def features_with_label(fm: FeatureModel, df: DataFrame) -> DataFrame:
 def train(spark, sf_dir: str, kinds=DEFAULT_KINDS, max_iter: int = 20, folds: int = 3,
           seed: int = 42) -> TrainingResult:
     lab = labelled_applications(spark, sf_dir)
-    split = P.time_split(lab).checkpoint(eager=True)
+    split = P.time_split(lab)
     # leakage guard: rule and outcome columns go; the label stays as the fit target only
     keep = P.drop_leakage(split.drop("score"))
     train_df = keep.where(F.col("split") == "train")

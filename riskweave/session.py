@@ -7,8 +7,10 @@ tests, the benchmark and command-line jobs.
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import shutil
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,8 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; it is read from
-    the session and used as is. Only when it is unset (local tests) a fresh
-    scratch folder is created for this process.
+    the session and used as is. Only when it is unset a fresh folder below the
+    session's warehouse is used, which every executor sees too; a local run
+    deletes it at its end.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,9 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="riskweave-ckpt-", dir="/tmp")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        configured = f"{warehouse}/_scratch-{uuid.uuid4().hex}"
+        if sc.master.startswith("local["):
+            atexit.register(shutil.rmtree, configured.removeprefix("file:"), ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -28,20 +28,14 @@ def _date(c: str) -> Column:
 _VIEWS: dict = {}
 
 
-def applications(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
-    """The view; ``materialize=True`` checkpoints it once (reliable checkpoint
-    dir) for jobs that read it in several passes (fits, then transforms)."""
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view, lazily: a job selects what it needs (and materialises only that, if it reads it in several passes)."""
     key = (id(spark), sf_dir)
     hit = _VIEWS.get(key)
     if hit is not None and hit[0] is spark:
-        out = hit[1]
-    else:   # the lazy definition is memoised per session (analysis runs once)
-        out = _applications(spark, sf_dir)
-        _VIEWS[key] = (spark, out)
-    if materialize:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        out = out.checkpoint(eager=True)
+        return hit[1]
+    out = _applications(spark, sf_dir)   # the definition is memoised per session (analysis runs once)
+    _VIEWS[key] = (spark, out)
     return out
 
 

@@ -21,6 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import to_double
 from ..session import ensure_checkpoint_dir
 
 # The 30 application columns read from a raw export.
@@ -40,23 +41,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/riskweave-{name}-{uuid.uuid4().hex}"
 
 
-def read_raw_csv(spark: SparkSession, path: str, allow: tuple[str, ...] = APPLICATION_COLUMNS) -> DataFrame:
-    """IO1: header CSV, all strings, only allow-listed columns (in allow-list order)."""
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
+def read_raw_csv(spark: SparkSession, path: str, allow: tuple[str, ...] = APPLICATION_COLUMNS,
+                 multi_line: bool = False) -> DataFrame:
+    """IO1: header CSV, all strings, only allow-listed columns (in allow-list order).
+
+    A quote inside a quoted field is written twice. ``multi_line`` allows line
+    breaks inside quotes, but then a file is read by one task.
+    """
+    df = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+          .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
     keep = [c for c in allow if c in df.columns]
     return df.select(*keep)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
+def typed_applications(df: DataFrame) -> DataFrame:
+    """Normalised text columns -> the typed application frame: id a long, numeric columns doubles.
+
+    What does not convert becomes NULL (``validate`` on the text frame reports it).
+    """
+    numeric = {"loan_amnt", "installment", "annual_inc", "dti", "delinq_2yrs", "inq_last_6mths", "open_acc", "pub_rec",
+               "revol_bal", "total_acc", "mort_acc", "pub_rec_bankruptcies"}
+    return df.select(*[F.col(c).cast("string").try_cast("bigint").alias(c) if c == "id"
+                       else to_double(c).alias(c) if c in numeric else F.col(c) for c in df.columns])
+
+
 def seeded_sample(df: DataFrame, n: int | None, seed: int = 42, key: str = "id") -> DataFrame:
     """IO2: exactly ``min(n, rows)`` rows without replacement, reproducible for a seed.
 
-    Rows are ranked by ``(xxhash64(key, seed), key)``. The rank-``n`` boundary
+    Rows are ranked by ``(md5(key || ':' || seed), key)``. The rank-``n`` boundary
     comes from the G1 order statistics of that narrow pair (one range sort);
     the sample is then a plain filter, so no task ever merges n rows from every
     partition (as ``orderBy(..).limit(n)`` would for large n).
@@ -64,7 +81,7 @@ def seeded_sample(df: DataFrame, n: int | None, seed: int = 42, key: str = "id")
     from ..operators.ordering import ranked_positions
     if n is None:
         return df
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     total, fetch = ranked_positions(df.select(h.alias("_h"), F.col(key).alias("_k")), ["_h", "_k"])
     if n >= total:
         return df

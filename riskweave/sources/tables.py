@@ -10,12 +10,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 _SCANS: dict = {}
 
-# Fact tables whose scan is spread over the cores when the files give fewer
-# splits than the default parallelism (small single-file test data); on a
-# cluster the scan already has more splits and nothing changes.
-SPREAD_WHEN_FEW_SPLITS = ("orders", "events")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table. Projections and filters applied later reach the
     Parquet reader (column pruning, pushed filters).
@@ -31,13 +25,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if hit is not None and hit[0] is spark:
         return hit[1]
     df = spark.read.parquet(path)
-    if name in SPREAD_WHEN_FEW_SPLITS:
-        try:
-            parallelism = spark.sparkContext.defaultParallelism
-            few = df.rdd.getNumPartitions() < parallelism
-        except Exception:  # noqa: BLE001  (sessions without the RDD API: keep the scan as is)
-            few = False
-        if few:
-            df = df.repartition(parallelism)
     _SCANS[key] = (spark, df)
     return df

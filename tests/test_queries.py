@@ -35,12 +35,14 @@ def test_time_split_sizes(spark):
 
 def test_stratified_split_keeps_class_shares(spark):
     q = entry_mod.queries()
-    rows = {r["split"]: (r["n"], r["positives"]) for r in q["P3_stratified_split"](spark, SF).collect()}
+    split = q["P3_stratified_split"](spark, SF)
+    rows = {r["split"]: (r["n"], r["pos"]) for r in split.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_fraud").alias("pos")).collect()}
     total = sum(n for n, _ in rows.values())
     pos = sum(p for _, p in rows.values())
     for n, p in rows.values():
         assert abs(p / n - pos / total) < 0.02
-    folds = {r["fold"]: r["n"] for r in q["P4_stratified_folds"](spark, SF).collect()}
+    folds = {r["fold"]: r["count"] for r in q["P4_stratified_folds"](spark, SF).groupBy("fold").count().collect()}
     assert sorted(folds) == [0, 1, 2] and max(folds.values()) - min(folds.values()) <= 2
 
 
