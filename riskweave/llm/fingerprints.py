@@ -22,6 +22,8 @@ from .simhash_bits import block_masks, distance, hex16, join_on_blocks, vote
 TERM_WORDS = 2
 RADIUS = 3
 BLOCKS = 6
+#: Rows whose id is divisible by this are searched for among all rows.
+QUERY_EVERY = 20
 #: Neighbouring documents are found within ranges of this many ids' texts, one task each.
 RANGE_ROWS = 4000
 MAX_RANGES = 10_000
@@ -69,15 +71,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     return led.where("NOT guest").select("doc_id", "text", "next_text")
 
 
-def find_within(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Distinct fingerprints (fp) -> all pairs (a, b), a < b, at ``radius`` or fewer differing bits."""
+def find_within(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Distinct fingerprints (fp) asked for, among distinct fingerprints (fp) -> all pairs (a asked, b another) within ``radius``."""
     if not 0 <= radius < blocks <= 64:
         raise ValueError("radius must be below blocks, blocks at most 64")
 
-    def close(a: str, b: str) -> Column:
-        return distance(F.col(f"{a}.fp"), F.col(f"{b}.fp")) <= radius
+    def wanted(a: str, b: str) -> Column:
+        return (F.col(f"{a}.fp") != F.col(f"{b}.fp")) & (distance(F.col(f"{a}.fp"), F.col(f"{b}.fp")) <= radius)
 
-    return join_on_blocks(fps.select("fp", F.col("fp").alias("code")), block_masks(64, 1, blocks), blocks - radius, close)
+    return join_on_blocks(queries.select("fp", F.col("fp").alias("code")), fps.select("fp", F.col("fp").alias("code")),
+                          block_masks(64, 1, blocks), blocks - radius, wanted)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,7 +90,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, n_within (other rows within ``radius`` bits of the row's fingerprint).
+    near_next, n_within (other rows within ``radius`` bits of the row's fingerprint; asked for the rows
+    whose id is divisible by ``QUERY_EVERY``, null for the rest).
 
     The edited text has its last third replaced by the start of the next
     document (see ``with_next``). Null text counts as empty; an empty table gives no rows; a single
@@ -125,9 +129,9 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         .withColumnRenamed("own", "following")
     rows_next = attach(rows, by_text, "following", "n_next", total)
     per_fp = scratch(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fingerprints-distinct")
-    pairs = find_within(per_fp.select("fp"), radius)
-    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) \
-        .join(per_fp.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_near"))
+    queries = rows.where(F.col("doc_id") % QUERY_EVERY == 0).select("fp").distinct()
+    near = find_within(queries, per_fp.select("fp"), radius).join(per_fp.withColumnRenamed("fp", "b"), "b") \
+        .groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_near"))
     counts = per_fp.join(near, "fp", "left").select("fp", F.col("n").alias("n_same"),
                                                     F.coalesce("n_near", F.lit(0)).alias("n_near"))
     out = attach(rows_next, counts.where("n_same > 1 OR n_near > 0"), "fp", "n_same", total)
@@ -135,4 +139,5 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "doc_id", "n_chars", F.lower(F.hex("edited")).alias("edited_sha256"), hex16("fp").alias("fingerprint"),
         hex16("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-        (F.coalesce("n_same", F.lit(1)) - 1 + F.coalesce("n_near", F.lit(0))).cast("long").alias("n_within"))
+        F.when(F.col("doc_id") % QUERY_EVERY == 0,
+               (F.coalesce("n_same", F.lit(1)) - 1 + F.coalesce("n_near", F.lit(0))).cast("long")).alias("n_within"))
