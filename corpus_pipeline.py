@@ -7,11 +7,11 @@ for the next. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import exact_dedup, langid, packing, secrets, simhash_dedup
-from riskweave.llm.common import drop_scratch, read_table, scratch
+from riskweave.llm.common import drop_scratch, read_table, scratch, text_or_empty
 
 SHINGLE, RADIUS = 4, 4
 
@@ -23,25 +23,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("_p", label("text")).where(F.col("_p.lang_pred") != langid.UNKNOWN).select(*columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows are told apart by id and text: ids may be missing or repeated."""
+    return docs.withColumn("_sha", F.sha2(text_or_empty(), 256))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone``, and one row of each id that is left."""
-    kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = scratch(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    """``docs`` without the rows whose (doc_id, _sha) is in ``gone``; of rows alike in both one stays."""
+    columns, keyed = docs.columns, _keyed(docs)
+
+    def same(other: DataFrame) -> Column:
+        return keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["_sha"] == other["_sha"])
+
+    gone = gone.select("doc_id", "_sha").distinct()
+    kept = keyed.join(gone, same(gone), "left_anti")
+    again = scratch(keyed.groupBy("doc_id", "_sha").count().where("count > 1").select("doc_id", "_sha"), "repeated-rows")
     if not again.limit(1).count():
-        return kept
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(*columns)
+    repeated = (F.col("k.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("k._sha") == F.col("r._sha"))
+    once = kept.alias("k").join(again.alias("r"), repeated, "left_anti")
+    first = kept.alias("k").join(again.alias("r"), repeated, "left_semi").dropDuplicates(["doc_id", "_sha"])
+    return once.unionByName(first).select(*columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
-    return _without(docs, exact_dedup.exact_duplicates(docs).where("NOT kept"))
+    """Of equal texts the row with the largest doc_id stays (a row without id only if none has one)."""
+    decided = exact_dedup.exact_duplicates(_keyed(docs), carry=("_sha",))
+    return _without(docs, decided.where("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays."""
-    groups = simhash_dedup.near_duplicates(docs, SHINGLE, RADIUS)
-    return _without(docs, groups.where("doc_id != component_id"))
+    """Of each group of linked fingerprints the smallest doc_id stays (rows of a group without any id all stay)."""
+    groups = simhash_dedup.near_duplicates(_keyed(docs), SHINGLE, RADIUS, carry=("_sha",))
+    return _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,9 +37,9 @@ INDEX_SCHEMA = "bucket long, n long, level_sizes array<long>, bits binary, diges
 TOTALS_SCHEMA = "digest binary, keep_id long, group_size long, member boolean"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, digest): SHA-256 of the text with A-Z lower-cased; null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+def digests(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) -> (doc_id, digest) and the columns ``carry``: SHA-256 of the text with A-Z lower-cased; null text counts as empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry,
                        F.unhex(F.sha2(lower_ascii(text_or_empty()), 256)).alias("digest"))
 
 
@@ -164,15 +164,15 @@ def lookup(index: DataFrame, batch: DataFrame, buckets: int) -> DataFrame:
     return index.groupBy("bucket").cogroup(grouped.groupBy("bucket")).applyInPandas(_merge_bucket, TOTALS_SCHEMA)
 
 
-def exact_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(docs: DataFrame, buckets: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, the columns ``carry``, keep_id, group_size, kept, text_sha256.
 
     The older half of the id range (null ids too) is the history that is indexed, the newer half
     the batch that is looked up. Of equal texts the largest doc_id stays; equal
-    rows with one id are all marked kept (``keep_one`` keeps a single row). Null
+    rows with one id are all marked kept. Null
     text counts as empty. A group without any id has a null keep_id, and its rows are kept.
     """
-    rows = scratch(digests(docs), "digests")
+    rows = scratch(digests(docs, carry), "digests")
     total, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     buckets = buckets or max(1, -(-total // BUCKET_DIGESTS))
     middle = 0 if low is None else (low + high) // 2
@@ -183,5 +183,5 @@ def exact_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     found = attach(rows, repeated, "digest", "group_size", total)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        "doc_id", *carry, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -182,6 +182,8 @@ class Tagger:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Mean marginal of each language over each text's words [texts, langs]; zeros for a text without letters."""
         m, out = self.model, np.zeros((len(texts), len(self.model.langs)))
+        if not m.langs:
+            return out
         words: list[str] = []
         counts = []
         for t in texts:
