@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (exact_dedup, fingerprints, langid, packing, quality, secrets, sentencepiece_fst, simhash_dedup, toxicity, urls)
 from .common import read_table
-from .oracles import ORACLE  # noqa: F401  (part of this module's interface)
-
-#: Explicit URL rules of the query (host and path prefix -> verdict).
-URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
-             ("com/de/", "block"))
+from .oracles import ORACLE, URL_RULES  # noqa: F401  (ORACLE is part of this module's interface)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +28,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    judged = urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bound")})
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
