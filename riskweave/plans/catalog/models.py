@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import normalize as N
 from ...operators import scoring as S
 from ...operators import split as P
 from ...sources.applications import applications
@@ -14,6 +15,9 @@ from .. import models as M
 from .. import training as T
 from ..registry import register, rounded, with_apps
 from .labels import LABELLED_CTES, labelled
+from .prep import _V3_SQL as V3_SQL
+from .prep import request_rows
+from .windows import _P1_SQL
 
 _NUM = ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_util", "revol_bal", "emp_length", "open_acc",
         "total_acc", "delinq_2yrs", "pub_rec", "term"]
@@ -26,15 +30,21 @@ def _matrix(spark, sf):
     return M.assemble(materialise(lab, "matrix"), _NUM)
 
 
+def _training_input(spark, sf):
+    """The application frame of the training queries, with its installment."""
+    return applications(spark, sf).withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+
+
 _TRAINED: dict = {}
 
 
 def _trained(spark, sf):
-    """The training job result, shared by the queries that read its outputs (same session and data)."""
+    """The training job's result, kept for the queries that read its outputs (same session and data):
+    any of them trains when it is the first."""
     key = (id(spark), sf)
     if key not in _TRAINED:
         _TRAINED.clear()
-        _TRAINED[key] = T.train(spark, sf, max_iter=10, folds=3)
+        _TRAINED[key] = T.train(_training_input(spark, sf))
     return _TRAINED[key]
 
 
@@ -50,7 +60,7 @@ def m1(spark, sf):
 @register("M2_M3_gbt_importance")
 def m2(spark, sf):
     x = _matrix(spark, sf)
-    model = M.fit_gbt(x, "xgboost", max_iter=10)
+    model = M.fit_gbt(x, "xgboost", max_iter=T.TrainSettings().rounds)
     return M.feature_importance(model, _NUM)
 
 
@@ -58,14 +68,15 @@ def m2(spark, sf):
 def m2_scores(spark, sf):
     x = _matrix(spark, sf)
     s = P.time_split(x)
-    model = M.fit_gbt(s.where(F.col("split") == "train"), "lightgbm", max_iter=10)
+    model = M.fit_gbt(s.where(F.col("split") == "train"), "lightgbm", max_iter=T.TrainSettings().rounds,
+                      validation=s.where(F.col("split") == "val"))
     return M.score_with(model, s.where(F.col("split") == "test"), "score").select("id", "label", "score")
 
 
 @register("M4_isolation_forest")
 def m4(spark, sf):
     x = _matrix(spark, sf)
-    return M.fit_isolation_forest(x, n_trees=50).score(x, out="score").select("id", "label", "score")
+    return M.fit_isolation_forest(x).score(x, out="score").select("id", "label", "score")
 
 
 @register("M5_reconstruction_error")
@@ -129,9 +140,8 @@ def e11(spark, sf):
 
 def _requests(spark, sf):
     """Scoring requests: the test-period applications without outcome columns."""
-    lab = T.labelled_applications(spark, sf)
-    s = P.time_split(lab)
-    return P.drop_leakage(s.where(F.col("split") == "test").drop("split", "score", "label"))
+    s = P.time_split(materialise(_training_input(spark, sf), "requests"))
+    return P.drop_leakage(s.where(F.col("split") == "test").drop("split", "score"))
 
 
 @register("S2_batch_scoring")
@@ -140,11 +150,38 @@ def s2(spark, sf):
     return T.score_batch(r, _requests(spark, sf), "2024-01-01 00:00:00")
 
 
+@register("S2_contract_outcome", with_apps(V3_SQL + """
+SELECT id, CASE WHEN id IN (SELECT id FROM v) THEN 'quarantined' ELSE 'scored' END AS outcome FROM src"""))
+def s2_contract(spark, sf):
+    """Requests with dates as text (some unreadable) through the gate and the model: each is scored or quarantined."""
+    req = request_rows(spark, sf).withColumn("issue_d", F.when(F.col("id") % 13 == 0, F.lit("not-a-date"))
+                                             .otherwise(F.date_format("issue_d", "yyyy-MM-dd")))
+    bad = scratch_path(spark, "quarantine")
+    scored = T.score_batch(_trained(spark, sf), req, "2024-01-01 00:00:00", quarantine_dir=bad)
+    return scored.select(F.col("application_id").alias("id"), F.lit("scored").alias("outcome")).unionByName(
+        spark.read.parquet(bad).select("id").distinct().select("id", F.lit("quarantined").alias("outcome")))
+
+
+@register("IO6_trained_model_roundtrip", with_apps(_P1_SQL + """
+SELECT id, true AS same FROM s WHERE split = 'test'"""))
+def io6_model(spark, sf):
+    """The trained job saved and loaded again scores the test rows alike."""
+    r = _trained(spark, sf)
+    path = scratch_path(spark, "trained")
+    r.save(path)
+    again = T.TrainingResult.load(spark, path)
+    req = materialise(_requests(spark, sf), "requests")
+    a, b = (T.score_batch(x, req, "2024-01-01 00:00:00") for x in (r, again))
+    return a.select(F.col("application_id").alias("id"), F.col("fraud_score").alias("x")).join(
+        b.select(F.col("application_id").alias("id"), F.col("fraud_score").alias("y")), "id") \
+        .select("id", F.col("x").eqNullSafe(F.col("y")).alias("same"))
+
+
 @register("E12_reason_codes")
 def e12(spark, sf):
-    out = s2(spark, sf)
-    return out.select("application_id", F.size("reason_codes").alias("n_reasons"),
-                      F.col("reason_codes")[0]["feature"].alias("top_feature"))
+    """Every row's reasons in full: rank, input, value, contribution, direction."""
+    out = s2(spark, sf).withColumnRenamed("application_id", "id")
+    return S.reason_table(out)
 
 
 @register("S9_reason_table")
@@ -159,7 +196,8 @@ def s3(spark, sf):
     req = _requests(spark, sf)
     src = scratch_path(spark, "stream-requests")
     req.repartition(4).write.parquet(src)
-    sink = ST.model_scoring_stream(spark, src, req.schema, r, "2024-01-01 00:00:00")
+    sink = scratch_path(spark, "stream-scored")
+    ST.model_scoring_stream(spark, src, req.schema, r, "2024-01-01 00:00:00", sink, scratch_path(spark, "stream-progress"))
     return spark.read.parquet(sink).drop("epoch")
 
 
@@ -170,8 +208,9 @@ def s3_banding(spark, sf):
     a = applications(spark, sf).select("id", "score")
     src = scratch_path(spark, "stream-source")
     a.repartition(4).write.parquet(src)
-    sink = ST.banding_stream(spark, src, a.schema)
-    return spark.read.parquet(sink)
+    sink = scratch_path(spark, "stream-banded")
+    ST.banding_stream(spark, src, a.schema, sink, scratch_path(spark, "stream-progress"))
+    return spark.read.parquet(sink).drop("epoch")
 
 
 @register("S4_streaming_decision_counts", with_apps("""
@@ -181,7 +220,9 @@ def s4_stream(spark, sf):
     a = applications(spark, sf).select("id", "score")
     src = scratch_path(spark, "stream-source-agg")
     a.repartition(4).write.parquet(src)
-    return ST.decision_count_stream(spark, src, a.schema, table=f"decisions_{abs(hash(src)) % 10**8}")
+    sink = scratch_path(spark, "stream-counts")
+    ST.decision_count_stream(spark, src, a.schema, sink, scratch_path(spark, "stream-progress"))
+    return spark.read.parquet(f"{sink}/totals")
 
 
 @register("M9_isotonic_calibration")

@@ -3,7 +3,7 @@
 * M1 class weights, M2 boosted trees (three presets of ``GBTClassifier``),
   M3 importances.
 * M4 isolation forest as a Spark job: every tree gets its own seeded random
-  sample of at most ``sample_size`` rows (a bounded group), trees are built
+  sample of ``rows_per_tree`` rows (a bounded group), trees are built
   with ``groupBy(tree).applyInPandas`` (numpy), the forest (bounded: trees x
   nodes) is broadcast and rows are scored by an Arrow ``pandas_udf``.
 * M5 reconstruction error of a PCA fitted on negatives (linear stand-in for
@@ -20,21 +20,23 @@ import json
 import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       LogisticRegressionModel)
+from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..operators import evaluate as E
 from ..operators.ordering import quantiles
 from ..operators.split import stratified_folds
+from ..sources.scratch import materialise
 
 # Booster presets (depth / learning rate / row and column subsampling).
 # (leaf minimums: 10 rows for the first preset, 50 for the leaf-wise one; 63 leaves ~ depth 6)
@@ -65,15 +67,19 @@ def positive_probability(pred: DataFrame, col: str = "probability") -> F.Column:
 
 
 def fit_gbt(train: DataFrame, preset: str = "xgboost", label: str = "label", features: str = "features",
-            max_iter: int = 50, seed: int = 42, validation_col: str | None = None, weighted: bool = True):
-    """M2: a boosted-tree classifier with class weights; early stopping when a
-    validation indicator column is given (``validationTol``: loss improvement)."""
+            max_iter: int = 50, seed: int = 42, validation: DataFrame | None = None, weighted: bool = True):
+    """M2: a boosted-tree classifier with class weights; with ``validation`` rows the
+    rounds stop once their loss no longer improves (``validationTol``)."""
     data = class_weights(train, label) if weighted else train
+    if validation is not None:
+        cols = [label, features] + (["weight"] if weighted else [])
+        held = class_weights(validation, label) if weighted else validation
+        data = data.select(*cols, F.lit(False).alias("_held")).unionByName(held.select(*cols, F.lit(True).alias("_held")))
     params = dict(GBT_PRESETS[preset])
     gbt = GBTClassifier(labelCol=label, featuresCol=features, maxIter=max_iter, seed=seed,
                         weightCol="weight" if weighted else None, **params)
-    if validation_col:
-        gbt = gbt.setValidationIndicatorCol(validation_col)
+    if validation is not None:
+        gbt = gbt.setValidationIndicatorCol("_held")
     return gbt.fit(data)
 
 
@@ -125,30 +131,31 @@ class IsolationForestModel:
         bc = spark.sparkContext.broadcast(trees.to_dict("list"))
 
         @F.pandas_udf(DoubleType())
-        def path_score(x: pd.Series) -> pd.Series:
+        def path_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             def _c(n):   # average path length of an unsuccessful search in a BST of n nodes
                 n = np.asarray(n, dtype=float)
                 return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649)
                                 - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-            t = {k: np.asarray(v) for k, v in bc.value.items()}
-            X = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, 1))
-            total = np.zeros(len(X))
+            t = {k: np.asarray(v) for k, v in bc.value.items()}     # set up once per task
+            forest = []
             for tid in np.unique(t["tree"]):
                 m = t["tree"] == tid
-                feat, split, left, right, size = (t["feat"][m], t["split"][m], t["left"][m], t["right"][m],
-                                                  t["size"][m])
-                node = np.zeros(len(X), dtype=int)
-                depth = np.zeros(len(X))
-                active = feat[node] >= 0
-                while active.any():
-                    f = feat[node[active]]
-                    go_left = X[active, f] < split[node[active]]
-                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                    depth[active] += 1
+                forest.append((t["feat"][m], t["split"][m], t["left"][m], t["right"][m], _c(t["size"][m])))
+            for x in batches:
+                X = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, 1))
+                total = np.zeros(len(X))
+                for feat, split, left, right, rest in forest:
+                    node = np.zeros(len(X), dtype=int)
+                    depth = np.zeros(len(X))
                     active = feat[node] >= 0
-                total += depth + _c(size[node])
-            mean = total / max(len(np.unique(t["tree"])), 1)
-            return pd.Series(np.power(2.0, -mean / c_psi))
+                    while active.any():
+                        f = feat[node[active]]
+                        go_left = X[active, f] < split[node[active]]
+                        node[active] = np.where(go_left, left[node[active]], right[node[active]])
+                        depth[active] += 1
+                        active = feat[node] >= 0
+                    total += depth + rest[node]
+                yield pd.Series(np.power(2.0, -total / max(len(forest), 1) / c_psi))
 
         arr = df.withColumn("_x", vector_to_array(F.col(features)))
         return arr.withColumn(out, path_score(F.col("_x"))).drop("_x")
@@ -157,37 +164,32 @@ class IsolationForestModel:
         return self.raw_score(df, features, "_raw").withColumn(out, minmax("_raw", self.lo, self.hi)).drop("_raw")
 
 
-def fit_isolation_forest(df: DataFrame, features: str = "features", n_trees: int = 200,
-                         max_samples: float | int = 0.5, max_sample_rows: int = 1024, seed: int = 42,
-                         key: str = "id", sample_size: int | None = None) -> IsolationForestModel:
+def fit_isolation_forest(df: DataFrame, features: str = "features", n_trees: int = 200, rows_per_tree: int = 256,
+                         seed: int = 42, key: str = "id") -> IsolationForestModel:
     """M4: each tree is grown on its own random sample in one pandas task.
 
-    ``max_samples`` is a row count or a fraction of the rows (the reference uses
-    half the rows per tree); the per-tree sample is capped at
-    ``max_sample_rows`` so a tree always fits one task (stated difference at
-    scale). Feature standardisation is skipped: splits are drawn uniformly
-    within each feature's range, so scaling does not change the trees.
+    ``rows_per_tree`` is a number of rows, the same at every table size (all rows
+    of a smaller table); a tree's rows are distinct and chosen by a hash of key,
+    tree and seed, whatever the partitioning. Feature standardisation is skipped: splits are
+    drawn uniformly within each feature's range, so scaling does not change the trees.
     """
+    if isinstance(rows_per_tree, bool) or not isinstance(rows_per_tree, int) or rows_per_tree < 2:
+        raise ValueError("rows_per_tree must be a whole number of rows, at least 2")
     n = df.count()
-    want_rows = int(max_samples * n) if isinstance(max_samples, float) else int(max_samples)
-    psi = max(2, min(sample_size or want_rows, max_sample_rows, n))
-    # about 3 * psi candidate rows per tree; rows are replicated only when the
-    # table is smaller than the forest needs (never at scale: reps = 1)
-    want = 3.0 * psi * n_trees
-    reps = max(1, int(np.ceil(want / max(n, 1))))
-    frac = min(1.0, want / (max(n, 1) * reps))
+    psi = max(2, min(rows_per_tree, n))
+    # every (row, tree) pair has a hash; about 4 * psi of a tree's lie below the bound, its psi smallest are the sample
+    share = min(1.0, 4.0 * psi / max(n, 1) + 1e-9)
+    bound = int(share * (1 << 40))
     arr = df.select(key, vector_to_array(F.col(features)).alias("x"))
-    if reps > 1:
-        arr = arr.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    else:
-        arr = arr.withColumn("_rep", F.lit(0))
-    picked = (arr.sample(fraction=frac, seed=seed)
-              .withColumn("tree", F.pmod(F.xxhash64(F.col(key), F.col("_rep"), F.lit(seed)), F.lit(n_trees)).cast("int"))
-              .withColumn("_r", F.xxhash64(F.col(key), F.col("_rep"), F.lit(seed + 1))))
+    draw = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1 << 40))
+    picked = (arr.withColumn("trees", F.filter(
+        F.sequence(F.lit(0), F.lit(n_trees - 1)),
+        lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 40)) < bound))
+        .select(key, "x", F.explode("trees").alias("tree")).withColumn("_r", draw))
     max_depth = int(np.ceil(np.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r").head(psi)
+        pdf = pdf.sort_values(["_r", key]).head(psi)
         X = np.vstack(pdf["x"].to_numpy())
         rng = np.random.default_rng(abs(int(pdf["tree"].iloc[0])) + seed)
         rows = []
@@ -274,6 +276,22 @@ class Ensemble:
     meta: object                    # LogisticRegressionModel on the base scores
     calibrator: object | None       # IsotonicRegressionModel
     names: list = field(default_factory=list)
+    oof_means: dict = field(default_factory=dict)   # mean out-of-fold score of every base model
+
+    def save(self, path: str) -> None:
+        """IO6: every base model, the meta-learner and the calibration."""
+        for name, model in {**self.base, "_meta": self.meta, "_calibrator": self.calibrator}.items():
+            save_model(model, f"{path}/{name}")
+        spark = SparkSession.getActiveSession()
+        note = json.dumps({"names": self.names, "oof_means": self.oof_means})
+        spark.createDataFrame([(note,)], "note string").coalesce(1).write.mode("overwrite").json(f"{path}/ensemble")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Ensemble":
+        note = json.loads(spark.read.json(f"{path}/ensemble").first()["note"])
+        base = {n: load_model(spark, f"{path}/{n}") for n in note["names"]}
+        return Ensemble(base, load_model(spark, f"{path}/_meta"), load_model(spark, f"{path}/_calibrator"),
+                        note["names"], note["oof_means"])
 
     def base_scores(self, df: DataFrame, features: str = "features") -> DataFrame:
         out = df
@@ -294,15 +312,44 @@ class Ensemble:
         return m.drop("_meta")
 
 
+def save_model(model, path: str) -> None:
+    """A fitted base model (trees, anomaly model) or None under ``path``, with a note of its kind."""
+    spark = SparkSession.getActiveSession()
+    note: dict = {"kind": type(model).__name__}
+    if isinstance(model, IsolationForestModel):
+        spark.createDataFrame(model.trees).write.mode("overwrite").parquet(f"{path}/trees")
+        note |= {"n_features": model.n_features, "sample_size": model.sample_size, "lo": model.lo, "hi": model.hi}
+    elif isinstance(model, ReconstructionModel):
+        model.pca.write().overwrite().save(f"{path}/pca")
+        note |= {"mean": model.mean, "std": model.std, "d": model.d, "lo": model.lo, "hi": model.hi}
+    elif model is not None:
+        model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(note),)], "note string").coalesce(1).write.mode("overwrite").json(f"{path}/note")
+
+
+def load_model(spark: SparkSession, path: str):
+    note = json.loads(spark.read.json(f"{path}/note").first()["note"])
+    kind = note.pop("kind")
+    if kind == "NoneType":
+        return None
+    if kind == "IsolationForestModel":
+        trees = spark.read.parquet(f"{path}/trees").orderBy("tree", "node").toPandas()     # trees x nodes: bounded
+        return IsolationForestModel(trees, **note)
+    if kind == "ReconstructionModel":
+        return ReconstructionModel(PCAModel.load(f"{path}/pca"), **note)
+    known = {m.__name__: m for m in (GBTClassificationModel, LogisticRegressionModel, IsotonicRegressionModel)}
+    return known[kind].load(f"{path}/model")
+
+
 def _score_base(model, df, name, features):
     if isinstance(model, (IsolationForestModel, ReconstructionModel)):
         return model.score(df, features, name)
     return score_with(model, df, name)
 
 
-def _fit_base(kind: str, train: DataFrame, max_iter: int, seed: int):
+def _fit_base(kind: str, train: DataFrame, max_iter: int, seed: int, val: DataFrame | None = None):
     if kind in GBT_PRESETS:
-        return fit_gbt(train, kind, max_iter=max_iter, seed=seed)
+        return fit_gbt(train, kind, max_iter=max_iter, seed=seed, validation=val)
     if kind == "isolation_forest":
         return fit_isolation_forest(train, seed=seed)
     if kind == "reconstruction":
@@ -312,7 +359,7 @@ def _fit_base(kind: str, train: DataFrame, max_iter: int, seed: int):
 
 def oof_scores(df: DataFrame, kinds: Sequence[str], k: int = 3, max_iter: int = 20, seed: int = 42) -> DataFrame:
     """M7: per fold, fit every base model on the other folds and score the fold; union of folds."""
-    folded = stratified_folds(df, k, "label", seed).checkpoint(eager=True)
+    folded = materialise(stratified_folds(df, k, "label", seed), "folds")
     parts = []
     for f in range(k):
         tr, va = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
@@ -323,7 +370,7 @@ def oof_scores(df: DataFrame, kinds: Sequence[str], k: int = 3, max_iter: int =
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.checkpoint(eager=True)
+    return materialise(out, "oof")
 
 
 def fit_meta(oof: DataFrame, names: Sequence[str], C: float = 1.0):
@@ -336,9 +383,14 @@ def fit_meta(oof: DataFrame, names: Sequence[str], C: float = 1.0):
 
 
 def fit_isotonic(scored: DataFrame, score: str = "meta_score", label: str = "label"):
-    """M9: isotonic regression of the label on the meta score (clipped outside the fitted range)."""
-    return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="_iso").fit(
-        scored.select(F.col(score), F.col(label).cast("double").alias(label)))
+    """M9: isotonic regression of the label on the meta score (clipped outside the fitted range).
+
+    Rows are pooled first: one weighted point per score at 4 decimals, so the
+    points the fit gathers are at most 10,001 whatever the table's size.
+    """
+    points = scored.groupBy(F.round(score, 4).alias(score)).agg(
+        F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol=score, labelCol=label, weightCol="_w", predictionCol="_iso").fit(points)
 
 
 def fit_ensemble(train: DataFrame, val: DataFrame | None, kinds: Sequence[str], k: int = 3, max_iter: int = 20,
@@ -347,8 +399,9 @@ def fit_ensemble(train: DataFrame, val: DataFrame | None, kinds: Sequence[str],
     kinds = list(kinds)
     oof = oof_scores(train, kinds, k, max_iter, seed)
     meta = fit_meta(oof, kinds)
-    base = {kind: _fit_base(kind, train, max_iter, seed) for kind in kinds}
-    ens = Ensemble(base, meta, None, kinds)
+    means = dict(zip(kinds, oof.agg(*[F.avg(x) for x in kinds]).first()))
+    base = {kind: _fit_base(kind, train, max_iter, seed, val) for kind in kinds}
+    ens = Ensemble(base, meta, None, kinds, means)
     calib_src = val if val is not None else train
     b = ens.base_scores(calib_src)
     b = VectorAssembler(inputCols=kinds, outputCol="_meta").transform(b)

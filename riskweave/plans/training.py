@@ -1,7 +1,7 @@
 """M13 training job, S2 batch scoring, E11/E12 contributions.
 
-``train`` composes the whole chain on Spark: applications -> labels (L) ->
-time split (P1) -> leakage guard (P5) -> feature pipeline fit on train (F) ->
+``train`` composes the whole chain on any application frame: labels (L) ->
+time or stratified split (P1, P3) -> leakage guard (P5) -> feature pipeline fit on train (F) ->
 stacked ensemble (M7-M9) -> test metrics per model (E1-E6) -> cost sweep and
 optimal threshold (E7/E8) -> drift reference on the training features (D2).
 
@@ -12,77 +12,115 @@ scores), computed in-row as an array of structs (no shuffle).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.normalize import installment
+from ..functions import normalize as N
 from ..operators import drift as D
 from ..operators import evaluate as E
 from ..operators import labels as L
 from ..operators import scoring as S
 from ..operators import split as P
+from ..operators import validate as V
 from ..sources import io as IO
-from ..sources.applications import applications
 from ..sources.scratch import materialise
 from . import models as M
 from .features import FeatureBuilder, FeatureModel
 
-DEFAULT_KINDS = ("xgboost", "isolation_forest", "reconstruction")
-MODEL_VERSION = "riskweave-0.1"
+MODEL_VERSION = "riskweave-0.2"
+
+
+@dataclass(frozen=True)
+class TrainSettings:
+    """What a training job may choose; the defaults are what the registered queries run with."""
+    split: str = "time"                    # or "stratified"
+    val_size: float = 0.15
+    test_size: float = 0.15
+    labels: L.LabelRules = field(default_factory=L.LabelRules)
+    kinds: tuple = ("xgboost", "lightgbm", "catboost", "isolation_forest", "reconstruction")
+    rounds: int = 20                       # boosting rounds; the final models stop early on the validation split
+    folds: int = 3
+    costs: tuple = (E.COST_FN, E.COST_FP, E.COST_TP, E.COST_TN)
+    use_velocity: bool = False
+    use_graph: bool = True
+    seed: int = 42
 
 
 @dataclass
 class TrainingResult:
     features: FeatureModel
     ensemble: M.Ensemble
-    report: DataFrame            # model, metric, value
-    test_scores: DataFrame       # id, label, <base scores>, score
-    sweep: DataFrame
     drift: D.DriftReference
     meta_means: dict
+    report: DataFrame | None = None        # model, metric, value
+    test_scores: DataFrame | None = None   # id, label, <base scores>, score
+    sweep: DataFrame | None = None
+
+    def save(self, path: str) -> None:
+        """IO6: all that scoring needs; ``load`` gives a result that scores alike (without the training reports)."""
+        self.features.save(f"{path}/features")
+        self.ensemble.save(f"{path}/ensemble")
+        self.drift.save(f"{path}/drift")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "TrainingResult":
+        ens = M.Ensemble.load(spark, f"{path}/ensemble")
+        return TrainingResult(FeatureModel.load(spark, f"{path}/features"), ens,
+                              D.DriftReference.load(spark, f"{path}/drift"), ens.oof_means)
+
+
+def applications_from_csv(spark: SparkSession, path: str) -> DataFrame:
+    """IO1 and N1-N5: a raw export -> the typed application frame."""
+    return IO.typed_applications(N.normalise(IO.read_raw_csv(spark, path)))
 
 
-def labelled_applications(spark, sf_dir: str) -> DataFrame:
-    a = applications(spark, sf_dir).withColumn("installment", installment("loan_amnt", "int_rate", "term"))
-    return materialise(L.build_fraud_labels(a).withColumnRenamed("is_fraud", "label"), "labelled")
+def labelled_frame(apps: DataFrame, settings: TrainSettings) -> DataFrame:
+    """The applications with ``label`` (L1-L5 unless the frame brings its own) and an instalment, written once."""
+    if "installment" not in apps.columns:
+        apps = apps.withColumn("installment", N.installment("loan_amnt", "int_rate", "term"))
+    if "label" not in apps.columns:
+        apps = L.build_fraud_labels(apps, settings.labels).withColumnRenamed("is_fraud", "label")
+    return materialise(apps, "labelled")
+
+
+def split_frame(lab: DataFrame, settings: TrainSettings) -> DataFrame:
+    if settings.split == "time":
+        return P.time_split(lab, val_size=settings.val_size, test_size=settings.test_size)
+    if settings.split == "stratified":
+        return P.stratified_split(lab, "label", settings.val_size, settings.test_size, settings.seed)
+    raise ValueError(f"unknown split {settings.split!r}")
 
 
 def features_with_label(fm: FeatureModel, df: DataFrame) -> DataFrame:
     x = fm.transform(df)
-    return M.assemble(x.join(df.select("id", "label"), "id"), fm.feature_names).checkpoint(eager=True)
+    return M.assemble(materialise(x.join(df.select("id", "label"), "id"), "features"), fm.feature_names)
 
 
-def train(spark, sf_dir: str, kinds=DEFAULT_KINDS, max_iter: int = 20, folds: int = 3,
-          seed: int = 42) -> TrainingResult:
-    lab = labelled_applications(spark, sf_dir)
-    split = P.time_split(lab)
+def train(apps: DataFrame, settings: TrainSettings = TrainSettings()) -> TrainingResult:
+    """M13 on any application frame (``applications_from_csv`` reads one from a raw export)."""
+    split = split_frame(labelled_frame(apps, settings), settings)
     # leakage guard: rule and outcome columns go; the label stays as the fit target only
     keep = P.drop_leakage(split.drop("score"))
-    train_df = keep.where(F.col("split") == "train")
-    val_df = keep.where(F.col("split") == "val")
-    test_df = keep.where(F.col("split") == "test")
-
-    fm = FeatureBuilder().fit(train_df, y="label")
-    xtr, xva, xte = (features_with_label(fm, d) for d in (train_df, val_df, test_df))
+    parts = {s: keep.where(F.col("split") == s) for s in ("train", "val", "test")}
+    fm = FeatureBuilder(use_velocity=settings.use_velocity, use_graph=settings.use_graph).fit(parts["train"], y="label")
+    xtr, xva, xte = (features_with_label(fm, parts[s]) for s in ("train", "val", "test"))
 
-    ens = M.fit_ensemble(xtr, xva, list(kinds), folds, max_iter, seed)
-    scored = ens.score(xte).select("id", "label", *ens.names, "meta_score", "score").checkpoint(eager=True)
+    ens = M.fit_ensemble(xtr, xva, list(settings.kinds), settings.folds, settings.rounds, settings.seed)
+    scored = materialise(ens.score(xte).select("id", "label", *ens.names, "meta_score", "score"), "test-scores")
 
     reports = []
     for name in [*ens.names, "ensemble"]:
-        col = "score" if name == "ensemble" else name
-        wide = E.binary_metrics(E.scored_pairs(scored, "label", col))
+        wide = E.binary_metrics(E.scored_pairs(scored, "label", "score" if name == "ensemble" else name))
         reports.append(IO.metric_rows(wide, name))
     report = reports[0]
     for r in reports[1:]:
         report = report.unionByName(r)
-    sweep = E.cost_sweep(E.scored_pairs(scored, "label", "score"))
+    sweep = E.cost_sweep(E.scored_pairs(scored, "label", "score"), *settings.costs)
     drift = D.fit_reference(xtr.select(*fm.feature_names), fm.feature_names)
-    oof_means = {n: v for n, v in zip(ens.names, xtr.transform(lambda d: ens.base_scores(d))
-                                      .agg(*[F.avg(n) for n in ens.names]).first())}
-    return TrainingResult(fm, ens, report, scored, sweep, drift, oof_means)
+    return TrainingResult(fm, ens, drift, ens.oof_means, report, scored, sweep)
 
 
 # ---------------------------------------------------------------- E11 / E12
@@ -116,14 +154,30 @@ def global_importance(df: DataFrame, names, coefs, means, top: int = 20) -> Data
 
 # ---------------------------------------------------------------- S2
 
+def gate(requests: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted requests with defaults and a parsed date, violations of the quarantined ones)."""
+    if "issue_d" in requests.columns and isinstance(requests.schema["issue_d"].dataType, StringType):
+        requests = requests.withColumn("issue_d", N.parse_request_date(F.col("issue_d"), today))
+    elif "issue_d" not in requests.columns:
+        requests = requests.withColumn("issue_d", F.to_date(F.lit(today)))
+    requests = materialise(requests, "requests")
+    return V.validate_requests(requests)
+
+
 def score_batch(result: TrainingResult, requests: DataFrame, scored_at: str, review: float = S.REVIEW_THRESHOLD,
-                decline: float = S.DECLINE_THRESHOLD, velocity_state: DataFrame | None = None) -> DataFrame:
-    """Requests -> features -> ensemble -> decision -> reason codes -> response rows.
+                decline: float = S.DECLINE_THRESHOLD, velocity_state: DataFrame | None = None,
+                quarantine_dir: str | None = None) -> DataFrame:
+    """Requests -> contract gate -> features -> ensemble -> decision -> reason codes -> response rows.
 
-    Graph and bucket features are computed within the batch, as the reference
+    With ``quarantine_dir`` the request contract (V3) and the request date (N6)
+    apply first: rows that break it are not scored, their violations are
+    written there. Graph and bucket features are computed within the batch, as the reference
     computes them within the frame it is given; velocity features (when the
     feature model uses them) read the stored history snapshot if one is given.
     """
+    if quarantine_dir is not None:
+        requests, broken = gate(requests, scored_at[:10])
+        broken.write.mode("overwrite").parquet(quarantine_dir)
     x = M.assemble(result.features.transform(requests, velocity_state=velocity_state),
                    result.features.feature_names)
     s = result.ensemble.score(x)

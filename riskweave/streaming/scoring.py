@@ -1,71 +1,76 @@
 """S3: Structured Streaming scoring (re-aimed from the request/response endpoint).
 
-Requests arrive as Parquet files in a folder. The query reads them with
-``readStream`` (explicit schema), and each micro-batch is scored with the
-fitted feature pipeline and ensemble through ``foreachBatch`` (the same code
-path as the batch job S2), then appended to a Parquet sink. Decision counts
-(S4) are a second, stateful streaming aggregation in complete mode.
-
-Both queries keep their progress in a checkpoint location under the session's
-reliable checkpoint directory, so a restarted query resumes exactly where it
-stopped. ``availableNow`` processes what is there and stops (used by tests
-and scheduled runs); a processing-time trigger keeps it running.
+Requests arrive as Parquet files in a folder, read with ``readStream`` (explicit
+schema). Each query keeps its progress in ``checkpoint_dir`` and its results
+under ``sink_dir``; both are arguments, belong together and are meant to be
+kept: a query started again on them goes on after the last finished
+micro-batch. A micro-batch that was cut short is run again and overwrites its
+own part of the sink, so every request is in the result exactly once.
+
+``trigger`` is what ``DataStreamWriter.trigger`` takes; by default
+``availableNow`` works off what is there and returns. With any other trigger
+the running query is returned and the caller stops it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import scoring as S
-from ..sources.io import scratch_path
+from ..plans.training import TrainingResult, score_batch
+
+AVAILABLE_NOW = {"availableNow": True}
 
 
 def stream_requests(spark: SparkSession, source_dir: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(source_dir)
 
 
-def banding_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str | None = None,
-                   score_col: str = "score") -> str:
-    """Stateless stream: band every arriving row (S1) and append to Parquet; returns the sink dir."""
-    sink = sink_dir or scratch_path(spark, "stream-banded")
-    q = (stream_requests(spark, source_dir, schema)
-         .select("id", S.decision(score_col).alias("decision"), F.round(score_col, 6).alias("fraud_score"))
-         .writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sink
+def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint_dir: str, trigger: dict | None,
+         mode: str = "append") -> StreamingQuery:
+    trigger = trigger or AVAILABLE_NOW
+    q = (stream.writeStream.outputMode(mode).foreachBatch(handle)
+         .option("checkpointLocation", checkpoint_dir).trigger(**trigger).start())
+    if trigger == AVAILABLE_NOW:
+        q.awaitTermination()
+    return q
+
+
+def _write_epoch(out: DataFrame, sink_dir: str, epoch: int) -> None:
+    """An epoch owns a folder of the sink: running it again replaces what it wrote before."""
+    out.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}")
 
 
-def decision_count_stream(spark: SparkSession, source_dir: str, schema, score_col: str = "score",
-                          table: str = "riskweave_decisions") -> DataFrame:
-    """S4 as a streaming aggregation (complete mode, memory sink for inspection)."""
-    q = (stream_requests(spark, source_dir, schema)
-         .groupBy(S.decision(score_col).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
-         .writeStream.outputMode("complete").format("memory").queryName(table)
-         .option("checkpointLocation", scratch_path(spark, "stream-agg-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(table)
+def banding_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
+                   score_col: str = "score", trigger: dict | None = None) -> StreamingQuery:
+    """Stateless stream: band every arriving row."""
+    banded = stream_requests(spark, source_dir, schema).select(
+        "id", S.decision(score_col).alias("decision"), F.round(score_col, 6).alias("fraud_score"))
+    return _run(banded, lambda batch, epoch: _write_epoch(batch, sink_dir, epoch), checkpoint_dir, trigger)
 
 
-def model_scoring_stream(spark: SparkSession, source_dir: str, schema, result, scored_at: str,
-                         sink_dir: str | None = None, velocity_state: DataFrame | None = None) -> str:
-    """S3: each micro-batch goes through the batch scoring job S2 (``foreachBatch``).
+def decision_count_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
+                          score_col: str = "score", trigger: dict | None = None) -> StreamingQuery:
+    """S4 as a streaming aggregation: after each micro-batch the sink holds the totals so far."""
+    counts = stream_requests(spark, source_dir, schema).groupBy(S.decision(score_col).alias("decision")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    return _run(counts, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{sink_dir}/totals"),
+                checkpoint_dir, trigger, mode="complete")
+
+
+def model_scoring_stream(spark: SparkSession, source_dir: str, schema, result: TrainingResult, scored_at: str,
+                         sink_dir: str, checkpoint_dir: str, velocity_state: DataFrame | None = None,
+                         trigger: dict | None = None) -> StreamingQuery:
+    """S3: each micro-batch goes through the batch scoring job S2.
 
     ``velocity_state`` is a stored history snapshot joined by key and day, so
     window counts are not recomputed from scratch inside each micro-batch.
     """
-    from ..plans.training import score_batch
-    sink = sink_dir or scratch_path(spark, "stream-scored")
-
-    def handle(batch: DataFrame, epoch_id: int) -> None:
-        out = score_batch(result, batch, scored_at, velocity_state=velocity_state)
-        out.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(sink)
-
-    q = (stream_requests(spark, source_dir, schema).writeStream.foreachBatch(handle)
-         .option("checkpointLocation", scratch_path(spark, "stream-model-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sink
+    def handle(batch: DataFrame, epoch: int) -> None:
+        _write_epoch(score_batch(result, batch, scored_at, velocity_state=velocity_state), sink_dir, epoch)
+
+    return _run(stream_requests(spark, source_dir, schema), handle, checkpoint_dir, trigger)

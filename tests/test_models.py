@@ -31,7 +31,7 @@ def test_gbt_learns_planted_signal(spark):
 
 def test_anomaly_scores_bounded(spark):
     x = planted(spark)
-    for model in (M.fit_isolation_forest(x, n_trees=20, sample_size=64), M.fit_reconstruction(x, k=1)):
+    for model in (M.fit_isolation_forest(x, n_trees=20, rows_per_tree=64), M.fit_reconstruction(x, k=1)):
         st = model.score(x, out="s").agg(F.min("s"), F.max("s"), F.count("s")).first()
         assert 0.0 <= st[0] <= st[1] <= 1.0 and st[2] == 600
 
