@@ -241,3 +241,83 @@ def m8_coef(spark, sf):
     coefs = r.ensemble.meta.coefficients.toArray().tolist()
     return spark.createDataFrame([(n, float(c)) for n, c in zip(r.ensemble.names, coefs)] +
                                  [("intercept", float(r.ensemble.meta.intercept))], "input string, coefficient double")
+
+
+# ---------------------------------------------------------------- twins of what a fit does not decide
+
+# A fixed linear model over application columns: contributions coef * (x - mean) have an exact twin.
+_LINEAR = {"loan_amnt": (4.1373731e-5, 15000.0), "annual_inc": (-2.1377317e-6, 450000.0), "dti": (0.0317317, 30.0), "int_rate": (0.1113177, 10.0),
+           "open_acc": (-0.05, 7.0), "total_acc": (0.02, 15.0), "delinq_2yrs": (0.4, 1.5)}
+_LINEAR_SQL = with_apps(", c AS (" + " UNION ALL ".join(
+    f"SELECT id, {i} AS pos, '{c}' AS feature, coalesce({c}, 0e0) AS value, {k!r} * (coalesce({c}, 0e0) - {m!r}) AS contribution "
+    f"FROM applications" for i, (c, (k, m)) in enumerate(_LINEAR.items())) + """)
+, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, pos) AS rank FROM c)
+""")
+
+
+def _linear_frame(spark, sf):
+    return applications(spark, sf).select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _LINEAR])
+
+
+def _linear_parts():
+    return list(_LINEAR), [k for k, _ in _LINEAR.values()], {c: m for c, (_, m) in _LINEAR.items()}
+
+
+@register("E12_S9_linear_reasons", _LINEAR_SQL + """
+SELECT id, CAST(rank AS INTEGER) AS rank, feature, round(value, 6) AS value, round(contribution, 6) AS contribution,
+       CASE WHEN contribution > 0 THEN 'up fraud' ELSE 'down fraud' END AS direction FROM r WHERE rank <= 5""")
+def e12_linear(spark, sf):
+    return rounded(S.reason_table(T.reason_codes(_linear_frame(spark, sf), *_linear_parts())))
+
+
+@register("E11_linear_importance", _LINEAR_SQL + """
+SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs_contribution FROM r GROUP BY feature""")
+def e11_linear(spark, sf):
+    return rounded(T.global_importance(_linear_frame(spark, sf), *_linear_parts()))
+
+
+@register("M9_isotonic_fit", with_apps(LABELLED_CTES + """
+, p AS (SELECT round(score, 2) AS x, CAST(sum(is_fraud) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS w FROM labelled GROUP BY 1),
+o AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS sy, sum(w) OVER (ORDER BY x) AS sw FROM p),
+z AS (SELECT i, sy, sw FROM o UNION ALL SELECT 0, 0e0, 0e0),
+m AS (SELECT a.i + 1 AS j, b.i AS k, (b.sy - a.sy) / (b.sw - a.sw) AS mean FROM z a JOIN z b ON b.i > a.i),
+lo AS (SELECT j, o.i, min(mean) AS least FROM o JOIN m ON m.j <= o.i AND m.k >= o.i GROUP BY j, o.i)
+SELECT o.x AS score, round(max(least), 6) AS calibrated FROM o JOIN lo USING (i) GROUP BY o.x"""))
+def m9_fit(spark, sf):
+    """Calibration over scores at 2 decimals; the twin is the max-min formula of isotonic regression."""
+    lab = labelled(spark, sf).select(F.round("score", 2).alias("meta_score"), F.col("is_fraud").alias("label"))
+    lab = materialise(lab, "isotonic-input")
+    out = M.fit_isotonic(lab).transform(lab.select("meta_score").distinct())
+    return rounded(out.select(F.col("meta_score").alias("score"), F.col("_iso").alias("calibrated")))
+
+
+@register("M2_M4_M5_M7_score_invariants", with_apps(_P1_SQL + """
+, n AS (SELECT count(*) AS n FROM applications)
+SELECT m AS model, CASE WHEN m = 'M2' THEN (SELECT count(*) FROM s WHERE split = 'test') ELSE n END AS n_ids, 0 AS n_outside
+FROM n, (VALUES ('M2'), ('M4'), ('M5'), ('M7')) v(m)"""))
+def score_invariants(spark, sf):
+    """Every id has one score, none is missing or outside [0, 1]."""
+    frames = {"M2": m2_scores(spark, sf), "M4": m4(spark, sf), "M5": m5(spark, sf),
+              "M7": m7(spark, sf).withColumn("score", F.least("xgboost", "reconstruction"))}
+    rows = [f.select(F.lit(name).alias("model"), "id", "score") for name, f in frames.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    outside = F.sum((F.col("score").isNull() | (F.col("score") < 0) | (F.col("score") > 1)).cast("int"))
+    return out.groupBy("model").agg(F.countDistinct("id").alias("n_ids"), outside.cast("int").alias("n_outside"))
+
+
+@register("M8_meta_optimum", "SELECT true AS flat, true AS importance_sums_to_one")
+def m8_optimum(spark, sf):
+    """At the fitted meta coefficients the gradient of the penalised log loss vanishes; importances sum to 1."""
+    x = _matrix(spark, sf)
+    oof = M.oof_scores(x, ["reconstruction"], k=3)
+    meta = M.fit_meta(oof, ["reconstruction"])
+    n = oof.count()
+    c, b = float(meta.coefficients[0]), float(meta.intercept)
+    p = 1 / (1 + F.exp(-(F.col("reconstruction") * c + b)))
+    g = oof.agg(F.avg((p - F.col("label")) * F.col("reconstruction")), F.avg(p - F.col("label"))).first()
+    flat = abs(g[0] + c / n) < 1e-4 and abs(g[1]) < 1e-4
+    gbt = M.fit_gbt(x, "xgboost", max_iter=2)
+    total = M.feature_importance(gbt, _NUM).agg(F.sum("importance")).first()[0]
+    return spark.createDataFrame([(flat, abs(total - 1) < 1e-9)], "flat boolean, importance_sums_to_one boolean")
