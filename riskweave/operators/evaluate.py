@@ -113,19 +113,29 @@ def pointwise_metrics(pairs: DataFrame) -> DataFrame:
                      F.avg((F.col("score") - y) ** 2).alias("brier"))
 
 
-def lift_at_k(pairs: DataFrame, top_k: float) -> float:
-    """E5: positive rate of the top max(int(n*k), 1) rows (score desc, id asc) over the base rate."""
+def lift_at_k(pairs: DataFrame, top_k: float, t: DataFrame | None = None) -> float | None:
+    """E5: positive rate of the top max(int(n*k), 1) rows (score desc, id asc) over the base rate.
+
+    The boundary is read from the threshold table ``t``; only the rows that tie at the
+    boundary score are ordered by id, and only when the cut falls among them.
+    """
     pairs = pairs.where(F.col("score").isNotNull() & F.col("label").isNotNull())
-    stats = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("base")).first()
-    n = stats["n"]
-    if not n:
+    t = threshold_table(pairs) if t is None else t
+    total = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    if not total["P"] and not total["N"]:
         return None
+    n = int(total["P"] + total["N"])
     n_top = max(int(n * top_k), 1)
-    order = pairs.select((-F.col("score")).alias("_ns"), "id", "label")
-    b = rows_at(order, ["_ns", "id"], [n_top - 1])[0]
-    boundary = F.struct(F.lit(b["_ns"]).alias("_ns"), F.lit(b["id"]).alias("id"))
-    hits = (order.where(F.struct("_ns", "id") <= boundary).agg(F.sum("label").alias("h")).first()["h"] or 0)
-    return (hits / n_top) / max(stats["base"] or 0.0, 1e-9)
+    edge = t.where(F.col("tp") + F.col("fp") >= n_top).agg(F.max(F.struct("score", "pos", "neg", "tp", "fp")).alias("e")).first()["e"]
+    above = int(edge["tp"] + edge["fp"] - edge["pos"] - edge["neg"])
+    hits, left = edge["tp"] - edge["pos"], n_top - above
+    tied = pairs.where(F.col("score") == F.lit(edge["score"]))
+    if left == int(edge["pos"] + edge["neg"]):
+        hits += edge["pos"]
+    else:
+        last = rows_at(tied.select("id"), ["id"], [left - 1])[0]["id"]
+        hits += tied.where(F.col("id") <= F.lit(last)).agg(F.sum("label").alias("h")).first()["h"] or 0
+    return (hits / n_top) / max(total["P"] / n, 1e-9)
 
 
 def binary_metrics(pairs: DataFrame, fpr_target: float = 0.05) -> DataFrame:
@@ -137,7 +147,7 @@ def binary_metrics(pairs: DataFrame, fpr_target: float = 0.05) -> DataFrame:
     row = {"roc_auc": curve["roc_auc"], "pr_auc": curve["pr_auc"], "ks": curve["ks"], "gini": curve["gini"],
            "log_loss": point["log_loss"], "brier": point["brier"],
            f"recall_at_fpr_{int(fpr_target * 100)}pct": curve["recall_at_fpr"],
-           "lift_top_5pct": lift_at_k(pairs, 0.05), "lift_top_10pct": lift_at_k(pairs, 0.1),
+           "lift_top_5pct": lift_at_k(pairs, 0.05, t), "lift_top_10pct": lift_at_k(pairs, 0.1, t),
            "n": float(point["n"]), "positive_rate": point["positive_rate"]}
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
 

@@ -94,7 +94,8 @@ def e4(spark, sf):
 SELECT round(lift_top_5pct, 6) AS lift_top_5pct, round(lift_top_10pct, 6) AS lift_top_10pct FROM lift"""))
 def e5(spark, sf):
     p = pairs(spark, sf)
-    return rounded(spark.createDataFrame([(E.lift_at_k(p, 0.05), E.lift_at_k(p, 0.1))],
+    t = E.threshold_table(p)
+    return rounded(spark.createDataFrame([(E.lift_at_k(p, 0.05, t), E.lift_at_k(p, 0.1, t))],
                                          "lift_top_5pct double, lift_top_10pct double"))
 
 

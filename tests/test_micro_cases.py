@@ -260,3 +260,14 @@ def test_psi_of_long_rows_equals_wide(spark):
     long = D.psi_of_long(spark.createDataFrame([("f", float(v)) for v in e], "feature string, x double"),
                          spark.createDataFrame([("f", float(v)) for v in a], "feature string, x double")).first()
     assert long["psi"] == pytest.approx(wide, rel=1e-9)
+
+
+def test_lift_cuts_among_ties_by_id(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(0, 2)), float(rng.integers(0, 4)) / 4) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    top = sorted(rows, key=lambda r: (-r[2], r[0]))
+    for k in (0.05, 0.1, 0.5, 1.0):
+        n = max(int(100 * k), 1)
+        want = (sum(r[1] for r in top[:n]) / n) / (sum(r[1] for r in rows) / 100)
+        assert EV.lift_at_k(df, k) == pytest.approx(want)
