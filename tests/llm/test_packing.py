@@ -31,8 +31,7 @@ def slow_best_fit(lengths, sizes, cost):
             bins.append(b)
         b["items"].append(i)
         b["free"] -= lengths[i]
-        b["stamp"] = i_stamp = max((x["stamp"] for x in bins), default=0) + 1
-        assert i_stamp
+        b["stamp"] = max(x["stamp"] for x in bins) + 1
         left -= lengths[i]
     return sorted(sorted(b["items"]) for b in bins)
 
