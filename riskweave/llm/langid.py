@@ -11,10 +11,12 @@ runs forward-backward over every word of every text and sums the marginals.
 
 from __future__ import annotations
 
+import pickle
 import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ RUN = 64
 WIDTH = 1 << 17
 #: Training sample: documents per language, windows of words in all, words per window.
 DOCS_PER_LANG, WINDOWS, WINDOW_WORDS = 500, 6000, 32
-MAX_LANGS = 200
+MAX_LANGS = 64
 EPOCHS, RATE, DECAY = 30, 0.15, 1e-4
 #: Texts are scored in groups of about this many characters; words remembered between groups.
 GROUP_CHARS, REMEMBERED = 1_000_000, 500_000
@@ -48,6 +50,10 @@ class Crf:
     start: np.ndarray  # [langs]
 
 
+def untrained() -> Crf:
+    return Crf([], np.zeros((WIDTH, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
+
+
 def word_features(word: str) -> list[int]:
     """Hashed features of one word: itself, affixes and inner n-grams, with the word's ends marked."""
     b = b"^" + word.encode("utf-8", "surrogatepass") + b"$"
@@ -150,8 +156,7 @@ def train_crf(windows: list[list[str]], labels: list[str], epochs: int = EPOCHS)
         diff = (truth - post * mask[:, :, None])
         per_word = np.stack([np.bincount(words[mask], weights=diff[:, :, c][mask], minlength=len(index))
                              for c in range(k)], axis=1)
-        rep = np.repeat(per_word, sizes, axis=0)
-        g_w = np.stack([np.bincount(flat, weights=rep[:, c], minlength=WIDTH) for c in range(k)], axis=1)
+        g_w = np.stack([np.bincount(flat, weights=np.repeat(per_word[:, c], sizes), minlength=WIDTH) for c in range(k)], axis=1)
         for p, s, g in zip((weights, moves, start), sums, (
                 g_w / n - DECAY * weights, (true_moves - expected) / n - DECAY * moves, diff[:, 0].sum(axis=0) / n)):
             s += g * g
@@ -254,7 +259,7 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, docs_per_lang: int = D
                         & (fold("doc_id", modulus) != held))
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
-        return Crf([], np.zeros((WIDTH, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
+        return untrained()
     share = F.coalesce(*[F.when((F.col("lang") == r["lang"]) & hash_share(docs_per_lang / r["count"], 3, "doc_id"), True)
                          for r in sizes], F.lit(False))
     cut = usable.where(share).select(
@@ -263,14 +268,20 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, docs_per_lang: int = D
     rows = scratch(cut.select("lang", "doc_id", F.explode(F.transform(starts, lambda s: F.struct(
         s.alias("at"), F.slice("w", s + 1, WINDOW_WORDS).alias("words")))).alias("v")) \
         .select("lang", "v.words", F.xxhash64(F.lit(4), "doc_id", "v.at").alias("h")), "lang-windows")
-    # equally many windows per language, the first by hash
+    # equally many windows per language, the first by hash; one task trains on the bounded sample
     per_lang = max(1, windows // len(sizes))
-    picked = []
-    for r in sizes:
-        picked += rows.where(F.col("lang") == r["lang"]).orderBy("h").limit(per_lang).select("lang", "words").collect()
-    if not picked:
-        return Crf([], np.zeros((WIDTH, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    return train_crf([list(r["words"]) for r in picked], [r["lang"] for r in picked])
+    picked = reduce(DataFrame.unionByName, [rows.where(F.col("lang") == r["lang"]).orderBy("h").limit(per_lang) for r in sizes])
+    fitted = picked.coalesce(1).mapInPandas(_train_task, "model binary").collect()
+    return Crf(*pickle.loads(fitted[0]["model"])) if fitted else untrained()
+
+
+def _train_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All windows of the sample -> one row with the trained model's parts."""
+    frames = [b for b in batches if len(b)]
+    if frames:
+        sample = pd.concat(frames).sort_values(["lang", "h"])
+        m = train_crf([list(w) for w in sample["words"]], sample["lang"].tolist())
+        yield pd.DataFrame({"model": [pickle.dumps((m.langs, m.weights, m.moves, m.start))]})
 
 
 def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
