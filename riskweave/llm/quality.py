@@ -6,7 +6,7 @@ repeats the one before it). Each indicator is scaled by the log ratio of its
 class counts; a linear hinge-loss model on the scaled, length-normalised
 indicators is fitted by dual coordinate descent. Several tasks fit one share of a
 bounded sample each and the weights are averaged; a logistic curve fitted on a share that no
-task has seen turns margins into scores.
+task has seen turns margins into scores (a class with very few labels serves several of these steps).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, text_or_empty
-from .labelled import labelled_sample
+from .labelled import PARTS, labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -148,7 +148,7 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
 
 
 def fit_shares(sample: DataFrame, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Average of the models fitted on each ``part`` of the sample."""
+    """Average of the models fitted on each learning part of the sample; a row of several parts is in each of their models."""
     def fit_part(pdf: pd.DataFrame) -> pd.DataFrame:
         grams = NGrams()
         rows = []
@@ -162,20 +162,22 @@ def fit_shares(sample: DataFrame, ratio: np.ndarray) -> tuple[np.ndarray, float]
         w, bias = dual_coordinate_descent(rows, y, cost)
         return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "bias": [bias]})
 
-    fitted = sample.select("part", "text", "y").groupBy("part").applyInPandas(fit_part, "w binary, bias double").collect()
+    dealt = sample.select(F.explode("parts").alias("part"), "text", "y").where(F.col("part") < PARTS - 1)
+    fitted = dealt.groupBy("part").applyInPandas(fit_part, "w binary, bias double").collect()
     w = sum(np.frombuffer(r["w"], np.float32).astype(np.float64) for r in fitted) / len(fitted)
     return w, sum(r["bias"] for r in fitted) / len(fitted)
 
 
-def logistic_curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+def logistic_curve(margin: np.ndarray, y: np.ndarray, steps: int = 50, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset of P(y=1) = 1 / (1 + exp(-(slope m + offset))) by Newton steps, lightly damped."""
+    weight = np.ones(len(margin)) if weight is None else weight
     x = np.stack([margin, np.ones(len(margin))], axis=1)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((len(y) - y.sum()) + 2))
     b = np.array([1.0, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - p))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (target - p)))
         b = b + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -204,18 +206,17 @@ def marginer(ratio: np.ndarray, weights: np.ndarray, bias: float):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0,
         rows: int = SAMPLE_ROWS) -> NbSvm:
-    """Fit on about ``rows`` labelled documents outside the held-out fold (a documented bound)."""
+    """Fit on about ``rows`` labelled documents outside the held-out fold (a documented bound, see ``labelled_sample``)."""
     sample = labelled_sample(docs, labels, label, modulus, held, rows)
-    shares = sample.groupBy("part").agg(F.avg("y").alias("m")).collect()
-    base = float(sample.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0])
     zero = np.zeros(WIDTH)
-    if {r["part"] for r in shares} != set(range(5)) or not all(0 < r["m"] < 1 for r in shares):
-        return NbSvm(zero, zero, 0.0, 0.0, 0.0, base)
-    train = sample.where("part < 4")
+    if not sample.both:
+        return NbSvm(zero, zero, 0.0, 0.0, 0.0, sample.base)
+    train = sample.part(*range(PARTS - 1))
     ratio = log_count_ratio(*count_classes(train))
     weights, bias = fit_shares(train, ratio)
-    judged = sample.where("part = 4").select("y", marginer(ratio, weights, bias)("text").alias("m")).collect()
-    slope, offset = logistic_curve(np.array([r["m"] for r in judged]), np.array([float(r["y"]) for r in judged]))
+    judged = sample.part(PARTS - 1).select("y", "w", marginer(ratio, weights, bias)("text").alias("m")).collect()
+    slope, offset = logistic_curve(np.array([r["m"] for r in judged]), np.array([float(r["y"]) for r in judged]),
+                                   weight=np.array([r["w"] for r in judged]))
     return NbSvm(ratio, weights, bias, slope, offset)
 
 

@@ -4,7 +4,8 @@ Features: densities of a fixed and a learned lexicon (words and word
 beginnings that mark toxic training texts), how often a hit stands near a second-person
 word, capitals, punctuation, and spellings that hide letters. A bounded
 sample of labelled rows is dealt into parts: two for the lexicon, two for the
-trees, one for the calibration, so no step judges texts an earlier one has learned.
+trees, one for the calibration, so no step judges texts an earlier one has learned,
+except those of a class with very few labels, which the steps share.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, scratch, text_or_empty
-from .labelled import labelled_sample
+from .labelled import Sample, labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -157,24 +158,22 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held: int = 2,
         rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on about ``rows`` labelled documents outside the held-out fold (a documented bound)."""
+    """Fit on about ``rows`` labelled documents outside the held-out fold (a documented bound, see ``labelled_sample``)."""
     sample = labelled_sample(docs, labels, label, modulus, held, rows)
-    shares = sample.groupBy("part").agg(F.avg("y").alias("m")).collect()
-    base = float(sample.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0])
-    if {r["part"] for r in shares} != set(range(5)) or not all(0 < r["m"] < 1 for r in shares):
-        return ToxicityModel({}, None, None, base)
-    lexicon = learned_lexicon(sample.where("part < 2"))
-    x = scratch(sample.where("part >= 2").select("part", F.col("y").cast("double").alias("y"),
-                                                 featurizer(lexicon)("text").alias("v")), "toxic-features")
-    x = x.withColumn("_x", array_to_vector("v"))
+    if not sample.both:
+        return ToxicityModel({}, None, None, sample.base)
+    lexicon = learned_lexicon(sample.part(0, 1))
+    x = Sample(scratch(sample.part(2, 3, 4).select("parts", "w", F.col("y").cast("double").alias("y"),
+                                                   featurizer(lexicon)("text").alias("v")), "toxic-features")
+               .withColumn("_x", array_to_vector("v")), sample.base, True)
     learner = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7,
                             predictionCol="_tree")
-    trees = learner.setProbabilityCol("_probability").setRawPredictionCol("_raw").fit(x.where("part < 4"))
-    judged = trees.transform(x.where("part = 4")).select("y", F.round(vector_to_array("_probability")[1], 3).alias("_p"))
-    # one weighted point per score and class: the calibration sees at most 2,002 rows
-    points = judged.groupBy("_p", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    trees = learner.setProbabilityCol("_probability").setRawPredictionCol("_raw").fit(x.part(2, 3))
+    judged = trees.transform(x.part(4)).select("y", "w", F.round(vector_to_array("_probability")[1], 3).alias("_p"))
+    # one weighted point per score and class: the calibration sees at most 2,002 rows, classes in their true proportion
+    points = judged.groupBy("_p", "y").agg(F.sum("w").alias("w"))
     calibration = IsotonicRegression(featuresCol="_p", labelCol="y", weightCol="w", predictionCol="_score").fit(points)
-    return ToxicityModel(lexicon, trees, calibration, base)
+    return ToxicityModel(lexicon, trees, calibration, sample.base)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: ToxicityModel | None = None) -> DataFrame:

@@ -156,3 +156,38 @@ def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "text", 7), (None, None, 7), (2, "x" * 100000, 7)], "doc_id long, text string, predicted int")
     got = Q.score_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert [r["score"] for r in got] == [0.0] * 3 and Q.score_quality(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+# ---------------------------------------------------------------- rare classes
+
+def rare_positives(spark, n, positives):
+    """Documents with the given ids marked toxic and good, labels in both columns."""
+    rng = random.Random(5)
+    text = lambda i: " ".join(words_of("bb" if i in positives else "aa", 30, rng)) + (" you stupid idiot!" if i in positives else "")
+    docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, int(i in positives), int(i in positives)) for i in range(n)], "doc_id long, toxic int, quality int")
+
+
+@pytest.mark.parametrize("count", [3, 12])
+def test_few_positives_are_learned(spark, count):
+    free = [i for i in range(400) if not held(i, 4, 2) and not held(i, 5, 0)][:count]
+    out = [i for i in range(400) if held(i, 4, 2) and held(i, 5, 0)][:5]
+    docs, labels = rare_positives(spark, 400, {*free, *out})
+    for rows in (X.score_toxicity(docs, labels).collect(), Q.score_quality(docs, labels).collect()):
+        score = {r["doc_id"]: r["score"] for r in rows}
+        others = [s for i, s in score.items() if i not in {*free, *out}]
+        assert len({*score.values()}) > 1 and min(score[i] for i in out) > max(others)
+
+
+def test_sample_keeps_rare_classes_and_their_weight(spark):
+    docs, labels = rare_positives(spark, 6000, {*range(0, 6000, 300)})
+    from riskweave.llm.labelled import labelled_sample
+    s = labelled_sample(docs, labels.where("doc_id < 5400").union(spark.range(9000, 9500).selectExpr("id", "1", "1")), "toxic", 4, 2, 500)
+    want = [i for i in range(0, 5400, 300) if not held(i, 4, 2)]
+    rows = s.rows.select("y", "w", "parts").collect()
+    assert sum(r["y"] for r in rows) == len(want) and len(rows) < 600
+    usable = [i for i in range(5400) if not held(i, 4, 2)]
+    assert s.base == pytest.approx(len(want) / len(usable))
+    assert sum(r["w"] * r["y"] for r in rows) / sum(r["w"] for r in rows) == pytest.approx(s.base)
+    for part in range(5):
+        assert {r["y"] for r in s.part(part).collect()} == {0, 1}
