@@ -58,7 +58,7 @@ class NGrams:
 
     def _token(self, t: str) -> int:
         """Hash of the token's shape (low 24 bits) and of the token (above)."""
-        shape = "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in t[:64])
+        shape = "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in t)
         shape = self.runs.sub(lambda m: m.group(0)[:1] + ("+" if len(m.group(0)) > 1 else ""), shape)
         return (zlib.crc32(shape.encode("utf-8", "replace")) & 0xFFFFFF) | (zlib.crc32(t.encode("utf-8", "replace")) << 24)
 

@@ -191,3 +191,8 @@ def test_sample_keeps_rare_classes_and_their_weight(spark):
     assert sum(r["w"] * r["y"] for r in rows) / sum(r["w"] for r in rows) == pytest.approx(s.base)
     for part in range(5):
         assert {r["y"] for r in s.part(part).collect()} == {0, 1}
+
+
+def test_shape_of_a_long_token_is_read_to_its_end():
+    shape = lambda t: Q.NGrams()._token(t) & 0xFFFFFF
+    assert shape("x" * 64 + "=;1") != shape("x" * 64 + "yyy") and shape("x" * 64 + "yyy") == shape("xx")
