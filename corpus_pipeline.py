@@ -59,8 +59,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; no document goes, texts without secrets are unchanged."""
-    clean = secrets.scan(docs).withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    """Secrets are masked in the text; no document goes, texts without secrets are unchanged.
+
+    Weak parts that reach beyond a base span are masked too (an endpoint with a password in its query)."""
+    clean = secrets.scan(docs, overlapping=True).withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
     sized = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) \
         if "n_chars" in docs.columns else clean
     return sized.select(*docs.columns)

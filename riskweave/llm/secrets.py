@@ -115,11 +115,13 @@ def _flags(*kinds: str) -> Column:
     return F.col("rank").isin([KINDS.index(k) for k in kinds])
 
 
-def link_weak(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+def link_weak(parts: DataFrame, scope: int = SCOPE, overlapping: bool = False) -> DataFrame:
     """(key, start, rank, end) parts of texts -> the weak ones that a complementary part completes.
 
     A weak part that overlaps a base span adds nothing and is left out, and so
-    is an opaque token inside an identifier or endpoint.
+    is an opaque token inside an identifier or endpoint. With ``overlapping`` a weak part is
+    left out only if it lies wholly inside a base span; one that reaches beyond it stays, and
+    a secret that it holds or touches completes it.
     """
     order = Window.partitionBy("key").orderBy("start", "rank", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +135,9 @@ def link_weak(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     base, named = _flags(*BASE), _flags("ident", "endpoint")
     # tokens that are only part of a base span, a name or an address count for nothing
-    free = parts.withColumn("covered", near(base, -1) | (_flags("opaque") & near(named, -1)))
+    # (a base span that starts where a weak part does is ordered before it)
+    inside = F.coalesce(F.max(F.when(base, F.col("end"))).over(before) >= F.col("end"), F.lit(False))
+    free = parts.withColumn("covered", (inside if overlapping else near(base, -1)) | (_flags("opaque") & near(named, -1)))
     free = free.where(~F.col("covered") | base)
     secret, identifier, endpoint = _flags("assign", "hex", "opaque"), _flags("ident", "access"), _flags("endpoint")
     linked = free.withColumn("completed", F.when(identifier | endpoint, near(secret, scope))
@@ -147,9 +151,9 @@ def _listed(spans: Column) -> Column:
         ":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, scope: int = SCOPE, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, scope: int = SCOPE, keep: list[str] | None = None, overlapping: bool = False) -> DataFrame:
     """Adds ``spans`` (sorted array of start, rank, end) and ``base`` (the same, base kinds only) to the
-    columns ``keep`` of ``docs`` (all by default).
+    columns ``keep`` of ``docs`` (all by default). ``overlapping``: see ``link_weak``.
 
     Null text counts as empty and has no spans. Equal texts are linked once, so
     groups of copies cost one text. Rows are neither dropped nor merged; columns
@@ -164,7 +168,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, keep: list[str] | None = None) ->
     parts = found.where("_key IS NOT NULL").groupBy("_key").agg(
         F.first("_base").alias("_base"), F.first("_weak").alias("_weak"))
     linked = link_weak(parts.select(F.col("_key").alias("key"), F.explode(F.concat("_base", "_weak")).alias("p"))
-                       .select("key", "p.start", "p.rank", "p.end"), scope)
+                       .select("key", "p.start", "p.rank", "p.end"), scope, overlapping)
     per_text = linked.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "rank", "end")).alias("_linked"))
     sizes = found.where("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     per_text = scratch(per_text.join(sizes, "_key"), "secret-links")

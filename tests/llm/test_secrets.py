@@ -99,3 +99,38 @@ def test_main_path_has_no_python(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh1")], "doc_id long, text string")
     plan = S.report(S.scan(df))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def brute_overlapping(parts, scope):
+    """As ``brute_links``, but only weak parts wholly inside a base span are left out."""
+    base = [p for p in parts if p[1] < 3]
+    gap = lambda p, q: max(p[0] - q[2], q[0] - p[2])
+    named = [p for p in parts if p[1] in (3, 5)]
+    free = [p for p in parts if p[1] >= 3 and not any(q[0] <= p[0] and p[2] <= q[2] for q in base)
+            and not (p[1] == 4 and any(gap(p, q) < 0 for q in named))] + base
+    other = {3: (0, 2, 4), 5: (0, 2, 4), 4: (1, 3, 5)}
+    return sorted(p for p in free if p[1] >= 3 and any(q[1] in other[p[1]] and gap(p, q) <= scope for q in free if q is not p))
+
+
+def test_overlapping_links_match_all_pairs(spark):
+    import random
+    rng = random.Random(9)
+    rows, want = [], []
+    for doc in range(120):
+        parts = set()
+        for _ in range(rng.randint(1, 14)):
+            a = rng.randint(0, 900)
+            parts.add((a, rng.randint(0, 5), a + rng.randint(1, 60)))
+        rows += [(str(doc), a, k, b) for a, k, b in parts]
+        want += [(str(doc), a, k, b) for a, k, b in brute_overlapping(sorted(parts), 50)]
+    df = spark.createDataFrame(rows, "key string, start long, rank int, end long")
+    assert sorted(tuple(r) for r in S.link_weak(df, 50, overlapping=True).collect()) == sorted(want)
+
+
+def test_pipeline_masks_endpoints_that_hold_their_secret(spark):
+    import corpus_pipeline
+    texts = ["see https://db.example.net/x?password=supersecret1 end", "see https://db.example.net/" + "0123456789abcdef" * 2 + "/y end",
+             "see https://db.example.net/x?password=supersecret1&h=Zq then Zq81xkPq02mVbb71LLsd9 end", "see https://db.example.net/x?y=1 end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, df, "").collect()}
+    assert got == {0: "see [SECRET] end", 1: "see [SECRET] end", 2: "see [SECRET] then [SECRET] end", 3: texts[3]}
