@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, fingerprints, langid, packing, quality, secrets, sentencepiece_fst, simhash_dedup, toxicity, urls)
+from . import (exact_dedup, fingerprints, langid, lattice_lm, packing, prefix_trie, quality, secrets, sentencepiece_fst, simhash_dedup,
+               toxicity, urls, whitening)
 from .common import read_table
 from .oracles import ORACLE, URL_RULES  # noqa: F401  (ORACLE is part of this module's interface)
 
@@ -52,6 +53,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_exact_dedup, op3_best_fit_packing, op4_toxicity, op5_url_filter, op6_quality, op7_fingerprints,
-    op8_language_id, op9_sentencepiece, op10_simhash_near_dedup)}
+    op8_language_id, op9_sentencepiece, op10_simhash_near_dedup, op11_prefix_trie, op12_embedding_whitening, op13_lattice_lm)}
