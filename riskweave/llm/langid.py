@@ -16,17 +16,15 @@ import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, scratch
-from .labelled import hash_share
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,7 +33,6 @@ RUN = 64
 WIDTH = 1 << 17
 #: Training sample: documents per language, windows of words in all, words per window.
 DOCS_PER_LANG, WINDOWS, WINDOW_WORDS = 500, 6000, 32
-MAX_LANGS = 64
 EPOCHS, RATE, DECAY = 30, 0.15, 1e-4
 #: Texts are scored in groups of about this many characters; words remembered between groups.
 GROUP_CHARS, REMEMBERED = 1_000_000, 500_000
@@ -251,26 +248,28 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, docs_per_lang: int = D
     """Train on a bounded sample of the rows with a language whose crc32(doc_id) mod ``modulus`` is not ``held``.
 
     The sample is about ``docs_per_lang`` documents per language (chosen by a
-    hash of the id; at most MAX_LANGS languages, the most frequent), cut whole
-    into windows of WINDOW_WORDS words, of which about ``windows`` are used. No
+    hash of the id), cut whole into windows of WINDOW_WORDS words, of which about ``windows`` are used, the same
+    number of each language. Every labelled language is learned; the weights take half a megabyte per language. No
     labelled row: a model without languages, which labels everything ``und``.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    usable = docs.select("lang", "doc_id", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
                         & (fold("doc_id", modulus) != held))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
+    sizes = scratch(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")), "lang-sizes")
+    n_langs = sizes.count()
+    if not n_langs:
         return untrained()
-    share = F.coalesce(*[F.when((F.col("lang") == r["lang"]) & hash_share(docs_per_lang / r["count"], 3, "doc_id"), True)
-                         for r in sizes], F.lit(False))
-    cut = usable.where(share).select(
+    # as many rows as there are languages: broadcast unless they are very many
+    per_lang = F.broadcast(sizes) if n_langs <= 10_000 else sizes
+    share = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < F.lit(docs_per_lang * (1 << 30)) / F.col("n_lang")
+    cut = usable.join(per_lang, "lang").where(share).select(
         "lang", "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(WINDOW_WORDS))
     rows = scratch(cut.select("lang", "doc_id", F.explode(F.transform(starts, lambda s: F.struct(
         s.alias("at"), F.slice("w", s + 1, WINDOW_WORDS).alias("words")))).alias("v")) \
         .select("lang", "v.words", F.xxhash64(F.lit(4), "doc_id", "v.at").alias("h")), "lang-windows")
-    # equally many windows per language, the first by hash; one task trains on the bounded sample
-    per_lang = max(1, windows // len(sizes))
-    picked = reduce(DataFrame.unionByName, [rows.where(F.col("lang") == r["lang"]).orderBy("h").limit(per_lang) for r in sizes])
+    # equally many windows per language, the first by hash (a language's part of the sample is bounded); one task trains on them
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = rows.withColumn("rank", rank).where(F.col("rank") <= max(1, windows // n_langs)).drop("rank")
     fitted = picked.coalesce(1).mapInPandas(_train_task, "model binary").collect()
     return Crf(*pickle.loads(fitted[0]["model"])) if fitted else untrained()
 

@@ -112,4 +112,37 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bound > {urls.TOLERA
        round(mean, 6) AS bad_rate, round(bound, 6) AS bound
 FROM r JOIN post USING (host)"""
 
-ORACLE = {"op1_secret_scan": SECRETS, "op2_exact_dedup": EXACT, "op5_url_filter": URLS}
+#: crc32 of a decimal id: a table of 256 values by the reflected polynomial, then one step per character.
+_CRC = """
+tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+          lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+crc AS (SELECT c, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+          lambda a, b: xor(a >> 8, tab.t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h
+        FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), tab)"""
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE {_CRC.strip()},
+own AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                     sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+              FROM conversations WHERE conv_id IS NOT NULL)),
+built AS (SELECT crc.c, b.pos AS k, b.role, b.text FROM crc JOIN own b ON b.c = crc.c - crc.c % 100 AND b.pos <= crc.h
+          UNION ALL SELECT own.c, own.pos, role, text FROM own JOIN crc USING (c) WHERE own.pos > crc.h),
+seq AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, role, text FROM built),
+member AS (SELECT c, 0 AS d, CAST([] AS STRUCT(r VARCHAR, t VARCHAR)[]) AS path, 0 AS chars FROM crc
+           UNION ALL SELECT c, d, list({{'r': role, 't': text}}) OVER (PARTITION BY c ORDER BY d), length(text) FROM seq),
+named AS (SELECT *, min(c) OVER (PARTITION BY d, path) AS n FROM member),
+up AS (SELECT a.*, b.n AS pn FROM named a LEFT JOIN named b ON b.c = a.c AND b.d = a.d - 1),
+node AS (SELECT n, d, min(pn) AS pn, count(*) AS n_convs, max(chars) AS chars FROM up GROUP BY n, d),
+kids AS (SELECT pn AS n, d - 1 AS d, count(*) AS n_children FROM node WHERE pn IS NOT NULL GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (n, d)),
+-- every node counts for each prefix of its smallest member
+above AS (SELECT a.n, a.d, x.n_children, (x.n_convs - 1) * x.chars AS saved FROM full_node x JOIN named a ON a.c = x.n AND a.d <= x.d),
+total AS (SELECT n, d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY n, d),
+last AS (SELECT c, max(d) AS d FROM member GROUP BY c),
+ends AS (SELECT n, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM named JOIN last USING (c, d) GROUP BY n, d)
+SELECT x.n AS conv_id, CAST(x.d AS BIGINT) AS depth, x.pn AS parent_conv_id, n_convs, n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_node x JOIN total USING (n, d) LEFT JOIN ends USING (n, d)"""
+
+ORACLE = {"op11_prefix_trie": PREFIX_TRIE, "op1_secret_scan": SECRETS, "op2_exact_dedup": EXACT, "op5_url_filter": URLS}

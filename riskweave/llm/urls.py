@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, attach, scratch
 
-#: Most rules of a list (they are part of every task's expression).
+#: Most rules of a list (they are broadcast as a table).
 MAX_RULES = 10_000
 #: Prior of the whole corpus (one bad and one good outcome), limits of a level's prior strength.
 ROOT_BAD, ROOT_ALL = 1.0, 2.0
@@ -42,17 +42,30 @@ def last_labels(host: Column, n: int) -> Column:
     return F.substring_index(host, ".", -n)
 
 
-def best_rule(host: Column, path: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits; null if none does. Equal lengths: the first in the list."""
+def fitting_rules(hosts: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
+    """Distinct hosts (host) -> (host, fits): the rules of the host and the domains above it, longest first.
+
+    The rules are a table joined on their host, which the last labels of a page's host must equal. Equal
+    lengths: the first in the list. Hosts without any rule are left out; ``first_fit`` takes the path into account.
+    """
     rules = list(rules)
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")
-    fits = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule, verdict in sorted(rules, key=lambda r: len(r[0])):
+    rows = []
+    for rank, (rule, verdict) in enumerate(sorted(rules, key=lambda r: -len(r[0]))):
         name, slash, rest = rule.partition("/")
-        here = ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit(slash + rest))
-        fits = F.when(here, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(fits)
-    return fits
+        rows.append((name, rank, slash + rest, rule, verdict))
+    table = hosts.sparkSession.createDataFrame(rows, "name string, rank int, path string, rule string, verdict string")
+    labels = range(1, max((name.count(".") for name, *_ in rows), default=0) + 2)
+    names = F.array_distinct(F.array(*[last_labels(F.col("host"), n) for n in labels]))
+    # at most MAX_RULES rows
+    found = hosts.select("host", F.explode(names).alias("name")).join(F.broadcast(table), "name")
+    return found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path", "rule", "verdict"))).alias("fits"))
+
+
+def first_fit(fits: Column, path: Column) -> Column:
+    """The first of a host's rules whose path the page's path starts with; null if none does."""
+    return F.get(F.filter(fits, lambda r: F.startswith(path, r["path"])), 0)
 
 
 def _strength(children: DataFrame) -> float:
@@ -145,15 +158,17 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], outcomes: DataFram
     the empty host. Repeated rows are judged alike; an empty table gives no rows.
     """
     host, path = split_url(F.col("url"))
-    cut = pages.select("page_id", host.alias("host"), path.alias("path"))
-    ruled = scratch(cut.withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
+    cut = scratch(pages.select("page_id", host.alias("host"), path.alias("path")), "page-urls")
+    per_host = scratch(cut.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "page-hosts")
+    total = cut.count()
+    fits = fitting_rules(per_host.select("host"), rules).join(per_host, "host")
+    ruled = scratch(attach(cut, fits, "host", "pages", total).withColumn("r", first_fit(F.col("fits"), F.col("path")))
                     .select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled")), "pages")
     if outcomes is None:
         outcomes = ruled.where("ruled IS NOT NULL").select("host", (F.col("ruled") == "block").cast("int").alias("bad"))
     rep = fit(outcomes)
-    per_host = scratch(ruled.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "page-hosts")
     known = per_host.join(bounds(per_host.select("host"), rep), "host")
-    out = attach(ruled, known, "host", "pages", ruled.count())
+    out = attach(ruled, known, "host", "pages", total)
     verdict = F.coalesce("ruled", F.when(F.col("bound") > tolerated, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"),
                       F.col("mean").alias("bad_rate"), "bound")

@@ -94,4 +94,25 @@ def test_empty_tables_and_rule_limits(spark):
     got = U.judge(one, []).collect()
     assert [(r["host"], r["rule"], r["verdict"]) for r in got] == [("", None, "allow")] * 2
     with pytest.raises(ValueError):
-        U.best_rule(None, None, [("x/", "allow")] * (U.MAX_RULES + 1))
+        U.fitting_rules(one, [("x/", "allow")] * (U.MAX_RULES + 1))
+
+
+def test_ten_thousand_rules(spark):
+    rng = random.Random(6)
+    names = [f"h{i}.d{i % 50}.{t}" for i in range(2000) for t in ("com", "net")] + [f"d{i}.com" for i in range(50)] + ["com", "net"]
+    rules = list({f"{rng.choice(names)}/{rng.choice(['', 'a', 'a/', 'ab', 'b/c'])}": None for _ in range(30_000)})[:U.MAX_RULES]
+    rules = [(r, "block" if i % 2 else "allow") for i, r in enumerate(rules)]
+    urls = [f"http://{rng.choice(['', 'www.', 'x'])}{rng.choice(names)}/{rng.choice(['', 'a', 'a/x', 'abc', 'b/c', 'z'])}" for _ in range(400)]
+    urls += ["http://" + "a." * 20_000 + "com/a"]                 # a host of very many labels
+    got = U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    verdict = dict(rules)
+    by_host = {}
+    for r, _ in rules:
+        by_host.setdefault(r.partition("/")[0], []).append(r)
+    assert len(got) == len(urls)
+    for r in got:
+        host, path = parts(urls[r["page_id"]])
+        last = host.split(".")
+        fits = [x for n in range(1, 5) for x in by_host.get(".".join(last[-n:]), []) if n <= len(last) and path.startswith("/" + x.partition("/")[2])]
+        best = max(fits, key=len, default=None)
+        assert (r["rule"] is None) == (best is None) and (best is None or len(r["rule"]) == len(best) and r["verdict"] == verdict[r["rule"]])
