@@ -12,9 +12,8 @@ a row belongs to the hubs of the values it has. Two rows are linked exactly
 when they share a hub. ``links_of`` lists the partners of asked ids only.
 
 GR3 components: every member of a hub is linked to the hub's smallest id (a
-star instead of all pairs). Each round a node takes the smallest label among
-itself and its neighbours, then that label's label; the loop ends when a round
-changes nothing, however many rounds that takes. Labels are written to the shared folder each round.
+star instead of all pairs). Each round contracts the links (see ``components``), so later
+rounds work on ever fewer of them; the loop ends when none is left. Rounds are written to the shared folder.
 
 GR4 degree: the number of rows that share at least m of K keys follows by
 inclusion and exclusion from the block sizes of the key subsets of m keys and more.
@@ -69,6 +68,11 @@ def _hubs(keyed: DataFrame, n_keys: int, sizes: Sequence[int]) -> DataFrame:
     return keyed.select("id", F.explode(entries).alias("e")).select("id", "e.size", "e.hub").where("hub IS NOT NULL")
 
 
+def hub_rows(df: DataFrame, keys: Sequence[str], sizes: Sequence[int], id_col: str = "id") -> DataFrame:
+    """(id, size, hub) of every row and key subset of the given sizes; rows without all keys of a subset are not in it."""
+    return _hubs(_keyed(df, keys, id_col), len(keys), sizes)
+
+
 def linkage(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
     """GR2: (id, link_keys, hub, members): the hubs of two members and more that a row belongs to."""
     hubs = _hubs(_keyed(df, keys, id_col), len(keys), [min_link_keys])
@@ -93,52 +97,80 @@ def links_of(df: DataFrame, asked: DataFrame, keys: Sequence[str], min_link_keys
     return pairs.join(a, "id").join(b, "partner").select("id", "partner", weight.alias("weight"))
 
 
+def hub_table(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
+    """(id, size, n, first): the shared hubs of every row (of ``min_link_keys`` keys and more) with the
+    hub's rows and smallest id. One aggregation by hub; components and degrees both read it."""
+    hubs = hub_rows(df, keys, range(min_link_keys, len(keys) + 1), id_col)
+    shared = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n >= 2")
+    return hubs.join(shared, "hub").select("id", "size", "n", "first")
+
+
+def _stars(hubs: DataFrame, min_link_keys: int) -> DataFrame:
+    return hubs.where((F.col("size") == min_link_keys) & (F.col("id") != F.col("first"))) \
+        .select(F.col("first").alias("src"), F.col("id").alias("dst")).distinct()
+
+
 def star_links(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
     """(src, dst): every hub member linked to the hub's smallest id; same components as all pairs, linear size."""
-    hubs = _hubs(_keyed(df, keys, id_col), len(keys), [min_link_keys]).select("id", "hub")
-    centre = hubs.groupBy("hub").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("members")).where("members >= 2")
-    return (hubs.join(centre, "hub").where(F.col("id") != F.col("src"))
-            .select("src", F.col("id").alias("dst")).distinct())
+    return _stars(hub_table(df, keys, min_link_keys, id_col), min_link_keys)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """GR3: (node, component): the smallest id of the node's component, for every node that has a link."""
-    both = materialise(links.select(F.col("src").alias("node"), F.col("dst").alias("peer")).unionByName(
-        links.select(F.col("dst").alias("node"), F.col("src").alias("peer"))), "graph-links")
-    label = materialise(both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("label")), "graph-labels")
-    rounds = 0
-    while True:
-        rounds += 1
-        near = (both.join(label.select(F.col("node").alias("peer"), F.col("label").alias("_peer_label")), "peer")
-                .groupBy("node").agg(F.min("_peer_label").alias("_near")))
-        lower = label.join(near, "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
-        jump = label.select(F.col("node").alias("label"), F.col("label").alias("_jump"))
-        new = materialise(lower.join(jump, "label").select(
-            "node", F.least("label", "_jump").alias("label"), "_old"), "graph-labels")
-        moved = new.where(F.col("label") != F.col("_old")).limit(1).count()
+    """GR3: (node, component): the smallest id of the node's component, for every node that has a link.
+
+    Each round a node takes the smallest id among itself and its neighbours, then what that one took, until nothing
+    changes (pointer jumping, each step doubles the reach); then every link is drawn between the taken
+    ids, and links inside one id and repeated links go. Taken ids are smaller than all their neighbours: such a node has either
+    taken over all its neighbours or gets a smaller neighbour, so two rounds at least halve the
+    nodes and the links shrink from round to round. At the end the takings are followed from the last round back.
+    """
+    between = F.col("src") != F.col("dst")
+    edges = materialise(links.select("src", "dst").where(between).distinct(), "graph-links")
+    taken, steps = [], 0
+    while not taken or edges.limit(1).count():
+        both = edges.toDF("node", "peer").unionByName(edges.toDF("peer", "node"))
+        label = materialise(both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("label")), "graph-labels")
+        moved = True
+        while moved:
+            steps += 1
+            there = label.select(F.col("node").alias("label"), F.col("label").alias("_there"))
+            jumped = materialise(label.join(there, "label").select("node", F.col("_there").alias("label"), (F.col("_there") != F.col("label")).alias("moved")), "graph-labels")
+            moved = jumped.where("moved").limit(1).count() > 0
+            discard(label)
+            label = jumped
+        taken.append(label.drop("moved"))
+        taken[-1]._scratch_path = label._scratch_path
+        a, b = (label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("src", "dst"))
+        drawn = edges.join(a, "src").join(b, "dst").select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst"))
+        shorter = materialise(drawn.where(between).distinct(), "graph-links")
+        discard(edges)
+        edges = shorter
+    discard(edges)
+    components.rounds = steps   # exposed for tests and tuning
+    found = taken.pop()
+    while taken:
+        label, later = taken.pop(), found.select(F.col("node").alias("label"), F.col("label").alias("_later"))
+        merged = materialise(label.join(later, "label", "left").select("node", F.coalesce("_later", "label").alias("label")), "graph-labels")
         discard(label)
-        label = new
-        if not moved:
-            break
-    discard(both)
-    components.rounds = rounds   # exposed for tests and tuning
-    return label.select("node", F.col("label").alias("component"))
+        discard(found)
+        found = merged
+    return found.select("node", F.col("label").alias("component"))
+
+
+def _degrees(hubs: DataFrame, k: int, m: int) -> DataFrame:
+    sign = F.lit(0)
+    for j in range(m, k + 1):
+        sign = F.when(F.col("size") == j, F.lit((-1) ** (j - m) * comb(j - 1, m - 1))).otherwise(sign)
+    return hubs.groupBy("id").agg(F.sum(sign * (F.col("n") - 1)).cast("long").alias("degree"))
 
 
 def degrees(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
-    """(id, degree): rows that share at least ``min_link_keys`` keys with the row, itself excluded.
+    """(id, degree): rows that share at least ``min_link_keys`` keys with the row, itself excluded (rows without any are left out).
 
-    With S_j the summed block sizes of a row's j-key subsets, the rows that agree on
+    With S_j the other rows of a row's j-key hubs added up, the rows that agree on
     at least m keys number sum over j >= m of (-1)^(j-m) C(j-1, m-1) S_j.
     """
-    k, m = len(keys), min_link_keys
-    keyed = _keyed(df, keys, id_col)
-    hubs = _hubs(keyed, k, range(m, k + 1))
-    sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    sign = F.lit(0)
-    for j in range(m, k + 1):
-        sign = F.when(F.col("size") == j, F.lit((-1) ** (j - m) * comb(j - 1, m - 1))).otherwise(sign)
-    return (hubs.join(sizes, "hub").groupBy("id").agg((F.sum(sign * F.col("n")) - 1).cast("long").alias("degree")))
+    return _degrees(hub_table(df, keys, min_link_keys, id_col), len(keys), min_link_keys)
 
 
 def graph_features(df: DataFrame, link_keys: Sequence[str] = DEFAULT_LINK_KEYS, min_link_keys: int = MIN_LINK_KEYS,
@@ -148,13 +180,16 @@ def graph_features(df: DataFrame, link_keys: Sequence[str] = DEFAULT_LINK_KEYS,
     if len(keys) < min_link_keys:
         return df.select("*", F.lit(1).alias("graph_component_size"), F.lit(0).cast("long").alias("graph_degree"),
                          F.lit(1).alias("graph_isolated"))
-    narrow = materialise(df.select(id_col, *keys), "graph-keys")
-    comp = components(star_links(narrow, keys, min_link_keys, id_col))
+    hubs = materialise(hub_table(df.select(id_col, *keys), keys, min_link_keys, id_col), "graph-hubs")
+    comp = components(_stars(hubs, min_link_keys))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    comp_size = comp.join(sizes, "component").select(F.col("node").alias(id_col), "_size")
-    deg = degrees(narrow, keys, min_link_keys, id_col).select(F.col("id").alias(id_col), F.col("degree").alias("_degree"))
+    comp_size = comp.join(sizes, "component").select(F.col("node").alias("_node"), "_size")
+    deg = _degrees(hubs, len(keys), min_link_keys).select(F.col("id").alias("_id"), F.col("degree").alias("_degree"))
+    # both sides by id: one narrow table, so the wide frame is joined once
+    found = materialise(comp_size.join(deg, F.col("_node") == F.col("_id")).select(F.col("_id").alias(id_col), "_size", "_degree"), "graph-found")
+    discard(hubs)
     degree = F.coalesce(F.col("_degree"), F.lit(0).cast("long"))
-    return (df.join(comp_size, id_col, "left").join(deg, id_col, "left")
+    return (df.join(found, id_col, "left")
             .withColumns({"graph_component_size": F.coalesce(F.col("_size").cast("int"), F.lit(1)),
                           "graph_degree": degree, "graph_isolated": (degree == 0).cast("int")})
             .drop("_size", "_degree"))
@@ -166,13 +201,14 @@ def build_graph_features(df: DataFrame, **kw) -> DataFrame:
 
 def graph_summary(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:
     """GR5: n_nodes, n_edges, n_components (isolated rows included), largest_component."""
-    narrow = materialise(df.select(id_col, *keys), "graph-keys")
-    comp = components(star_links(narrow, keys, min_link_keys, id_col))
+    hubs = materialise(hub_table(df.select(id_col, *keys), keys, min_link_keys, id_col), "graph-hubs")
+    comp = components(_stars(hubs, min_link_keys))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     c = sizes.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("linked"),
                   F.coalesce(F.max("size"), F.lit(1)).alias("largest")).first()
-    edges = degrees(narrow, keys, min_link_keys, id_col).agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("d")).first()["d"]
-    n = narrow.count()
+    edges = _degrees(hubs, len(keys), min_link_keys).agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("d")).first()["d"]
+    discard(hubs)
+    n = df.count()
     return df.sparkSession.createDataFrame(
         [(n, edges // 2, n - c["linked"] + c["groups"], int(c["largest"]))],
         "n_nodes long, n_edges long, n_components long, largest_component long")

@@ -127,10 +127,10 @@ def violations_column(df: DataFrame, rules: Sequence[Rule]) -> Column:
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
 
 
-def validate(df: DataFrame, rules: Sequence[Rule] = LOAN_RULES, key: str = "id") -> DataFrame:
-    """V1: one row per (row key, violated rule): key, column, check, num_value, str_value."""
-    return (df.select(F.col(key), F.explode(violations_column(df, rules)).alias("v"))
-            .select(key, "v.column", "v.check", "v.num_value", "v.str_value"))
+def validate(df: DataFrame, rules: Sequence[Rule] = LOAN_RULES, key: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """V1: one row per (row key, violated rule): key, ``keep``, column, check, num_value, str_value."""
+    return (df.select(F.col(key), *keep, F.explode(violations_column(df, rules)).alias("v"))
+            .select(key, *keep, "v.column", "v.check", "v.num_value", "v.str_value"))
 
 
 def validation_report(df: DataFrame, rules: Sequence[Rule] = LOAN_RULES, key: str = "id") -> DataFrame:
@@ -175,9 +175,11 @@ def request_rules() -> tuple[Rule, ...]:
     return tuple(Rule(c, "required") for c in REQUEST_REQUIRED) + REQUEST_RULES
 
 
-def validate_requests(df: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+def validate_requests(df: DataFrame, key: str = "id", whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """V3: (accepted rows with defaults applied, violations of the quarantined rows).
 
+    With ``whole`` a violation also carries the request as JSON (``request``), so one without a key can be traced.
+
     The quarantine side is the exploded long form (key, column, check, ...):
     rows without violations explode to nothing, so no filter on the array is
     needed there. (A filter on the array size combined with its explode makes
@@ -187,4 +189,6 @@ def validate_requests(df: DataFrame, key: str = "id") -> tuple[DataFrame, DataFr
     req = request_view(df)
     rules = request_rules()
     good = req.where(F.size(violations_column(req, rules)) == 0)
-    return good, validate(req, rules, key)
+    if not whole:
+        return good, validate(req, rules, key)
+    return good, validate(req.withColumn("request", F.to_json(F.struct(*req.columns))), rules, key, ["request"])

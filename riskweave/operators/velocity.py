@@ -60,7 +60,7 @@ def time_value(c: str, unit: str = "day"):
     return d.cast("long") * UNIT_SCALE["micros"] + tod
 
 
-def _long(df: DataFrame, date_col: str, keys: Sequence[str], id_col: str, unit: str = "day") -> DataFrame:
+def long_events(df: DataFrame, date_col: str, keys: Sequence[str], id_col: str, unit: str = "day") -> DataFrame:
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("kv")) for c in keys])).alias("e")
     return (df.select(F.col(id_col).alias("_id"), time_value(date_col, unit).alias("day"), kv)
             .select("_id", "day", "e.k", "e.kv")
@@ -87,7 +87,7 @@ def _prefix_counts(df: DataFrame, date_col: str, keys: Sequence[str], windows: S
     gathers a key. With ``include_now`` a second probe after all events of the same time ends the window.
     """
     scale = UNIT_SCALE[unit]
-    long = materialise(_long(df, date_col, keys, id_col, unit), "velocity-events")
+    long = materialise(long_events(df, date_col, keys, id_col, unit), "velocity-events")
     marks = [F.struct(F.lit(w).alias("w"), (F.col("day") - F.lit(w * scale)).alias("t"), F.lit(0).alias("kind")) for w in windows]
     marks.append(F.struct(F.lit(0).alias("w"), F.col("day").alias("t"), F.lit(2 if include_now else 1).alias("kind")))
     if include_now:
@@ -102,10 +102,10 @@ def _prefix_counts(df: DataFrame, date_col: str, keys: Sequence[str], windows: S
 
     # the event itself is inside its own window (and counted by the closing mark): it is taken off
     per = counted.groupBy("_id", "k").agg(*[(at(0) - at(w) - 1).cast("int").alias(f"v{w}") for w in windows])
-    return _pivot_back(df, per, keys, windows, id_col, prefix)
+    return pivot_back(df, per, keys, windows, id_col, prefix)
 
 
-def _pivot_back(df: DataFrame, per_key: DataFrame, keys, windows, id_col: str, prefix: str) -> DataFrame:
+def pivot_back(df: DataFrame, per_key: DataFrame, keys, windows, id_col: str, prefix: str) -> DataFrame:
     aggs = [F.max(F.when(F.col("k") == key, F.col(f"v{w}"))).alias(f"{prefix}_{key}_{w}d")
             for key in keys for w in windows]
     wide = per_key.groupBy(F.col("_id").alias(id_col)).agg(*aggs)
@@ -124,13 +124,13 @@ def build_velocity_features(df: DataFrame, date_col: str = "issue_d", keys: Sequ
         return df
     if unit != "day":
         return _prefix_counts(df, date_col, keys, windows_days, id_col, unit, False, "vel")
-    long = _long(df, date_col, keys, id_col, unit)
+    long = long_events(df, date_col, keys, id_col, unit)
     ranked = indexed(long, ["k", "kv", "day", "_id"], "gidx")
     grp = _day_counts(ranked, windows_days, False, F.min("gidx").alias("first_gidx"))
     per = (ranked.join(grp, ["k", "kv", "day"])
            .select("_id", "k", *[(F.col(f"c{w}") + F.col("gidx") - F.col("first_gidx")).cast("int").alias(f"v{w}")
                                  for w in windows_days]))
-    return _pivot_back(df, per, keys, windows_days, id_col, "vel")
+    return pivot_back(df, per, keys, windows_days, id_col, "vel")
 
 
 def build_velocity_peers(df: DataFrame, date_col: str = "issue_d", keys: Sequence[str] = DEFAULT_KEYS,
@@ -145,11 +145,11 @@ def build_velocity_peers(df: DataFrame, date_col: str = "issue_d", keys: Sequenc
     if unit != "day":
         return _prefix_counts(df, date_col, keys, windows_days, id_col, unit, True, "velp")
     # the narrow unpivoted input feeds both the day counts and the join back: compute it once
-    long = materialise(_long(df, date_col, keys, id_col, unit), "velocity-long")
+    long = materialise(long_events(df, date_col, keys, id_col, unit), "velocity-long")
     grp = _day_counts(long, windows_days, True)
     per = long.join(grp, ["k", "kv", "day"]).select(
         "_id", "k", *[(F.col(f"c{w}") - 1).cast("int").alias(f"v{w}") for w in windows_days])
-    return _pivot_back(df, per, keys, windows_days, id_col, "velp")
+    return pivot_back(df, per, keys, windows_days, id_col, "velp")
 
 
 # ---------------------------------------------------------------- history-aware velocity
@@ -162,10 +162,15 @@ def velocity_state(history: DataFrame, date_col: str = "issue_d", keys: Sequence
     for every scoring batch instead of recomputing windows inside micro-batches.
     """
     keys = [k for k in keys if k in history.columns]
-    return (_long(history, date_col, keys, id_col, unit)
+    return (long_events(history, date_col, keys, id_col, unit)
             .groupBy("k", "kv", "day").agg(F.count(F.lit(1)).alias("n_day")))
 
 
+def merge_state(rows: DataFrame) -> DataFrame:
+    """Counts of several snapshots added up."""
+    return rows.groupBy("k", "kv", "day").agg(F.sum("n_day").alias("n_day"))
+
+
 def build_velocity_with_history(batch: DataFrame, state: DataFrame, date_col: str = "issue_d",
                                 keys: Sequence[str] = DEFAULT_KEYS, windows_days: Sequence[int] = DEFAULT_WINDOWS,
                                 id_col: str = "id", unit: str = "day") -> DataFrame:
@@ -177,15 +182,20 @@ def build_velocity_with_history(batch: DataFrame, state: DataFrame, date_col: st
 
     The history part touches only the batch's distinct (key, day) pairs: each is
     expanded over the w + 1 days of the widest window and equi-joined with the
-    snapshot, so no range join and no per-row expansion is needed.
+    snapshot, so no range join and no per-row expansion is needed. Days outside the batch's reach are
+    filtered first, which skips files of a snapshot sorted by day. The state's rows may be unmerged
+    (several counts of a day add up).
     """
     if unit != "day":
-        raise ValueError("history lookups are day-granular")
+        raise ValueError("this snapshot is day-granular; velocity_index looks up finer units")
     keys = [k for k in keys if k in batch.columns]
     in_batch = build_velocity_features(batch, date_col, keys, windows_days, id_col, unit)
-    long = _long(batch, date_col, keys, id_col, unit)
+    long = long_events(batch, date_col, keys, id_col, unit)
     wmax = max(windows_days)
     kd = long.select("k", "kv", "day").distinct()
+    reach = long.agg(F.min("day"), F.max("day")).first()
+    if reach[0] is not None:
+        state = state.where(F.col("day").between(reach[0] - wmax, reach[1]))
     probe = kd.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(wmax)))) \
         .withColumn("hday", F.col("day") - F.col("off"))
     hit = probe.join(state.withColumnRenamed("day", "hday"), ["k", "kv", "hday"])
@@ -194,7 +204,7 @@ def build_velocity_with_history(batch: DataFrame, state: DataFrame, date_col: st
     per = (long.join(hist, ["k", "kv", "day"], "left")
            .select("_id", "k", *[F.coalesce(F.col(f"h{w}"), F.lit(0)).cast("int").alias(f"v{w}")
                                  for w in windows_days]))
-    hist_cols = _pivot_back(batch.select(id_col), per, keys, windows_days, id_col, "hvel")
+    hist_cols = pivot_back(batch.select(id_col), per, keys, windows_days, id_col, "hvel")
     out = in_batch.join(hist_cols, id_col, "left")
     for key in keys:
         for w in windows_days:

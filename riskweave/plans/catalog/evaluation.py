@@ -16,9 +16,13 @@ from .labels import LABELLED_CTES, labelled
 from .windows import _P1_SQL
 
 
+def _some_scores():
+    return F.when(F.col("id") % 97 != 0, F.col("score"))
+
+
 def pairs(spark, sf):
     """Scored pairs over the labelled applications (label = is_fraud); every 97th application has no score."""
-    unknown = labelled(spark, sf).select("id", "is_fraud", F.when(F.col("id") % 97 != 0, F.col("score")).alias("score"))
+    unknown = labelled(spark, sf).select("id", "is_fraud", _some_scores().alias("score"))
     return materialise(E.scored_pairs(unknown, "is_fraud", "score"), "pairs")
 
 
@@ -157,7 +161,7 @@ def e9(spark, sf):
 
 
 @register("E10_group_report", with_apps(_PAIRS + """
-, gp AS (SELECT l.id, l.is_fraud AS label, l.score, l.addr_state AS grp FROM labelled l WHERE l.addr_state IS NOT NULL),
+, gp AS (SELECT p.id, p.label, p.score, l.addr_state AS grp FROM pairs p JOIN labelled l USING (id) WHERE l.addr_state IS NOT NULL),
 t0 AS (SELECT score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM pairs GROUP BY score),
 c0 AS (SELECT pos, neg, sum(pos) OVER (ORDER BY score DESC) AS tp FROM t0),
 oa AS (SELECT sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM c0),
@@ -179,7 +183,7 @@ SELECT gs.grp AS "group", gs.n, round(positive_rate, 6) AS positive_rate, round(
        round((tn + fn) / n, 6) AS approval_rate
 FROM gs JOIN ga USING (grp) WHERE n >= 200 AND k >= 2"""))
 def e10(spark, sf):
-    p = labelled(spark, sf).select("id", F.col("is_fraud").alias("label"), "score", "addr_state")
+    p = labelled(spark, sf).select("id", F.col("is_fraud").alias("label"), _some_scores().alias("score"), "addr_state")
     return rounded(E.group_report(materialise(p, "group-pairs"), "addr_state"))
 
 

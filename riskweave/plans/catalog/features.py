@@ -8,9 +8,12 @@ from ...functions import normalize as N
 from ...functions.exprs import to_double
 from ...operators import encode as E
 from ...operators import graph as GR
+from ...operators import graph_state as GS
 from ...operators import split as P
 from ...sources.applications import applications, raw_applications
+from ...sources.io import scratch_path
 from ...sources.scratch import materialise
+from ...streaming import scoring as ST
 from .. import features as FB
 from ..registry import register, rounded, with_apps
 from .labels import LABELLED_CTES, labelled
@@ -285,6 +288,41 @@ def gr5(spark, sf):
     return GR.graph_summary(_graph_input(spark, sf), _LINK)
 
 
+_G_TEST_SQL = _graph_sql("""
+SELECT a.id, CAST(coalesce(cs.size, 1) AS INTEGER) AS graph_component_size, coalesce(deg.d, 0) AS graph_degree,
+       CAST(CASE WHEN coalesce(deg.d, 0) = 0 THEN 1 ELSE 0 END AS INTEGER) AS graph_isolated
+FROM applications a JOIN s ON s.id = a.id AND s.split = 'test' LEFT JOIN comp ON comp.node = a.id
+LEFT JOIN csize cs ON cs.component = comp.component LEFT JOIN deg ON deg.node = a.id""").replace(", g AS", _P1_SQL + ", g AS", 1)
+
+
+def _graph_splits(spark, sf):
+    a = applications(spark, sf).select("id", "issue_d", "zip_code", "emp_title", F.floor(F.col("loan_amnt") / 100).cast("int").alias("loan_link"))
+    s = materialise(P.time_split(materialise(a, "graph-input")), "graph-splits")
+    return [s.where(F.col("split") == x).drop("split", "issue_d") for x in ("train", "val", "test")]
+
+
+@register("GR4_graph_with_history", _G_TEST_SQL)
+def gr4_history(spark, sf):
+    """Test-period rows against the stored graph of the rows before them, which was itself built in two steps.
+    The twin builds the graph of all rows at once."""
+    train, val, test = _graph_splits(spark, sf)
+    state = GS.empty_state(spark)
+    for part in (train, val):
+        state = GS.GraphState(*[materialise(t, "graph-state") for t in vars(GS.merged(state, GS.link_batch(part, state, _LINK))).values()])
+    return GS.graph_features_with_history(test, state, _LINK).select("id", "graph_component_size", "graph_degree", "graph_isolated")
+
+
+@register("S3_GR4_stream_state", _G_TEST_SQL)
+def s3_graph(spark, sf):
+    """The same through a stream that is stopped and started between three deliveries and keeps its graph."""
+    src, sink, state, progress = (scratch_path(spark, f"graph-stream-{x}") for x in ("source", "sink", "state", "progress"))
+    parts = _graph_splits(spark, sf)
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        ST.graph_stream(spark, src, part.schema, sink, state, progress, _LINK, compact_every=1)
+    return spark.read.parquet(sink).join(parts[-1].select("id"), "id", "left_semi").drop("epoch")
+
+
 def _f10_sql() -> str:
     from .prep import _bucket_sql
     from .windows import _DAY, _KEYS, _WINS

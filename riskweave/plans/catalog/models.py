@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ...functions import normalize as N
@@ -11,7 +16,9 @@ from ...sources.applications import applications
 from ...sources.io import scratch_path
 from ...sources.scratch import materialise
 from ...streaming import scoring as ST
+from .. import explain as EX
 from .. import models as M
+from .. import search as SE
 from .. import training as T
 from ..registry import register, rounded, with_apps
 from .labels import LABELLED_CTES, labelled
@@ -19,6 +26,8 @@ from .prep import _V3_SQL as V3_SQL
 from .prep import request_rows
 from .windows import _P1_SQL
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NUM = ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_util", "revol_bal", "emp_length", "open_acc",
         "total_acc", "delinq_2yrs", "pub_rec", "term"]
 
@@ -104,9 +113,15 @@ def m11(spark, sf):
 
 @register("M12_random_search")
 def m12(spark, sf):
-    x = _matrix(spark, sf)
-    s = P.time_split(x)
-    return M.random_search(s.where(F.col("split") == "train"), s.where(F.col("split") == "val"), n_trials=2)
+    """Two trials of the search, the second by resuming the table of the first; shallower and shorter than the default ranges."""
+    s = materialise(P.time_split(_matrix(spark, sf)).select("id", "label", "features", "split"), "search-input")
+    value = SE.boosted_trees_objective(*[s.where(F.col("split") == x).drop("split") for x in ("train", "val")])
+    smaller = {"maxDepth": (3, 6), "maxIter": (5, 15)}
+    ranges = [SE.Range(r.name, *smaller.get(r.name, (r.low, r.high)), r.kind) for r in SE.RANGES]
+    path = scratch_path(spark, "trials")
+    for n in (1, 2):
+        found = SE.search(spark, value, path, n, ranges=ranges)
+    return found.drop("seconds")
 
 
 @register("M7_oof_scores")
@@ -131,11 +146,60 @@ def e8_training(spark, sf):
     return _trained(spark, sf).sweep.orderBy("total_cost", "threshold").limit(1)
 
 
+def _explained(spark, sf):
+    """The test-period requests with the contributions of all features, as the scoring job computes them."""
+    r = _trained(spark, sf)
+    x = M.assemble(r.features.transform(materialise(_requests(spark, sf), "requests")), r.features.feature_names)
+    return r, EX.margin_parts(r.ensemble.score(x), r.ensemble)
+
+
 @register("E11_global_importance")
 def e11(spark, sf):
-    r = _trained(spark, sf)
-    coefs = r.ensemble.meta.coefficients.toArray().tolist()
-    return T.global_importance(r.test_scores, r.ensemble.names, coefs, r.meta_means)
+    """Mean absolute contribution of the applicant's features to the ensemble's margin, the 20 largest."""
+    r, x = _explained(spark, sf)
+    return EX.feature_importance(x, r.features.feature_names)
+
+
+@register("E12_contributions_add_up", with_apps(_P1_SQL + """
+SELECT id, 42 AS n_parts, 0e0 AS rest, true AS same_margin FROM s WHERE split = 'test'"""))
+def e12_adds_up(spark, sf):
+    """Of every test row: features with a part, what base and parts lack of the margin, and whether the margin is the model's own."""
+    r, x = _explained(spark, sf)
+    own = F.log(F.col("meta_score") / (1 - F.col("meta_score")))
+    total = F.aggregate("parts", F.col("base_margin"), lambda a, b: a + b)
+    return x.select("id", F.size("parts").alias("n_parts"), F.abs(F.round(total - F.col("margin"), 6)).alias("rest"),
+                    (F.abs(own - F.col("margin")) < 1e-6).alias("same_margin"))
+
+
+# Two small trees over application columns, by hand: (feature, threshold, left, right, value) per node, -1 a leaf.
+_HAND_NAMES = ["loan_amnt", "dti", "int_rate"]
+_HAND_TREES = [
+    [(1, 30.0, 1, 2, 0.1), (0, 9000.0, 3, 4, -0.2), (2, 12.0, 5, 6, 0.5), (-1, 0.0, -1, -1, -0.4), (-1, 0.0, -1, -1, 0.05),
+     (-1, 0.0, -1, -1, 0.3), (-1, 0.0, -1, -1, 0.9)],
+    [(2, 9.0, 1, 2, 0.0), (-1, 0.0, -1, -1, -0.3), (1, 45.0, 3, 4, 0.25), (-1, 0.0, -1, -1, 0.1), (-1, 0.0, -1, -1, 0.8)]]
+
+
+@register("E12_tree_contributions", with_apps("""
+, x AS (SELECT id, coalesce(loan_amnt, 0e0) AS loan, coalesce(dti, 0e0) AS dti, coalesce(int_rate, 0e0) AS rate FROM applications),
+t AS (SELECT id,
+  CASE WHEN dti <= 30 THEN CASE WHEN loan <= 9000 THEN -2e-1 ELSE 25e-2 END ELSE 0e0 END AS p_loan,
+  CASE WHEN dti <= 30 THEN -3e-1 ELSE 4e-1 END
+    + 5e-1 * CASE WHEN rate > 9 THEN CASE WHEN dti <= 45 THEN -15e-2 ELSE 55e-2 END ELSE 0e0 END AS p_dti,
+  CASE WHEN dti > 30 THEN CASE WHEN rate <= 12 THEN -2e-1 ELSE 4e-1 END ELSE 0e0 END
+    + 5e-1 * CASE WHEN rate <= 9 THEN -3e-1 ELSE 25e-2 END AS p_rate FROM x)
+SELECT id, round(p_loan, 6) AS loan_amnt, round(p_dti, 6) AS dti, round(p_rate, 6) AS int_rate,
+       round(1e-1 + p_loan + p_dti + p_rate, 6) AS output FROM t"""))
+def e12_trees(spark, sf):
+    """Path contributions of the two hand-made trees (weights 1 and 0.5) for every application."""
+    trees = [EX.Tree(*[np.array(c, int if i in (0, 2, 3) else float) for i, c in enumerate(zip(*t))]) for t in _HAND_TREES]
+
+    def work(batches):
+        for b in batches:
+            base, parts = EX.path_parts(b[_HAND_NAMES].to_numpy(), trees, [1.0, 0.5])
+            yield pd.DataFrame({"id": b["id"], **{n: parts[:, i] for i, n in enumerate(_HAND_NAMES)}, "output": base + parts.sum(axis=1)})
+
+    x = applications(spark, sf).select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _HAND_NAMES])
+    return rounded(x.mapInPandas(work, "id long, loan_amnt double, dti double, int_rate double, output double"))
 
 
 def _requests(spark, sf):
@@ -225,16 +289,6 @@ def s4_stream(spark, sf):
     return spark.read.parquet(f"{sink}/totals")
 
 
-@register("M9_isotonic_calibration")
-def m9(spark, sf):
-    """Isotonic calibration of the label on the raw score (clipped outside the fitted range)."""
-    lab = labelled(spark, sf).select("id", "issue_d", F.col("is_fraud").alias("label"),
-                                     F.col("score").alias("meta_score"))
-    s = P.time_split(materialise(lab, "calibration-input"))
-    iso = M.fit_isotonic(s.where(F.col("split") == "val"))
-    return iso.transform(s.where(F.col("split") == "test")).select("id", "meta_score", F.col("_iso").alias("calibrated"))
-
-
 @register("M8_meta_coefficients")
 def m8_coef(spark, sf):
     r = _trained(spark, sf)
@@ -276,21 +330,49 @@ def e11_linear(spark, sf):
     return rounded(T.global_importance(_linear_frame(spark, sf), *_linear_parts()))
 
 
-@register("M9_isotonic_fit", with_apps(LABELLED_CTES + """
-, p AS (SELECT round(score, 2) AS x, CAST(sum(is_fraud) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS w FROM labelled GROUP BY 1),
+# Isotonic regression as the slopes of the greatest convex minorant of (count, positives): from each
+# corner the next one is the point with the least slope, of equal slopes the farthest.
+_HULL_SQL = """
+, p AS (SELECT score AS x, CAST(sum(is_fraud) AS BIGINT) AS y, count(*) AS w FROM {rows} GROUP BY score),
 o AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS sy, sum(w) OVER (ORDER BY x) AS sw FROM p),
-z AS (SELECT i, sy, sw FROM o UNION ALL SELECT 0, 0e0, 0e0),
-m AS (SELECT a.i + 1 AS j, b.i AS k, (b.sy - a.sy) / (b.sw - a.sw) AS mean FROM z a JOIN z b ON b.i > a.i),
-lo AS (SELECT j, o.i, min(mean) AS least FROM o JOIN m ON m.j <= o.i AND m.k >= o.i GROUP BY j, o.i)
-SELECT o.x AS score, round(max(least), 6) AS calibrated FROM o JOIN lo USING (i) GROUP BY o.x"""))
+z AS (SELECT i, sy, sw FROM o UNION ALL SELECT 0, 0, 0),
+hull(i, sy, sw, slope) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT n.i, n.sy, n.sw, n.slope FROM hull h, LATERAL (
+    SELECT z.i, CAST(z.sy AS HUGEINT) AS sy, CAST(z.sw AS HUGEINT) AS sw, CAST(z.sy - h.sy AS DOUBLE) / CAST(z.sw - h.sw AS DOUBLE) AS slope
+    FROM z WHERE z.i > h.i ORDER BY slope, z.i DESC LIMIT 1) n),
+fit AS (SELECT o.x, (SELECT arg_min(slope, i) FROM hull WHERE hull.i >= o.i AND hull.i > 0) AS value FROM o)
+"""
+
+
+@register("M9_isotonic_fit", with_apps(LABELLED_CTES + _HULL_SQL.format(rows="labelled") + """
+SELECT x AS score, round(value, 6) AS calibrated FROM fit""").replace("WITH ", "WITH RECURSIVE ", 1))
 def m9_fit(spark, sf):
-    """Calibration over scores at 2 decimals; the twin is the max-min formula of isotonic regression."""
-    lab = labelled(spark, sf).select(F.round("score", 2).alias("meta_score"), F.col("is_fraud").alias("label"))
+    """Calibration at full score precision; the twin walks the convex minorant."""
+    lab = labelled(spark, sf).select(F.col("score").alias("meta_score"), F.col("is_fraud").alias("label"))
     lab = materialise(lab, "isotonic-input")
     out = M.fit_isotonic(lab).transform(lab.select("meta_score").distinct())
     return rounded(out.select(F.col("meta_score").alias("score"), F.col("_iso").alias("calibrated")))
 
 
+@register("M9_isotonic_calibration", with_apps(LABELLED_CTES + _P1_SQL + """
+, val AS (SELECT l.* FROM labelled l JOIN s USING (id) WHERE s.split = 'val')""" + _HULL_SQL.format(rows="val") + """
+, test AS (SELECT l.id, l.score FROM labelled l JOIN s USING (id) WHERE s.split = 'test'),
+lo AS (SELECT t.id, t.score, f.x AS lx, f.value AS lv FROM test t ASOF LEFT JOIN fit f ON t.score >= f.x),
+near AS (SELECT lo.*, f.x AS hx, f.value AS hv FROM lo ASOF LEFT JOIN fit f ON lo.score <= f.x)
+SELECT id, round(score, 6) AS meta_score, round(CASE WHEN lx IS NULL THEN hv WHEN hx IS NULL OR hx = lx THEN lv
+         ELSE lv + (hv - lv) * (score - lx) / (hx - lx) END, 6) AS calibrated FROM near""").replace("WITH ", "WITH RECURSIVE ", 1))
+def m9(spark, sf):
+    """Calibration fitted on the validation rows, applied to the test rows: constant outside the fitted range,
+    interpolated between fitted scores."""
+    lab = labelled(spark, sf).select("id", "issue_d", F.col("is_fraud").alias("label"),
+                                     F.col("score").alias("meta_score"))
+    s = P.time_split(materialise(lab, "calibration-input"))
+    iso = M.fit_isotonic(s.where(F.col("split") == "val"))
+    return rounded(iso.transform(s.where(F.col("split") == "test")).select("id", "meta_score", F.col("_iso").alias("calibrated")))
+
+
 @register("M2_M4_M5_M7_score_invariants", with_apps(_P1_SQL + """
 , n AS (SELECT count(*) AS n FROM applications)
 SELECT m AS model, CASE WHEN m = 'M2' THEN (SELECT count(*) FROM s WHERE split = 'test') ELSE n END AS n_ids, 0 AS n_outside

@@ -89,6 +89,37 @@ def io1_quoted(spark, sf):
         "id", "title", "loan_amnt", "annual_inc"))
 
 
+@register("IO1_csv_rejects", with_apps("""
+, k AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'a' WHEN id % 3 = 0 THEN 'c' ELSE 'b' END AS f, grade, zip_code FROM applications)
+SELECT id, CASE WHEN f = 'c' THEN 'header' WHEN id % 17 = 0 OR id % 19 = 0 THEN 'fields' ELSE 'accepted' END AS outcome,
+       CASE WHEN f <> 'c' AND id % 17 <> 0 AND id % 19 <> 0 THEN zip_code END AS zip_code,
+       CASE WHEN f = 'a' AND id % 17 <> 0 AND id % 19 <> 0 THEN grade END AS grade FROM k"""))
+def io1_rejects(spark, sf):
+    """Three kinds of files in one folder (another column order, a missing column, no id column), with short and long
+    lines in each: every line is accepted under its own header or rejected with a reason."""
+    a = applications(spark, sf).select("id", "grade", "zip_code")
+    ragged = F.when(F.col("id") % 17 == 0, F.lit("")).when(F.col("id") % 19 == 0, F.lit(",x,more"))
+    short = F.col("id") % 17 == 0
+    kinds = {  # header and fields of a line; the last field is left out of a short line
+        "a": ("id,grade,zip_code", F.concat_ws(",", F.col("id").cast("string"), "grade", F.when(~short, F.col("zip_code"))), "id % 2 = 0"),
+        "b": ("zip_code,id", F.concat_ws(",", F.when(~short, F.col("zip_code")), F.col("id").cast("string")), "id % 2 <> 0 AND id % 3 <> 0"),
+        "c": ("zip_code,grade,note", F.concat_ws(",", "zip_code", "grade", F.col("id").cast("string")), "id % 2 <> 0 AND id % 3 = 0")}
+    path = IO.scratch_path(spark, "mixed-csv")
+    for name, (header, line, which) in kinds.items():
+        # the writer puts the header, which is the column's name, into every file
+        lines = a.where(which).select(F.concat(line, F.coalesce(ragged, F.lit(""))).alias("value"))
+        parts = 3
+        body = lines.repartition(parts).withColumn("part", F.spark_partition_id())
+        head = spark.range(parts).select(F.lit(header).alias("value"), F.col("id").cast("int").alias("part"), F.lit(0).alias("at"))
+        rows = head.unionByName(body.withColumn("at", F.lit(1))).repartition(parts, "part").sortWithinPartitions("part", "at")
+        rows.write.partitionBy("part").text(f"{path}/{name}")
+    got, rejected = IO.read_csv_with_rejects(spark, f"{path}/*/*", ("id", "zip_code", "grade"))
+    number = F.regexp_extract("line", r"(?:^|,)(\d+)(?:,|$)", 1)
+    return got.select(F.col("id").cast("long").alias("id"), F.lit("accepted").alias("outcome"), "zip_code", "grade").unionByName(
+        rejected.select(number.cast("long").alias("id"), F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("zip_code"),
+                        F.lit(None).cast("string").alias("grade")))
+
+
 @register("V1_V2_report_of_dirty_rows", with_apps("""
 , src AS (SELECT id, CASE WHEN id % 31 = 0 THEN 'n/a' ELSE CAST(CAST(loan_amnt AS INTEGER) AS VARCHAR) END AS loan_amnt
           FROM applications UNION ALL SELECT id, '1000' FROM applications WHERE id % 101 = 0)

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ...operators import ordering as G
 from ...operators import split as P
 from ...operators import velocity as W
+from ...operators import velocity_index as VI
 from ...sources.applications import applications
+from ...sources.io import scratch_path
 from ...sources.scratch import materialise
 from ...sources.tables import table
+from ...streaming import scoring as ST
 from ..registry import register, rounded, with_apps
 from .labels import LABELLED_CTES, labelled
 
@@ -160,3 +163,43 @@ def w1_history(spark, sf):
     state = materialise(W.velocity_state(s.where(F.col("split") != "test")), "velocity-state")
     batch = s.where(F.col("split") == "test")
     return W.build_velocity_with_history(batch, state).select("id", *_vel_cols("vel"))
+
+
+@register("S3_W1_stream_state", _vel_all_sql(False))
+def s3_velocity(spark, sf):
+    """Velocity of a stream that is stopped and started between four deliveries in (day, id) order and keeps its counts;
+    the twin counts over all rows at once."""
+    ranked = G.indexed(_velocity_input(spark, sf), ["issue_d", "id"], "_at")
+    ranked = materialise(ranked, "stream-order")
+    n = ranked.count()
+    src, sink, state, progress = (scratch_path(spark, f"velocity-stream-{x}") for x in ("source", "sink", "state", "progress"))
+    for i in range(4):
+        part = ranked.where((F.col("_at") >= n * i // 4) & (F.col("_at") < n * (i + 1) // 4)).drop("_at")
+        part.write.mode("append").parquet(src)
+        ST.velocity_stream(spark, src, part.schema, sink, state, progress, compact_every=2)
+    return spark.read.parquet(sink).drop("epoch")
+
+
+def _events_history_sql() -> str:
+    cols = ", ".join(
+        f"CAST(count(b.event_id) FILTER (WHERE b.t >= a.t - {w * 86_400_000_000} AND (b.hist OR b.t < a.t OR (b.t = a.t AND b.event_id < a.event_id)))"
+        f" AS INTEGER) AS vel_user_id_{w}d" for w in _WINS)
+    return f"""
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events),
+c AS (SELECT min(t) + (max(t) - min(t)) // 10 * 7 AS cut FROM e),
+x AS (SELECT e.*, t < cut AS hist FROM e, c)
+SELECT a.event_id, {cols} FROM (SELECT * FROM x WHERE NOT hist) a
+LEFT JOIN x b ON a.user_id = b.user_id AND b.t <= a.t AND b.t >= a.t - {max(_WINS) * 86_400_000_000} AND b.event_id <> a.event_id
+GROUP BY a.event_id"""
+
+
+@register("W1_velocity_events_with_history", _events_history_sql())
+def w1_events_history(spark, sf):
+    """The last three tenths of the time span against a saved index of the events before."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", W.time_value("ts", "micros").alias("at"))
+    lo, hi = ev.agg(F.min("at"), F.max("at")).first()
+    cut = lo + (hi - lo) // 10 * 7
+    path = scratch_path(spark, "velocity-index")
+    VI.build_index(ev.where(F.col("at") < cut), "ts", ["user_id"], "event_id").save(path)
+    out = VI.build_velocity_with_index(ev.where(F.col("at") >= cut), VI.VelocityIndex.load(spark, path), "ts", ["user_id"], _WINS, "event_id")
+    return out.select("event_id", *[f"vel_user_id_{w}d" for w in _WINS])

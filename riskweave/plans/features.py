@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.exprs import clip, nan_to_null, to_double
-from ..session import ensure_checkpoint_dir
 from ..operators import behavior as B
 from ..operators import encode as E
 from ..operators import graph as GR
+from ..operators import graph_state as GS
 from ..operators import velocity as W
 from ..operators.ordering import interpolate, quantiles
+from ..sources.scratch import materialise
 
 # The feature lists of the reference builder, in order.
 NUMERIC_BASE = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "delinq_2yrs", "inq_last_6mths",
@@ -50,14 +51,14 @@ WINSOR = (0.005, 0.995)
 
 
 def engineer(df: DataFrame, use_velocity: bool = False, use_graph: bool = True,
-             link_keys=GR.DEFAULT_LINK_KEYS, velocity_state: DataFrame | None = None) -> DataFrame:
+             link_keys=GR.DEFAULT_LINK_KEYS, velocity_state: DataFrame | None = None, edges: dict | None = None) -> DataFrame:
     """behavioural (+ velocity) (+ graph) features of the frame; rows keyed by ``id``.
 
     With ``velocity_state`` (a stored history snapshot, ``velocity.velocity_state``)
     velocity counts include the history, as a scoring batch needs; without it
-    they are computed within the frame, as the reference does.
+    they are computed within the frame, as the reference does. So are the bucket edges (B5) unless ``edges`` gives them.
     """
-    out = B.build_behavioral_features(df)
+    out = B.build_behavioral_features(df, edges)
     if use_velocity:
         out = (W.build_velocity_with_history(out, velocity_state) if velocity_state is not None
                else W.build_velocity_features(out))
@@ -66,6 +67,20 @@ def engineer(df: DataFrame, use_velocity: bool = False, use_graph: bool = True,
     return out
 
 
+def engineer_with_state(model: "FeatureModel", df: DataFrame, velocity_state: DataFrame | None,
+                        graph_state: GS.GraphState | None) -> tuple[DataFrame, GS.GraphUpdate | None]:
+    """F10 of arriving rows, velocity and graph counted with the stored state of the rows before them.
+
+    Buckets take the edges of the training rows, so a bucket is the same link key in every batch.
+    """
+    if graph_state is None or not model.use_graph:
+        return engineer(df, model.use_velocity, model.use_graph, model.link_keys, velocity_state), None
+    out = materialise(engineer(df, model.use_velocity, False, velocity_state=velocity_state, edges=model.edges), "engineered")
+    keys = [k for k in model.link_keys if k in out.columns]
+    update = GS.link_batch(out, graph_state, keys)
+    return out.join(update.features, "id"), update
+
+
 def winsor_and_medians(df: DataFrame, cols: list[str], q=WINSOR):
     """{col: (lo, hi)} and {col: median after clipping}, from one sort."""
     pts = quantiles(df, cols, [q[0], q[1], 0.5], points=True)
@@ -124,10 +139,12 @@ class FeatureModel:
     use_graph: bool = True
     link_keys: tuple = GR.DEFAULT_LINK_KEYS
     feature_names: list[str] = field(default_factory=list)
+    edges: dict = field(default_factory=dict)      # B5 bucket edges of the training rows
 
-    def transform(self, df: DataFrame, id_col: str = "id", velocity_state: DataFrame | None = None) -> DataFrame:
-        """id + features (fixed order, no NULL/NaN/inf)."""
-        eng = engineer(df, self.use_velocity, self.use_graph, self.link_keys, velocity_state)
+    def transform(self, df: DataFrame, id_col: str = "id", velocity_state: DataFrame | None = None,
+                  engineered: bool = False) -> DataFrame:
+        """id + features (fixed order, no NULL/NaN/inf); ``engineered``: ``df`` has its F10 columns already."""
+        eng = df if engineered else engineer(df, self.use_velocity, self.use_graph, self.link_keys, velocity_state)
         out = eng.select(F.col(id_col), *[F.col(c) for c in self.low_cols + self.high_cols if c in eng.columns],
                          *numeric_block(eng, self.numeric_cols, self.bounds, self.medians))
         if self.woe is not None:
@@ -146,7 +163,7 @@ class FeatureModel:
         meta = {"numeric_cols": self.numeric_cols, "low_cols": self.low_cols, "high_cols": self.high_cols,
                 "bounds": self.bounds, "medians": self.medians, "scaler": self.scaler,
                 "use_velocity": self.use_velocity, "use_graph": self.use_graph, "link_keys": list(self.link_keys),
-                "feature_names": self.feature_names,
+                "feature_names": self.feature_names, "edges": self.edges,
                 "woe_cols": self.woe.cols if self.woe else None, "woe_unknown": self.woe.unknown_value if self.woe else None,
                 "te_cols": self.te.cols if self.te else None, "te_mean": self.te.global_mean if self.te else None}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(
@@ -167,7 +184,7 @@ class FeatureModel:
         return FeatureModel(meta["numeric_cols"], meta["low_cols"], meta["high_cols"],
                             {k: tuple(v) for k, v in meta["bounds"].items()}, meta["medians"], meta["scaler"],
                             woe, te, meta["use_velocity"], meta["use_graph"], tuple(meta["link_keys"]),
-                            meta["feature_names"])
+                            meta["feature_names"], meta["edges"])
 
 
 @dataclass
@@ -178,13 +195,14 @@ class FeatureBuilder:
     link_keys: tuple = GR.DEFAULT_LINK_KEYS
 
     def fit(self, df: DataFrame, y: str = "is_fraud", id_col: str = "id") -> FeatureModel:
-        ensure_checkpoint_dir(df.sparkSession)
-        eng = engineer(df, self.use_velocity, self.use_graph, self.link_keys)
-        eng = eng.checkpoint(eager=True)   # fits below each read it; cut the engineering lineage once
+        edges = B.bucket_edges(df)
+        eng = engineer(df, self.use_velocity, self.use_graph, self.link_keys, edges=edges)
         numeric = [c for c in NUMERIC_BASE + NUMERIC_DERIVED if c in eng.columns]
         low = [c for c in CATEGORICAL_LOW if c in eng.columns]
         high = [c for c in CATEGORICAL_HIGH if c in eng.columns]
-        coerced = eng.select(*[as_double(eng, c).alias(c) for c in numeric])
+        # the fits below each read it: only what they use, as columns, so each scans its own
+        eng = materialise(eng.select(*[as_double(eng, c).alias(c) for c in numeric], *low, *high, y), "fit-input")
+        coerced = eng.select(*numeric)
         bounds, medians = winsor_and_medians(coerced, numeric, self.winsorize_quantiles)
         imputed = coerced.select(*numeric_block(coerced, numeric, bounds, medians))
         # F8: mean and population std of the imputed matrix, one aggregate
@@ -195,7 +213,7 @@ class FeatureBuilder:
         woe, te = E.fit_encoders(labelled, low, high, y)   # one aggregation for both encoders
         names = numeric + [f"{c}_woe" for c in low] + [f"{c}_te" for c in high]
         return FeatureModel(numeric, low, high, bounds, medians, scaler, woe, te, self.use_velocity,
-                            self.use_graph, self.link_keys, names)
+                            self.use_graph, self.link_keys, names, edges)
 
 
 def standard_scale(df: DataFrame, scaler: dict, cols: list[str]) -> DataFrame:

@@ -10,15 +10,13 @@
   the autoencoder): ``||x||^2 - ||P^T x||^2`` with orthonormal components.
 * M6 min-max scaling by the 1st/99th percentile of the training scores.
 * M7 out-of-fold scores (P4 folds), M8 logistic meta-learner, M9 isotonic
-  calibration, M10 ensemble scoring, M11 threshold prediction, M12 seeded
-  random search, M13 the training job (``plans/training.py``).
+  calibration, M10 ensemble scoring, M11 threshold prediction. M12 is in
+  ``plans/search.py``, M13 in ``plans/training.py``.
 """
 
 from __future__ import annotations
 
 import json
-import random
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Iterator, Sequence
 
@@ -114,6 +112,17 @@ def minmax(col: str, lo: float, hi: float) -> F.Column:
 
 # ---------------------------------------------------------------- M4 isolation forest
 
+def unsuccessful_search(n) -> np.ndarray:
+    """Average path length of an unsuccessful search in a binary search tree of n keys."""
+    n = np.asarray(n, dtype=float)
+    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1),
+                    np.where(n == 2, 1.0, 0.0))
+
+
+def typical_path(sample_size: int) -> float:
+    return max(float(unsuccessful_search(sample_size)), 1.0)
+
+
 @dataclass
 class IsolationForestModel:
     trees: pd.DataFrame         # tree, node, feat, split, left, right, size (small: trees x nodes)
@@ -123,24 +132,14 @@ class IsolationForestModel:
     hi: float = 1.0
 
     def raw_score(self, df: DataFrame, features: str = "features", out: str = "if_raw") -> DataFrame:
-        trees = self.trees
-        psi = self.sample_size
-        c_psi = float(2 * (np.log(max(psi - 1, 1)) + 0.5772156649) - 2 * (psi - 1) / max(psi, 1)) if psi > 2 \
-            else (1.0 if psi == 2 else 1.0)
-        spark = df.sparkSession
-        bc = spark.sparkContext.broadcast(trees.to_dict("list"))
+        c_psi = typical_path(self.sample_size)
+        # the forest (trees x nodes, bounded) travels with the function
+        forest = [(t["feat"].to_numpy(), t["split"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(),
+                   unsuccessful_search(t["size"].to_numpy()))
+                  for _, t in self.trees.sort_values(["tree", "node"]).groupby("tree")]
 
         @F.pandas_udf(DoubleType())
         def path_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            def _c(n):   # average path length of an unsuccessful search in a BST of n nodes
-                n = np.asarray(n, dtype=float)
-                return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649)
-                                - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-            t = {k: np.asarray(v) for k, v in bc.value.items()}     # set up once per task
-            forest = []
-            for tid in np.unique(t["tree"]):
-                m = t["tree"] == tid
-                forest.append((t["feat"][m], t["split"][m], t["left"][m], t["right"][m], _c(t["size"][m])))
             for x in batches:
                 X = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, 1))
                 total = np.zeros(len(X))
@@ -169,23 +168,31 @@ def fit_isolation_forest(df: DataFrame, features: str = "features", n_trees: int
     """M4: each tree is grown on its own random sample in one pandas task.
 
     ``rows_per_tree`` is a number of rows, the same at every table size (all rows
-    of a smaller table); a tree's rows are distinct and chosen by a hash of key,
+    of a smaller table); a tree's rows are distinct and chosen by hashes of key,
     tree and seed, whatever the partitioning. Feature standardisation is skipped: splits are
     drawn uniformly within each feature's range, so scaling does not change the trees.
     """
     if isinstance(rows_per_tree, bool) or not isinstance(rows_per_tree, int) or rows_per_tree < 2:
         raise ValueError("rows_per_tree must be a whole number of rows, at least 2")
-    n = df.count()
+    arr = materialise(df.select(key, vector_to_array(F.col(features)).alias("x")), "forest-input")
+    n = arr.count()
+    if not n:
+        raise ValueError("an isolation forest needs training rows")
     psi = max(2, min(rows_per_tree, n))
-    # every (row, tree) pair has a hash; about 4 * psi of a tree's lie below the bound, its psi smallest are the sample
-    share = min(1.0, 4.0 * psi / max(n, 1) + 1e-9)
-    bound = int(share * (1 << 40))
-    arr = df.select(key, vector_to_array(F.col(features)).alias("x"))
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1 << 40))
+    # the trees draw from a pool of as many rows as all samples have together, chosen by one hash per row; only
+    # pool rows are hashed per tree: about 4 * psi of a tree's hashes lie below the bound, its psi smallest are the sample
+    span = 1 << 40
+    pool = min(n, n_trees * psi)
+    if n > 2 * pool:
+        arr = arr.where(F.pmod(F.xxhash64(F.col(key), F.lit(~seed)), F.lit(span)) < int(pool / n * span))
+    else:
+        pool = n
+    bound = int(min(1.0, 4.0 * psi / pool + 1e-9) * span)
     picked = (arr.withColumn("trees", F.filter(
         F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 40)) < bound))
-        .select(key, "x", F.explode("trees").alias("tree")).withColumn("_r", draw))
+        lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(span)) < bound))
+        .select(key, "x", F.explode("trees").alias("tree"))
+        .withColumn("_r", F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(span))))
     max_depth = int(np.ceil(np.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,10 +226,9 @@ def fit_isolation_forest(df: DataFrame, features: str = "features", n_trees: int
 
     schema = "tree int, node int, feat int, split double, left int, right int, size int"
     forest = picked.groupBy("tree").applyInPandas(grow, schema).toPandas()   # trees x nodes: bounded
-    n_feat = len(df.select(features).first()[0])
+    n_feat = len(arr.select("x").first()[0])
     model = IsolationForestModel(forest, n_feat, psi)
-    raw = model.raw_score(df, features, "_raw")
-    model.lo, model.hi = minmax_bounds(raw, "_raw")
+    model.lo, model.hi = minmax_bounds(model.raw_score(df, features, "_raw"), "_raw")
     return model
 
 
@@ -254,7 +260,10 @@ class ReconstructionModel:
 def fit_reconstruction(df: DataFrame, features: str = "features", label: str = "label", k: int = 8):
     """M5: standardise on negatives (population std), PCA(k); error = residual energy / d."""
     neg = df.where(F.col(label) == 0)
-    d = len(df.select(features).first()[0])
+    one = neg.select(features).first()
+    if one is None:
+        raise ValueError("a reconstruction model needs training rows with label 0")
+    d = len(one[0])
     arr = vector_to_array(F.col(features))
     stats = neg.select(arr.alias("a")).select(*[F.col("a")[i].alias(f"x{i}") for i in range(d)]) \
         .agg(*[F.avg(f"x{i}") for i in range(d)], *[F.stddev_pop(f"x{i}") for i in range(d)]).first()
@@ -263,8 +272,7 @@ def fit_reconstruction(df: DataFrame, features: str = "features", label: str = "
     from pyspark.ml.functions import array_to_vector
     pca = PCA(k=min(k, d), inputCol="_z", outputCol="_pc").fit(neg.withColumn("_z", array_to_vector(z)))
     model = ReconstructionModel(pca, mean, std, d)
-    raw = model.raw_score(neg, features, "_raw")
-    model.lo, model.hi = minmax_bounds(raw, "_raw")
+    model.lo, model.hi = minmax_bounds(model.raw_score(neg, features, "_raw"), "_raw")
     return model
 
 
@@ -385,10 +393,13 @@ def fit_meta(oof: DataFrame, names: Sequence[str], C: float = 1.0):
 def fit_isotonic(scored: DataFrame, score: str = "meta_score", label: str = "label"):
     """M9: isotonic regression of the label on the meta score (clipped outside the fitted range).
 
-    Rows are pooled first: one weighted point per score at 4 decimals, so the
-    points the fit gathers are at most 10,001 whatever the table's size.
+    Rows with the same score are one weighted point (a partial aggregation); no score is rounded. Spark's
+    fit range-partitions the points, pools adjacent violators inside each partition and
+    gathers the pooled blocks only, whose number grows with about the two-thirds power of the rows: the means
+    of successive blocks of 0/1 labels are rising fractions. Rows without a score or label say nothing.
     """
-    points = scored.groupBy(F.round(score, 4).alias(score)).agg(
+    known = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    points = known.groupBy(F.col(score).cast("double").alias(score)).agg(
         F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("_w"))
     return IsotonicRegression(featuresCol=score, labelCol=label, weightCol="_w", predictionCol="_iso").fit(points)
 
@@ -414,30 +425,3 @@ def fit_ensemble(train: DataFrame, val: DataFrame | None, kinds: Sequence[str],
 def predict(df: DataFrame, score: str = "score", threshold: float = 0.5) -> DataFrame:
     """Label prediction score >= threshold."""
     return df.withColumn("prediction", (F.col(score) >= F.lit(threshold)).cast("int"))
-
-
-# ---------------------------------------------------------------- M12
-
-SEARCH_SPACE = {"maxDepth": [3, 4, 5, 6, 8], "stepSize": [0.02, 0.05, 0.1, 0.2], "subsamplingRate": [0.6, 0.8, 1.0],
-                "featureSubsetStrategy": ["0.6", "0.8", "all"], "minInstancesPerNode": [1, 5, 20],
-                "minInfoGain": [0.0, 0.001], "maxBins": [32, 64], "maxIter": [10, 20, 40]}
-
-
-def random_search(train: DataFrame, val: DataFrame, n_trials: int = 4, seed: int = 42, parallelism: int = 2) -> DataFrame:
-    """Seeded random parameter maps, each fitted on train and ranked by PR-AUC
-    (average precision) on validation; trials run in a small driver thread pool."""
-    rng = random.Random(seed)
-    trials = [{k: rng.choice(v) for k, v in SEARCH_SPACE.items()} for _ in range(n_trials)]
-    data = class_weights(train)
-
-    def run(i_params):
-        i, params = i_params
-        model = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", seed=seed, **params).fit(data)
-        scored = score_with(model, val, "score")
-        ap = E.curve_metrics(E.threshold_table(E.scored_pairs(scored))).first()["pr_auc"]
-        return i, json.dumps(params, sort_keys=True), ap
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(run, enumerate(trials)))
-    spark = train.sparkSession
-    return spark.createDataFrame(rows, "trial int, params string, pr_auc double").orderBy(F.desc("pr_auc"), "trial")

@@ -5,13 +5,14 @@ time or stratified split (P1, P3) -> leakage guard (P5) -> feature pipeline fit
 stacked ensemble (M7-M9) -> test metrics per model (E1-E6) -> cost sweep and
 optimal threshold (E7/E8) -> drift reference on the training features (D2).
 
-Explanations (E11/E12) are exact additive contributions of the logistic
-meta-model, ``coef_j * (x_j - mean_j)`` over its inputs (the base-model
-scores), computed in-row as an array of structs (no shuffle).
+Explanations (E11/E12) of scored requests are additive contributions of the applicant's features
+to the ensemble's margin (``explain``). ``contributions`` here are those of any linear model,
+``coef_j * (x_j - mean_j)``, computed in-row as an array of structs (no shuffle).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,14 +22,16 @@ from pyspark.sql.types import StringType
 from ..functions import normalize as N
 from ..operators import drift as D
 from ..operators import evaluate as E
+from ..operators import graph_state as GS
 from ..operators import labels as L
 from ..operators import scoring as S
 from ..operators import split as P
 from ..operators import validate as V
 from ..sources import io as IO
 from ..sources.scratch import materialise
+from . import explain as EX
 from . import models as M
-from .features import FeatureBuilder, FeatureModel
+from .features import FeatureBuilder, FeatureModel, engineer_with_state
 
 MODEL_VERSION = "riskweave-0.2"
 
@@ -161,28 +164,33 @@ def gate(requests: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     elif "issue_d" not in requests.columns:
         requests = requests.withColumn("issue_d", F.to_date(F.lit(today)))
     requests = materialise(requests, "requests")
-    return V.validate_requests(requests)
+    return V.validate_requests(requests, whole=True)
 
 
 def score_batch(result: TrainingResult, requests: DataFrame, scored_at: str, review: float = S.REVIEW_THRESHOLD,
                 decline: float = S.DECLINE_THRESHOLD, velocity_state: DataFrame | None = None,
-                quarantine_dir: str | None = None) -> DataFrame:
+                quarantine_dir: str | None = None, graph_state: GS.GraphState | None = None,
+                kept: Callable[[DataFrame, GS.GraphUpdate | None], None] | None = None) -> DataFrame:
     """Requests -> contract gate -> features -> ensemble -> decision -> reason codes -> response rows.
 
+    The reason codes are the five features with the largest contributions (E12).
+
     With ``quarantine_dir`` the request contract (V3) and the request date (N6)
     apply first: rows that break it are not scored, their violations are
-    written there. Graph and bucket features are computed within the batch, as the reference
-    computes them within the frame it is given; velocity features (when the
-    feature model uses them) read the stored history snapshot if one is given.
+    written there. Bucket features are computed within the batch, as the reference
+    computes them within the frame it is given; so are graph and velocity features, unless
+    the stored state of earlier rows is given. ``kept`` receives the accepted requests and what they add
+    to the graph state, for callers that keep state from batch to batch.
     """
     if quarantine_dir is not None:
         requests, broken = gate(requests, scored_at[:10])
         broken.write.mode("overwrite").parquet(quarantine_dir)
-    x = M.assemble(result.features.transform(requests, velocity_state=velocity_state),
-                   result.features.feature_names)
-    s = result.ensemble.score(x)
-    coefs = result.ensemble.meta.coefficients.toArray().tolist()
-    s = reason_codes(s, result.ensemble.names, coefs, result.meta_means)
+    engineered, update = engineer_with_state(result.features, requests, velocity_state, graph_state)
+    if kept is not None:
+        kept(requests, update)
+    x = M.assemble(result.features.transform(engineered, engineered=True), result.features.feature_names)
+    names = result.features.feature_names
+    s = EX.margin_parts(result.ensemble.score(x), result.ensemble).withColumn("reason_codes", EX.reasons(names))
     return (S.band(s, "score", review, decline)
             .select(F.col("id").alias("application_id"), "fraud_score", "decision", "threshold_review",
                     "threshold_decline", "reason_codes", F.lit(MODEL_VERSION).alias("model_version"),

@@ -2,7 +2,8 @@
 
 * IO1 raw CSV scan: every column read as string (no inference pass), header
   names matched against an allow-list; unknown columns are ignored, missing
-  ones tolerated. The CSV reader prunes columns that are not selected.
+  ones tolerated. The CSV reader prunes columns that are not selected. A second
+  reader takes files with differing headers and routes ragged lines to rejects.
 * IO2 exact-size seeded sample: the n rows with the smallest seeded hash,
   cut at the exact rank-n boundary found by G1 order statistics.
 * IO3/IO4 scored-pairs sink and scan (Parquet by default, CSV with header
@@ -16,10 +17,12 @@ shared folder on a cluster), never a machine-local temp folder.
 
 from __future__ import annotations
 
+import csv
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.exprs import to_double
 from ..session import ensure_checkpoint_dir
@@ -54,6 +57,46 @@ def read_raw_csv(spark: SparkSession, path: str, allow: tuple[str, ...] = APPLIC
     return df.select(*keep)
 
 
+REJECT_SCHEMA = "file string, line string, reason string, parsed int"
+
+
+def read_csv_with_rejects(spark: SparkSession, path: str, allow: tuple[str, ...] = APPLICATION_COLUMNS,
+                          required: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """IO1 over a folder of files that need not agree: (accepted rows, rejected lines with file and reason).
+
+    Every file is read by its own header, so columns may come in another order or be missing. Lines with
+    more or fewer fields than their header are rejected ("fields", ``parsed`` of them filled), files whose header lacks a
+    required column are rejected whole ("header"). Accepted plus rejected are all lines but headers and blank ones;
+    columns of the allow-list that a file lacks are NULL. Quotes as in ``read_raw_csv``; no line breaks inside quotes.
+    The driver sees one header line per file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    headers = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()
+    by_header: dict[str, list[str]] = {}
+    for r in sorted(headers, key=lambda r: r["file"]):
+        by_header.setdefault(r["header"], []).append(r["file"])
+
+    accepted = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in allow))
+    rejected = spark.createDataFrame([], REJECT_SCHEMA)
+    for header, files in by_header.items():
+        names = [n.strip() for n in next(csv.reader([header]), [])]
+        if not set(required) <= set(names) or len(set(names)) < len(names):
+            rows = spark.read.option("header", False).text(files).select(
+                F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.lit("header").alias("reason"), F.lit(0).alias("parsed"))
+            rejected = rejected.unionByName(rows.where((F.col("line") != header) & (F.trim("line") != "")))
+            continue
+        schema = StructType([StructField(n, StringType()) for n in names] + [StructField("_line", StringType())])
+        read = (spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_line").csv(files))
+        fine = F.col("_line").isNull()
+        accepted = accepted.unionByName(read.where(fine).select(*[c for c in allow if c in names]), allowMissingColumns=True)
+        rejected = rejected.unionByName(read.where(~fine).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_line").alias("line"),
+            F.lit("fields").alias("reason"), sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0)).alias("parsed")))
+    return accepted, rejected
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path

@@ -4,27 +4,52 @@
 directory (a shared folder on a cluster) and reads it back: the lineage is cut,
 later jobs prune columns and push filters into the files, and a lost executor
 re-reads them. ``discard`` deletes such a table once no later frame needs it.
+Inside ``scratch_scope`` every such table is deleted at the end, which long-running
+streams need: one scope per micro-batch keeps the folder's size constant.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+_SCOPE = threading.local()
+
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if getattr(_SCOPE, "written", None) is not None:
+        _SCOPE.written.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(df.sparkSession, df._scratch_path)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes what ``materialise`` writes inside the block; write what must stay elsewhere before it ends."""
+    outer = getattr(_SCOPE, "written", None)
+    _SCOPE.written = mine = []
+    try:
+        yield
+    finally:
+        _SCOPE.written = outer
+        for spark, path in mine:
+            remove_folder(spark, path)
