@@ -3,6 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline as C
+from pyspark.sql import functions as F
 from riskweave.llm import exact_dedup, simhash_dedup
 from riskweave.llm.common import scratch
 
@@ -92,3 +93,27 @@ def test_stages_take_empty_null_repeated_and_extra(spark):
     assert sorted(str(r["text"]) for r in C.secret_scan(spark, odd, SF).collect())[-1] == "same text here"
     for _, f in C.STAGES:
         f(spark, odd, SF).collect()
+
+
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    schema = "doc_id long, text string"
+    odd = spark.createDataFrame([(7, "Alpha beta"), (7, "alpha beta"), (None, "ALPHA BETA"), (None, "gamma"), (None, "GAMMA"), (3, "delta"), (2, "Delta")], schema)
+    got = sorted((r["doc_id"] or 0, r["text"].lower()) for r in C.exact(spark, odd, SF).collect())
+    assert got == [(0, "gamma"), (3, "delta"), (7, "alpha beta")]
+    near = sorted((r["doc_id"] or 0, r["text"].lower()) for r in C.near(spark, odd, SF).collect())
+    assert near == [(0, "gamma"), (2, "delta"), (7, "alpha beta")]
+
+
+def test_columns_with_the_names_used_inside(spark):
+    inner = ["_key", "_sha", "_p", "_base", "_weak", "_lower", "_n", "_linked", "row_sha", "found", "spans", "base", "fp", "n", "h", "code", "digest",
+             "gone_id", "again_sha", "Component_ID", "bucket", "column 1"]
+    rows = [(i, t) for i, t in enumerate(["one two three four five", "One two three four five", None, "x password=abcdefgh12 y", "deux mots"])]
+    docs = spark.createDataFrame([(i, t, "fr" if i == 4 else "en") for i, t in rows], "doc_id long, text string, lang string")
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in inner])
+    for name, f in C.STAGES[:-1]:
+        a, b = f(spark, docs, SF).collect(), f(spark, wide, SF)
+        assert b.columns == wide.columns, name
+        b = b.collect()
+        assert sorted((r["doc_id"], str(r["text"])) for r in a) == sorted((r["doc_id"], str(r["text"])) for r in b), name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in b for c in inner), name
+    C.pack(spark, wide, SF).collect()
