@@ -161,7 +161,8 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], outcomes: DataFram
     cut = scratch(pages.select("page_id", host.alias("host"), path.alias("path")), "page-urls")
     per_host = scratch(cut.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "page-hosts")
     total = cut.count()
-    fits = fitting_rules(per_host.select("host"), rules).join(per_host, "host")
+    # hosts without a rule too, so that a crowded one is known as such
+    fits = per_host.join(fitting_rules(per_host.select("host"), rules), "host", "left").select("host", "fits", "pages")
     ruled = scratch(attach(cut, fits, "host", "pages", total).withColumn("r", first_fit(F.col("fits"), F.col("path")))
                     .select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled")), "pages")
     if outcomes is None:
