@@ -22,7 +22,7 @@ def _some_scores():
 
 def pairs(spark, sf):
     """Scored pairs over the labelled applications (label = is_fraud); every 97th application has no score."""
-    unknown = labelled(spark, sf).select("id", "is_fraud", _some_scores().alias("score"))
+    unknown = labelled(spark, sf, "score").select("id", "is_fraud", _some_scores().alias("score"))
     return materialise(E.scored_pairs(unknown, "is_fraud", "score"), "pairs")
 
 
@@ -183,7 +183,7 @@ SELECT gs.grp AS "group", gs.n, round(positive_rate, 6) AS positive_rate, round(
        round((tn + fn) / n, 6) AS approval_rate
 FROM gs JOIN ga USING (grp) WHERE n >= 200 AND k >= 2"""))
 def e10(spark, sf):
-    p = labelled(spark, sf).select("id", F.col("is_fraud").alias("label"), _some_scores().alias("score"), "addr_state")
+    p = labelled(spark, sf, "score", "addr_state").select("id", F.col("is_fraud").alias("label"), _some_scores().alias("score"), "addr_state")
     return rounded(E.group_report(materialise(p, "group-pairs"), "addr_state"))
 
 

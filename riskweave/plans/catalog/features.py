@@ -74,7 +74,7 @@ SELECT l.id, """ + ", ".join(
     f"round(coalesce((SELECT woe FROM wt WHERE \"column\" = '{c}' AND value = coalesce(CAST(l.{c} AS VARCHAR), "
     f"'__NA__')), 0e0), 6) AS {c}_woe" for c in _LOW) + " FROM labelled l"))
 def f3(spark, sf):
-    lab = materialise(labelled(spark, sf).select("id", "issue_d", *_LOW, "is_fraud"), "woe-input")
+    lab = materialise(labelled(spark, sf, "id", "issue_d", *_LOW).select("id", "issue_d", *_LOW, "is_fraud"), "woe-input")
     train = P.time_split(lab).where(F.col("split") == "train")
     m = E.fit_woe(train, _LOW, "is_fraud")
     return rounded(m.transform(lab).select("id", *[f"{c}_woe" for c in _LOW]))
@@ -91,7 +91,7 @@ SELECT l.id, """ + ", ".join(
     f"round(coalesce((SELECT te FROM te WHERE \"column\" = '{c}' AND value = coalesce(CAST(l.{c} AS VARCHAR), "
     f"'__NA__')), (SELECT m FROM gm)), 6) AS {c}_te" for c in _HIGH) + " FROM labelled l"))
 def f5(spark, sf):
-    lab = materialise(labelled(spark, sf).select("id", "issue_d", *_HIGH, "is_fraud"), "target-input")
+    lab = materialise(labelled(spark, sf, "id", "issue_d", *_HIGH).select("id", "issue_d", *_HIGH, "is_fraud"), "target-input")
     train = P.time_split(lab).where(F.col("split") == "train")
     m = E.fit_target(train, _HIGH, "is_fraud")
     return rounded(m.transform(lab).select("id", *[f"{c}_te" for c in _HIGH]))

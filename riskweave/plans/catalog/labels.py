@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import labels as L
 from ...sources.applications import applications
+from ...sources.scratch import materialise
 from ..registry import register, rounded, with_apps
 
 _DEF = "loan_status IN ('Charged Off', 'Default')"
@@ -34,10 +35,17 @@ labelled AS (
 LABELLED_CTES = _LABELS_SQL
 
 
-def labelled(spark, sf):
+_LABEL_INPUTS = ("id", "loan_status", "issue_d", "last_pymnt_d", "annual_inc", "emp_length", "dti", "zip_code")
+
+
+def labelled(spark, sf, *columns):
     """Applications with L1-L5, lazily: the flags are a projection over one quantile and the ring zips, so a query
-    scans the columns it selects and no others."""
-    return L.build_fraud_labels(applications(spark, sf))
+    scans the columns it selects and no others. With ``columns`` these and the label inputs are written
+    once, and quantile, rings and projection all read that table instead of the view's joins."""
+    a = applications(spark, sf)
+    if columns:
+        a = materialise(a.select(*dict.fromkeys((*_LABEL_INPUTS, *columns))), "label-inputs")
+    return L.build_fraud_labels(a)
 
 
 @register("FX_applications", with_apps(" SELECT * FROM applications"))
@@ -79,7 +87,7 @@ def l4(spark, sf):
 SELECT id, rule_fpd, rule_income_anomaly, rule_debt_inconsist, rule_address_ring, n_anomalies, is_fraud
 FROM labelled"""))
 def l5(spark, sf):
-    return labelled(spark, sf).select("id", "rule_fpd", "rule_income_anomaly", "rule_debt_inconsist",
+    return labelled(spark, sf, "id").select("id", "rule_fpd", "rule_income_anomaly", "rule_debt_inconsist",
                                       "rule_address_ring", "n_anomalies", "is_fraud")
 
 
@@ -91,7 +99,7 @@ FROM labelled GROUP BY addr_state""")
 
 @register("L6_label_summary_by_state", _L6_SQL)
 def l6(spark, sf):
-    return rounded(L.label_summary(labelled(spark, sf), by=["addr_state"]))
+    return rounded(L.label_summary(labelled(spark, sf, "addr_state"), by=["addr_state"]))
 
 
 @register("L6_label_summary", with_apps(_LABELS_SQL + """
@@ -99,4 +107,4 @@ SELECT count(*) AS n, round(avg(is_fraud), 6) AS fraud_rate, round(avg(rule_fpd)
        round(avg(CASE WHEN n_anomalies >= 2 THEN 1 ELSE 0 END), 6) AS multi_anomaly_rate
 FROM labelled"""))
 def l6_total(spark, sf):
-    return rounded(L.label_summary(labelled(spark, sf)))
+    return rounded(L.label_summary(labelled(spark, sf, "id")))

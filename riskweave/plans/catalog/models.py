@@ -161,13 +161,13 @@ def e11(spark, sf):
 
 
 @register("E12_contributions_add_up", with_apps(_P1_SQL + """
-SELECT id, 42 AS n_parts, 0e0 AS rest, true AS same_margin FROM s WHERE split = 'test'"""))
+SELECT id, true AS all_features, 0e0 AS rest, true AS same_margin FROM s WHERE split = 'test'"""))
 def e12_adds_up(spark, sf):
-    """Of every test row: features with a part, what base and parts lack of the margin, and whether the margin is the model's own."""
+    """Of every test row: whether each feature has a part, what base and parts lack of the margin, and whether the margin is the model's own."""
     r, x = _explained(spark, sf)
     own = F.log(F.col("meta_score") / (1 - F.col("meta_score")))
     total = F.aggregate("parts", F.col("base_margin"), lambda a, b: a + b)
-    return x.select("id", F.size("parts").alias("n_parts"), F.abs(F.round(total - F.col("margin"), 6)).alias("rest"),
+    return x.select("id", (F.size("parts") == len(r.features.feature_names)).alias("all_features"), F.abs(F.round(total - F.col("margin"), 6)).alias("rest"),
                     (F.abs(own - F.col("margin")) < 1e-6).alias("same_margin"))
 
 
@@ -333,16 +333,16 @@ def e11_linear(spark, sf):
 # Isotonic regression as the slopes of the greatest convex minorant of (count, positives): from each
 # corner the next one is the point with the least slope, of equal slopes the farthest.
 _HULL_SQL = """
-, p AS (SELECT score AS x, CAST(sum(is_fraud) AS BIGINT) AS y, count(*) AS w FROM {rows} GROUP BY score),
-o AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS sy, sum(w) OVER (ORDER BY x) AS sw FROM p),
-z AS (SELECT i, sy, sw FROM o UNION ALL SELECT 0, 0, 0),
+, point AS (SELECT score AS x, CAST(sum(is_fraud) AS BIGINT) AS y, count(*) AS w FROM {rows} GROUP BY score),
+rising AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS sy, sum(w) OVER (ORDER BY x) AS sw FROM point),
+z AS (SELECT i, sy, sw FROM rising UNION ALL SELECT 0, 0, 0),
 hull(i, sy, sw, slope) AS (
   SELECT CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), CAST(0 AS DOUBLE)
   UNION ALL
   SELECT n.i, n.sy, n.sw, n.slope FROM hull h, LATERAL (
     SELECT z.i, CAST(z.sy AS HUGEINT) AS sy, CAST(z.sw AS HUGEINT) AS sw, CAST(z.sy - h.sy AS DOUBLE) / CAST(z.sw - h.sw AS DOUBLE) AS slope
     FROM z WHERE z.i > h.i ORDER BY slope, z.i DESC LIMIT 1) n),
-fit AS (SELECT o.x, (SELECT arg_min(slope, i) FROM hull WHERE hull.i >= o.i AND hull.i > 0) AS value FROM o)
+fit AS (SELECT r.x, (SELECT arg_min(slope, i) FROM hull WHERE hull.i >= r.i AND hull.i > 0) AS value FROM rising r)
 """
 
 
@@ -350,7 +350,7 @@ fit AS (SELECT o.x, (SELECT arg_min(slope, i) FROM hull WHERE hull.i >= o.i AND
 SELECT x AS score, round(value, 6) AS calibrated FROM fit""").replace("WITH ", "WITH RECURSIVE ", 1))
 def m9_fit(spark, sf):
     """Calibration at full score precision; the twin walks the convex minorant."""
-    lab = labelled(spark, sf).select(F.col("score").alias("meta_score"), F.col("is_fraud").alias("label"))
+    lab = labelled(spark, sf, "score").select(F.col("score").alias("meta_score"), F.col("is_fraud").alias("label"))
     lab = materialise(lab, "isotonic-input")
     out = M.fit_isotonic(lab).transform(lab.select("meta_score").distinct())
     return rounded(out.select(F.col("meta_score").alias("score"), F.col("_iso").alias("calibrated")))
@@ -366,7 +366,7 @@ SELECT id, round(score, 6) AS meta_score, round(CASE WHEN lx IS NULL THEN hv WHE
 def m9(spark, sf):
     """Calibration fitted on the validation rows, applied to the test rows: constant outside the fitted range,
     interpolated between fitted scores."""
-    lab = labelled(spark, sf).select("id", "issue_d", F.col("is_fraud").alias("label"),
+    lab = labelled(spark, sf, "score").select("id", "issue_d", F.col("is_fraud").alias("label"),
                                      F.col("score").alias("meta_score"))
     s = P.time_split(materialise(lab, "calibration-input"))
     iso = M.fit_isotonic(s.where(F.col("split") == "val"))

@@ -111,7 +111,7 @@ def io1_rejects(spark, sf):
         parts = 3
         body = lines.repartition(parts).withColumn("part", F.spark_partition_id())
         head = spark.range(parts).select(F.lit(header).alias("value"), F.col("id").cast("int").alias("part"), F.lit(0).alias("at"))
-        rows = head.unionByName(body.withColumn("at", F.lit(1))).repartition(parts, "part").sortWithinPartitions("part", "at")
+        rows = head.unionByName(body.withColumn("at", F.lit(1))).repartition(parts, "part").sortWithinPartitions("part", "at").drop("at")
         rows.write.partitionBy("part").text(f"{path}/{name}")
     got, rejected = IO.read_csv_with_rejects(spark, f"{path}/*/*", ("id", "zip_code", "grade"))
     number = F.regexp_extract("line", r"(?:^|,)(\d+)(?:,|$)", 1)

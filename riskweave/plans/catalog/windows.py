@@ -55,7 +55,7 @@ _SHUFFLED = LABELLED_CTES + """
 SELECT id, is_fraud, split FROM b"""))
 def p3(spark, sf):
     """Every row with its split; class shares are kept."""
-    s = P.stratified_split(materialise(labelled(spark, sf).select("id", "is_fraud"), "split-input"), "is_fraud")
+    s = P.stratified_split(materialise(labelled(spark, sf, "id").select("id", "is_fraud"), "split-input"), "is_fraud")
     return s.select("id", "is_fraud", "split")
 
 
@@ -63,7 +63,7 @@ def p3(spark, sf):
 SELECT id, is_fraud, CAST((CASE WHEN pos >= ceil(n * (1e0 / 3)) THEN 1 ELSE 0 END)
                           + (CASE WHEN pos >= ceil(n * (2e0 / 3)) THEN 1 ELSE 0 END) AS INTEGER) AS fold FROM sh"""))
 def p4(spark, sf):
-    s = P.stratified_folds(materialise(labelled(spark, sf).select("id", "is_fraud"), "fold-input"), k=3)
+    s = P.stratified_folds(materialise(labelled(spark, sf, "id").select("id", "is_fraud"), "fold-input"), k=3)
     return s.select("id", "is_fraud", "fold")
 
 

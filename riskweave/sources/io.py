@@ -26,6 +26,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.exprs import to_double
 from ..session import ensure_checkpoint_dir
+from .scratch import materialise
 
 # The 30 application columns read from a raw export.
 APPLICATION_COLUMNS = (
@@ -89,11 +90,14 @@ def read_csv_with_rejects(spark: SparkSession, path: str, allow: tuple[str, ...]
         schema = StructType([StructField(n, StringType()) for n in names] + [StructField("_line", StringType())])
         read = (spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
                 .option("columnNameOfCorruptRecord", "_line").csv(files))
-        fine = F.col("_line").isNull()
-        accepted = accepted.unionByName(read.where(fine).select(*[c for c in allow if c in names]), allowMissingColumns=True)
-        rejected = rejected.unionByName(read.where(~fine).select(
-            F.col("_metadata.file_path").alias("file"), F.col("_line").alias("line"),
-            F.lit("fields").alias("reason"), sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0)).alias("parsed")))
+        present = [c for c in allow if c in names]
+        # parsed once: Spark does not answer queries that need nothing but the record column from raw files
+        parsed = materialise(read.select(
+            *present, F.col("_line").alias("_line"), F.col("_metadata.file_path").alias("_file"),
+            sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0)).alias("_parsed")), "csv-parsed")
+        accepted = accepted.unionByName(parsed.where("_line IS NULL").select(*present), allowMissingColumns=True)
+        rejected = rejected.unionByName(parsed.where("_line IS NOT NULL").select(
+            F.col("_file").alias("file"), F.col("_line").alias("line"), F.lit("fields").alias("reason"), F.col("_parsed").alias("parsed")))
     return accepted, rejected
 
 
