@@ -9,8 +9,10 @@ from ...operators import evaluate as E
 from ...operators import scoring as S
 from ...operators import split as P
 from ...sources.applications import applications
+from ...sources.io import scratch_path
 from ...sources.scratch import materialise
 from ...sources.tables import table
+from ...streaming import monitoring as MO
 from ..registry import register, rounded, with_apps
 from .labels import LABELLED_CTES, labelled
 from .windows import _P1_SQL
@@ -343,3 +345,73 @@ def d4(spark, sf):
     tr, te = _split_frames(spark, sf)
     n_alerts, _ = D.alert_summary(D.fit_reference(tr, _DRIFT_COLS).psi_report(te))
     return n_alerts.select(F.col("n_alerts").cast("long"), "n_features")
+
+
+# ---------------------------------------------------------------- S4, S5, D3 per window of a stream, V2 on a stream
+
+_WINDOW = "30 days"
+_WINDOW_OF = "TIMESTAMP '1970-01-01' + CAST(floor(({day}) / 30) AS INTEGER) * INTERVAL 30 DAY"
+_APP_DAY = "CAST(issue_d AS DATE) - DATE '1970-01-01'"
+
+
+def _delivered(spark, frame, time_col, start, name):
+    """Rows in two deliveries, then two rows far in the future, which close all windows before them; a run after each."""
+    src = scratch_path(spark, f"{name}-source")
+    far = [frame.limit(1).withColumn(time_col, F.date_add(F.lit("2100-01-01").cast("date"), days).cast("timestamp_ntz")) for days in (37000, 75000)]
+    for part in (frame.where("id % 2 = 0"), frame.where("id % 2 <> 0"), *far):
+        part.write.mode("append").parquet(src)
+        start(src, frame.schema)
+
+
+@register("S5_streaming_decision_windows", with_apps(f"""
+SELECT CAST({_WINDOW_OF.format(day=_APP_DAY)} AS TIMESTAMP) AS window_start, CASE WHEN id % 3 = 0 THEN 'batch' ELSE 'one' END AS endpoint,
+       CASE WHEN score >= 7e-1 THEN 'DECLINE' WHEN score >= 3e-1 THEN 'REVIEW' ELSE 'APPROVE' END AS decision,
+       CAST(least(greatest(ceil(round(score, 6) * 20), 0), 20) AS INTEGER) AS score_bin, count(*) AS n
+FROM applications WHERE issue_d IS NOT NULL GROUP BY 1, 2, 3, 4"""))
+def s5_windows(spark, sf):
+    """Decisions by endpoint and score bins per 30-day window, counted by a watermarked stream in two deliveries."""
+    a = applications(spark, sf).where("issue_d IS NOT NULL").select(
+        "id", F.col("issue_d").cast("timestamp_ntz").alias("ts"), "score", F.when(F.col("id") % 3 == 0, "batch").otherwise("one").alias("endpoint"))
+    sink, progress = (scratch_path(spark, f"window-{x}") for x in ("sink", "progress"))
+    _delivered(spark, a, "ts", lambda src, schema: MO.decision_windows_stream(
+        spark, src, schema, sink, progress, "ts", _WINDOW, "36500 days"), "windows")
+    return spark.read.schema("window_start timestamp_ntz, endpoint string, decision string, score_bin int, n long").parquet(sink) \
+        .where("window_start < timestamp_ntz'2090-01-01'")
+
+
+@register("D3_streaming_psi_windows", with_apps(_SPLIT_SRC + _psi_sql("tr", "te_", _DRIFT_COLS) + f"""
+, wv AS (SELECT w, feature, x FROM (SELECT CAST({_WINDOW_OF.format(day=_APP_DAY)} AS TIMESTAMP) AS w, {", ".join(_DRIFT_COLS)}
+       FROM applications WHERE issue_d IS NOT NULL) UNPIVOT (x FOR feature IN ({", ".join(_DRIFT_COLS)})) WHERE NOT isnan(x)),
+wb AS (SELECT w, feature, (SELECT count(*) FROM ed WHERE ed.feature = wv.feature AND ed.e <= wv.x) AS bin FROM wv),
+wc AS (SELECT w, feature, bin, count(*) AS c FROM wb GROUP BY 1, 2, 3),
+wn AS (SELECT w, feature, sum(c) AS n FROM wc GROUP BY 1, 2),
+wp AS (SELECT wn.w, g.feature, greatest(coalesce(ec.c, 0) / en.n, 1e-6) AS e, greatest(coalesce(wc.c, 0) / wn.n, 1e-6) AS a
+       FROM wn JOIN grid g USING (feature) JOIN en USING (feature) LEFT JOIN ec ON ec.feature = g.feature AND ec.bin = g.bin
+       LEFT JOIN wc ON wc.w = wn.w AND wc.feature = g.feature AND wc.bin = g.bin WHERE wn.n >= 10)
+SELECT w AS window_start, feature, round(sum((a - e) * ln(a / e)), 6) AS psi, sum((a - e) * ln(a / e)) > 2e-1 AS alert FROM wp GROUP BY 1, 2"""))
+def d3_windows(spark, sf):
+    """PSI of each feature in each 30-day window against the training rows, from bin counts of a watermarked stream."""
+    tr, _ = _split_frames(spark, sf)
+    reference = D.fit_reference(tr, _DRIFT_COLS)
+    a = applications(spark, sf).where("issue_d IS NOT NULL").select("id", F.col("issue_d").cast("timestamp_ntz").alias("ts"), *_DRIFT_COLS)
+    sink, progress = (scratch_path(spark, f"drift-{x}") for x in ("sink", "progress"))
+    _delivered(spark, materialise(a, "drift-stream"), "ts", lambda src, schema: MO.drift_windows_stream(
+        spark, src, schema, reference, sink, progress, "ts", _WINDOW, "36500 days"), "drift")
+    counts = spark.read.schema("window_start timestamp_ntz, feature string, bin int, n long").parquet(sink).where("window_start < timestamp_ntz'2090-01-01'")
+    return rounded(MO.psi_by_window(counts, reference))
+
+
+@register("V2_stream_unique", with_apps("""
+SELECT id, 'accepted' AS outcome, 1 AS n FROM applications WHERE issue_d IS NOT NULL
+UNION ALL SELECT id, 'repeated', CASE WHEN id % 10 = 0 THEN 2 ELSE 1 END FROM applications WHERE issue_d IS NOT NULL AND id % 5 = 0
+UNION ALL SELECT id, 'no time', 1 FROM applications WHERE issue_d IS NULL"""))
+def v2_stream(spark, sf):
+    """Applications as requests: every fifth is delivered twice, every tenth three times; each id passes once, all else is listed."""
+    a = materialise(applications(spark, sf).select("id", "issue_d", "loan_amnt"), "requests")
+    src, sink, bad, state, progress = (scratch_path(spark, f"unique-{x}") for x in ("source", "sink", "rejects", "state", "progress"))
+    for part in (a.unionByName(a.where("id % 10 = 0 AND issue_d IS NOT NULL")), a.where("id % 5 = 0 AND issue_d IS NOT NULL")):
+        part.write.mode("append").parquet(src)
+        MO.unique_requests_stream(spark, src, a.schema, sink, bad, state, progress, "issue_d", "36500 days")
+    got = spark.read.parquet(sink).select("id", F.lit("accepted").alias("outcome"))
+    out = spark.read.parquet(bad).select(F.col("id").cast("long").alias("id"), F.col("reason").alias("outcome"))
+    return got.unionByName(out).groupBy("id", "outcome").agg(F.count(F.lit(1)).cast("int").alias("n"))

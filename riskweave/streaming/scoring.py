@@ -37,7 +37,7 @@ def stream_requests(spark: SparkSession, source_dir: str, schema, files_per_epoc
     return (reader.option("maxFilesPerTrigger", files_per_epoch) if files_per_epoch else reader).parquet(source_dir)
 
 
-def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint_dir: str, trigger: dict | None,
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint_dir: str, trigger: dict | None,
          mode: str = "append") -> StreamingQuery:
     trigger = trigger or AVAILABLE_NOW
 
@@ -52,7 +52,7 @@ def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
     return q
 
 
-def _write_epoch(out: DataFrame, sink_dir: str, epoch: int) -> None:
+def write_epoch(out: DataFrame, sink_dir: str, epoch: int) -> None:
     """An epoch owns a folder of the sink: running it again replaces what it wrote before."""
     out.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}")
 
@@ -62,7 +62,7 @@ def banding_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str,
     """Stateless stream: band every arriving row."""
     banded = stream_requests(spark, source_dir, schema).select(
         "id", S.decision(score_col).alias("decision"), F.round(score_col, 6).alias("fraud_score"))
-    return _run(banded, lambda batch, epoch: _write_epoch(batch, sink_dir, epoch), checkpoint_dir, trigger)
+    return run_batches(banded, lambda batch, epoch: write_epoch(batch, sink_dir, epoch), checkpoint_dir, trigger)
 
 
 def decision_count_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
@@ -70,7 +70,7 @@ def decision_count_stream(spark: SparkSession, source_dir: str, schema, sink_dir
     """S4 as a streaming aggregation: after each micro-batch the sink holds the totals so far."""
     counts = stream_requests(spark, source_dir, schema).groupBy(S.decision(score_col).alias("decision")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    return _run(counts, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{sink_dir}/totals"),
+    return run_batches(counts, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{sink_dir}/totals"),
                 checkpoint_dir, trigger, mode="complete")
 
 
@@ -112,10 +112,10 @@ def velocity_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str,
 
     def handle(batch: DataFrame, epoch: int) -> None:
         out = W.build_velocity_with_history(batch, history.velocity(epoch), keys=keys, windows_days=windows_days)
-        _write_epoch(out.select("id", *[f"vel_{k}_{w}d" for k in keys for w in windows_days]), sink_dir, epoch)
+        write_epoch(out.select("id", *[f"vel_{k}_{w}d" for k in keys for w in windows_days]), sink_dir, epoch)
         history.put(epoch, W.velocity_state(batch, keys=keys), None)
 
-    return _run(stream_requests(spark, source_dir, schema, files_per_epoch), handle, checkpoint_dir, trigger)
+    return run_batches(stream_requests(spark, source_dir, schema, files_per_epoch), handle, checkpoint_dir, trigger)
 
 
 def graph_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, state_dir: str, checkpoint_dir: str,
@@ -126,10 +126,10 @@ def graph_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, st
 
     def handle(batch: DataFrame, epoch: int) -> None:
         update = GS.link_batch(batch, history.graph(epoch), keys)
-        _write_epoch(update.features, sink_dir, epoch)
+        write_epoch(update.features, sink_dir, epoch)
         history.put(epoch, None, update)
 
-    return _run(stream_requests(spark, source_dir, schema, files_per_epoch), handle, checkpoint_dir, trigger)
+    return run_batches(stream_requests(spark, source_dir, schema, files_per_epoch), handle, checkpoint_dir, trigger)
 
 
 def model_scoring_stream(spark: SparkSession, source_dir: str, schema, result: TrainingResult, scored_at: str,
@@ -151,9 +151,9 @@ def model_scoring_stream(spark: SparkSession, source_dir: str, schema, result: T
             result, batch, scored_at, velocity_state=history.velocity(epoch) if history else velocity_state,
             quarantine_dir=f"{quarantine_dir}/epoch={epoch}" if quarantine_dir else None,
             graph_state=history.graph(epoch) if history else None, kept=lambda requests, update: seen.append((requests, update)))
-        _write_epoch(scored, sink_dir, epoch)
+        write_epoch(scored, sink_dir, epoch)
         if history:
             requests, update = seen[0]
             history.put(epoch, W.velocity_state(requests), update)
 
-    return _run(stream_requests(spark, source_dir, schema, files_per_epoch), handle, checkpoint_dir, trigger)
+    return run_batches(stream_requests(spark, source_dir, schema, files_per_epoch), handle, checkpoint_dir, trigger)

@@ -24,8 +24,8 @@ def test_restarted_stream_scores_every_row_once(spark, tmp_path):
 def test_a_repeated_epoch_replaces_its_own_rows(spark, tmp_path):
     sink = str(tmp_path / "sink")
     for n in (4, 6):
-        ST._write_epoch(spark.range(n), sink, 0)
-    ST._write_epoch(spark.range(100, 102), sink, 1)
+        ST.write_epoch(spark.range(n), sink, 0)
+    ST.write_epoch(spark.range(100, 102), sink, 1)
     assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == [0, 1, 2, 3, 4, 5, 100, 101]
 
 
