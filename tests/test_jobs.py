@@ -88,6 +88,30 @@ def test_gate_quarantines_what_breaks_the_contract(spark, trained, tmp_path):
     assert -1 not in scored and scored | {r["id"] for r in broken.collect()} == {r["id"] for r in rows.collect()} | {-1}
 
 
+def test_scoring_stream_keeps_its_history_and_quarantines_per_epoch(spark, trained, tmp_path):
+    """Two deliveries, each with a broken request: scores against all accepted requests, rejected ones whole and per epoch."""
+    import dataclasses
+    apps, result = trained
+    linked = dataclasses.replace(result, features=dataclasses.replace(result.features, use_graph=True, link_keys=("zip_code", "emp_title")))
+    req = apps.withColumn("sub_grade", F.lit("A1")).withColumn("home_ownership", F.lit("RENT")).withColumn("installment", F.lit(100.0)) \
+        .withColumn("emp_length", F.lit(3.0)).withColumn("loan_amnt", F.when(F.col("id") % 3 == 0, 1.0).otherwise(9000.0)) \
+        .withColumn("annual_inc", F.lit(50000.0)).withColumn("dti", F.lit(10.0)).withColumn("revol_bal", F.lit(1.0)) \
+        .withColumn("emp_title", F.lit("clerk")).orderBy("id").limit(20).cache()
+    src, sink, bad, state, progress = (str(tmp_path / x) for x in ("src", "sink", "bad", "state", "progress"))
+    ids = [r["id"] for r in req.select("id").collect()]
+    for part in (ids[:10], ids[10:]):
+        req.where(F.col("id").isin(part)).coalesce(1).write.mode("append").parquet(src)
+        ST.model_scoring_stream(spark, src, req.schema, linked, "2024-01-01 00:00:00", sink, progress, state_dir=state, quarantine_dir=bad)
+    scored = {r["application_id"]: len(r["reason_codes"]) for r in spark.read.parquet(sink).collect()}
+    broken = spark.read.parquet(bad).collect()
+    assert {r["epoch"] for r in broken} == {0, 1} and all('"loan_amnt":1.0' in r["request"] for r in broken if r["column"] == "loan_amnt")
+    assert set(scored) | {r["id"] for r in broken} == set(ids) and not set(scored) & {r["id"] for r in broken} and set(scored.values()) == {5}
+    history = ST.RequestHistory(spark, state)
+    assert history.sizes.before(2).agg(F.sum("rows")).first()[0] == len(scored)
+    assert history.days.before(2).where("k = 'emp_title'").agg(F.sum("n_day")).first()[0] == \
+        req.where(F.col("id").isin(list(scored)) & F.col("issue_d").isNotNull()).count()
+
+
 def test_isolation_forest_takes_distinct_rows_whatever_the_partitioning(spark):
     df = M.assemble(spark.range(300).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b")), ["a", "b"])
     one, many = (M.fit_isolation_forest(df.repartition(p), n_trees=5, rows_per_tree=40).trees for p in (1, 6))
