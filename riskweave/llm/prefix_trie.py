@@ -25,7 +25,7 @@ with a third of all nodes below it is no hot key.
 child it had; those links are jumped, a few rounds, until every total is known.
 
 Cases: null role or text is empty; null turns come first; turns of the same number are
-ordered by their digests; rows without conv_id belong to no conversation;
+ordered by their digests; remainders of negative conv_ids are negative, as in SQL; rows without conv_id belong to no conversation;
 an empty table has no node, not even the root. Extra columns are ignored.
 """
 

@@ -1,6 +1,7 @@
 """Prefix trie against a plain rebuilding of every conversation, and its SQL twin on hand-made rows."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -27,7 +28,7 @@ def brute(rows):
     built = {}
     for c, turns in own.items():
         h = zlib.crc32(str(c).encode()) % 6
-        built[c] = own.get(c - c % 100, [])[:h] + turns[h:]
+        built[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + turns[h:]      # remainders take the sign of c, as in SQL
     nodes = defaultdict(list)
     for c, turns in built.items():
         for d in range(len(turns) + 1):
