@@ -196,3 +196,13 @@ def test_sample_keeps_rare_classes_and_their_weight(spark):
 def test_shape_of_a_long_token_is_read_to_its_end():
     shape = lambda t: Q.NGrams()._token(t) & 0xFFFFFF
     assert shape("x" * 64 + "=;1") != shape("x" * 64 + "yyy") and shape("x" * 64 + "yyy") == shape("xx")
+
+
+def test_seventy_languages_are_all_learned(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    words = {n: [f"{chr(97 + i // 10)}{chr(97 + i % 10)}{w}{chr(107 + i % 10)}" for w in ("abo", "kin", "sul", "tre")] for i, n in enumerate(names)}
+    rows = [(k * 70 + i, " ".join(words[n]) * 1 + " " + " ".join(reversed(words[n])), n) for i, n in enumerate(names) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["held_out"]) for r in L.identify(docs).collect()}
+    assert {p for p, _ in got.values()} == set(names)
+    assert sum(got[i][0] == n for i, _, n in rows) > 0.95 * len(rows)
