@@ -231,8 +231,11 @@ def in_groups(texts: list, chars: int = GROUP_CHARS) -> Iterator[list]:
         yield group
 
 
-def predictor(model: Crf) -> Callable[[str], Column]:
-    """Column function: text column -> struct(lang_pred, score)."""
+def predictor(model: Crf, once: bool = False) -> Callable[[str], Column]:
+    """Column function: text column -> struct(lang_pred, score).
+
+    ``once`` keeps the optimizer from computing it anew for each use, as in a filter and in the projection above it.
+    """
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
@@ -240,6 +243,8 @@ def predictor(model: Crf) -> Callable[[str], Column]:
             parts = [tagger.label(g) for g in in_groups([t if isinstance(t, str) else None for t in batch])]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": []})
 
+    if once:
+        predict = predict.asNondeterministic()
     return lambda col: predict(F.col(col).cast("string"))
 
 
