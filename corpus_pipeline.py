@@ -26,7 +26,7 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language (no text, no letter) go; a missing ``lang`` is filled in."""
-    label, found = langid.predictor(langid.fit(docs)), _fresh(docs, "found")
+    label, found = langid.predictor(langid.fit(docs), once=True), _fresh(docs, "found")
     columns = [F.coalesce("lang", f"{found}.lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
     return docs.withColumn(found, label("text")).where(F.col(f"{found}.lang_pred") != langid.UNKNOWN).select(*columns)
 
