@@ -1,10 +1,14 @@
 """Model invariants: scores in [0, 1], no NULLs, OOF covers every row,
 AUC above 0.5 on a planted signal, isotonic output monotone in the raw score."""
 
+import threading
+
+import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import evaluate as E
 from riskweave.plans import models as M
+from riskweave.sources import scratch
 
 
 def planted(spark, n=600):
@@ -45,3 +49,26 @@ def test_oof_covers_every_row_and_isotonic_is_monotone(spark):
         .orderBy("meta_score").collect()
     vals = [r["_iso"] for r in rows]
     assert all(a <= b + 1e-12 for a, b in zip(vals, vals[1:]))
+
+
+def test_fits_of_all_folds_run_side_by_side(spark, monkeypatch):
+    together = threading.Barrier(3, timeout=30)      # broken unless three fits have begun before one has ended
+
+    def fit(kind, train, max_iter, seed, val=None):
+        together.wait()
+        return kind, train.where("fold is not null").count() if "fold" in train.columns else None
+
+    monkeypatch.setattr(M, "_fit_base", fit)
+    monkeypatch.setattr(M, "_score_base", lambda model, df, name, features: df.withColumn(name, F.lit(model[1])))
+    oof = M.oof_scores(planted(spark), ["xgboost"], k=3)
+    assert sorted(r["xgboost"] for r in oof.select("xgboost").distinct().collect()) and oof.count() == 600
+    assert oof.where("xgboost < 390 or xgboost > 410").count() == 0      # each fold by the fit on the two others
+
+
+def test_side_by_side_keeps_order_scope_and_errors(spark):
+    with scratch.scratch_scope():
+        frames = scratch.side_by_side(spark, [lambda n=n: scratch.materialise(spark.range(n), "side") for n in (3, 1, 2)])
+        assert [f.count() for f in frames] == [3, 1, 2]
+        assert len(scratch._SCOPE.written) == 3      # deleted with the caller's scope
+    with pytest.raises(ZeroDivisionError):
+        scratch.side_by_side(spark, [lambda: 1 / 0, lambda: 1])
