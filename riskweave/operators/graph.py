@@ -24,8 +24,10 @@ GR5: nodes, edges (half the sum of the degrees), components, largest component.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import and_
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -85,16 +87,23 @@ def linkage(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KE
 
 def links_of(df: DataFrame, asked: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS,
              id_col: str = "id") -> DataFrame:
-    """All partners of the asked ids: (id, partner, weight), weight the number of shared keys."""
+    """All partners of the asked ids: (id, partner, weight), weight the number of shared keys.
+
+    One join per key subset of ``min_link_keys`` keys, both sides carrying all keys. A pair that shares several subsets
+    comes from the first of them only, so the pairs, which grow with the square of a block, are never shuffled."""
     keyed = _keyed(df, keys, id_col)
-    hubs = _hubs(keyed, len(keys), [min_link_keys]).select("id", "hub")
-    mine = hubs.join(asked.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    pairs = (mine.join(hubs.select(F.col("id").alias("partner"), "hub"), "hub").where(F.col("id") != F.col("partner"))
-             .select("id", "partner").distinct())
-    a = keyed.select("id", *[F.col(f"key{i}").alias(f"a{i}") for i in range(len(keys))])
-    b = keyed.select(F.col("id").alias("partner"), *[F.col(f"key{i}").alias(f"b{i}") for i in range(len(keys))])
-    weight = sum((F.coalesce((F.col(f"a{i}") == F.col(f"b{i}")).cast("int"), F.lit(0)) for i in range(len(keys))), F.lit(0))
-    return pairs.join(a, "id").join(b, "partner").select("id", "partner", weight.alias("weight"))
+    every = range(len(keys))
+    mine = keyed.join(asked.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi") \
+        .select("id", *[F.col(f"key{i}").alias(f"a{i}") for i in every])
+    others = keyed.select(F.col("id").alias("partner"), *[F.col(f"key{i}").alias(f"b{i}") for i in every])
+    same = [F.coalesce(F.col(f"a{i}") == F.col(f"b{i}"), F.lit(False)) for i in every]
+    weight = sum((x.cast("int") for x in same), F.lit(0))
+    pairs, earlier = [], F.lit(False)
+    for s in combinations(every, min_link_keys):
+        shared = reduce(and_, [F.col(f"a{i}") == F.col(f"b{i}") for i in s])
+        pairs.append(mine.join(others, shared & (F.col("id") != F.col("partner")) & ~earlier).select("id", "partner", weight.alias("weight")))
+        earlier = earlier | reduce(and_, [same[i] for i in s])
+    return reduce(DataFrame.unionByName, pairs)
 
 
 def hub_table(df: DataFrame, keys: Sequence[str], min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> DataFrame:

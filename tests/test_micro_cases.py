@@ -87,6 +87,17 @@ def test_graph_two_shared_keys_link(spark):
     assert [tuple(r) for r in GR.links_of(df, asked, ("a", "b", "c")).collect()] == [(2, 1, 2)]
 
 
+def test_links_of_asked_never_shuffle_pairs(spark):
+    rows = [(1, "z", "e", "x"), (2, "z", "e", "x"), (3, "z", "e", None), (4, "z", None, "x"), (4, "z", None, "x"), (5, None, "e", "x"),
+            (6, "z", None, None), (None, "z", "e", "x")]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string")
+    links = GR.links_of(df, df.where("id in (1, 4)").select("id"), ("a", "b", "c"))
+    assert sorted(tuple(r) for r in links.collect()) == [(1, 2, 3), (1, 3, 2), (1, 4, 2), (1, 4, 2), (1, 5, 2),
+                                                        (4, 1, 2), (4, 1, 2), (4, 2, 2), (4, 2, 2)]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "partner" in line for line in plan.splitlines())      # no distinct over pairs
+
+
 def test_graph_degrees_match_brute_force_in_large_blocks(spark):
     rng = np.random.default_rng(11)
     # one block holds a third of the rows; nulls never link
