@@ -3,6 +3,7 @@ AUC above 0.5 on a planted signal, isotonic output monotone in the raw score."""
 
 import threading
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,27 @@ def test_side_by_side_keeps_order_scope_and_errors(spark):
         assert len(scratch._SCOPE.written) == 3      # deleted with the caller's scope
     with pytest.raises(ZeroDivisionError):
         scratch.side_by_side(spark, [lambda: 1 / 0, lambda: 1])
+
+
+def test_forest_input_holds_the_pool_only(spark, monkeypatch):
+    written, write = {}, M.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(M, "materialise", counted)
+    M.fit_isolation_forest(planted(spark), n_trees=4, rows_per_tree=16)
+    assert 0 < written["forest-input"] < 200      # about 4 * 16 of 600 rows
+
+
+def test_forest_score_follows_every_path(spark):
+    trees = pd.DataFrame([(0, 0, 0, 0.5, 1, 2, 5), (0, 1, -1, 0.0, -1, -1, 2), (0, 2, 1, 0.25, 3, 4, 3), (0, 3, -1, 0.0, -1, -1, 1),
+                          (0, 4, -1, 0.0, -1, -1, 2), (1, 0, -1, 0.0, -1, -1, 5)], columns=["tree", "node", "feat", "split", "left", "right", "size"])
+    x = [(1, 0.1, 0.9), (2, 0.5, 0.1), (3, 0.9, 0.25), (4, float("nan"), float("inf"))]
+    df = M.assemble(spark.createDataFrame(x, "id long, a double, b double"), ["a", "b"])
+    lone = M.unsuccessful_search(5)     # the second tree is one leaf
+    length = {1: 1 + 1.0 + lone, 2: 2 + 0.0 + lone, 3: 2 + 1.0 + lone, 4: 2 + 1.0 + lone}
+    got = M.IsolationForestModel(trees, 2, 5).raw_score(df, out="s").select("id", "s").collect()
+    assert {r["id"]: r["s"] for r in got} == {i: pytest.approx(2 ** (-n / 2 / M.typical_path(5))) for i, n in length.items()}
