@@ -83,7 +83,9 @@ def link_batch(batch: DataFrame, state: GraphState, keys: Sequence[str] = DEFAUL
                min_link_keys: int = MIN_LINK_KEYS, id_col: str = "id") -> GraphUpdate:
     """Features of the batch's rows in the graph of all rows so far, and what the batch adds to the state."""
     m, k = min_link_keys, len(keys)
-    mine = materialise(hub_rows(batch, keys, range(m, k + 1), id_col), "batch-hubs")
+    # the keys are written once and the hubs derived from them when read: a hub repeats the values of its keys
+    keyed = materialise(batch.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keys)]), "batch-keys")
+    mine = hub_rows(keyed, [f"k{i}" for i in range(k)], range(m, k + 1))
     here = mine.groupBy("hub", "size").agg(F.count(F.lit(1)).alias("new"), F.min("id").alias("first"))
     here = materialise(here, "batch-hub-counts")
 

@@ -12,6 +12,7 @@ from riskweave.operators import drift as D
 from riskweave.operators import encode as E
 from riskweave.operators import evaluate as EV
 from riskweave.operators import graph as GR
+from riskweave.operators import graph_state as GS
 from riskweave.operators import ordering as G
 from riskweave.operators import scoring as S
 from riskweave.operators import velocity as W
@@ -87,6 +88,21 @@ def test_graph_two_shared_keys_link(spark):
     assert [tuple(r) for r in GR.links_of(df, asked, ("a", "b", "c")).collect()] == [(2, 1, 2)]
 
 
+def test_a_batch_writes_its_keys_and_not_its_hubs(spark, monkeypatch):
+    df = spark.range(200).select("id", *[F.lit(v).alias(v) for v in "abc"])
+    written, write = [], GS.materialise
+
+    def noted(frame, name):
+        out = write(frame, name)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(GS, "materialise", noted)
+    got = GS.link_batch(df, GS.empty_state(spark), ("a", "b", "c")).features
+    assert [tuple(r)[1:] for r in got.distinct().collect()] == [(200, 199, 0)] * 200
+    assert max(n for columns, n in written if "hub" in columns) == 4      # one row per hub, not per member
+
+
 def test_links_of_asked_never_shuffle_pairs(spark):
     rows = [(1, "z", "e", "x"), (2, "z", "e", "x"), (3, "z", "e", None), (4, "z", None, "x"), (4, "z", None, "x"), (5, None, "e", "x"),
             (6, "z", None, None), (None, "z", "e", "x")]
