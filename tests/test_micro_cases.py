@@ -222,6 +222,22 @@ def test_refinement_order_statistics_many_passes(spark):
     assert G.quantiles(df2, ["x"], probs, method="sort")["x"] == G.quantiles(df2, ["x"], probs)["x"]
 
 
+def test_later_quantile_passes_unpivot_open_intervals_only(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") * 0.37).alias("a"), F.when(F.col("id") % 3 > 0, F.sqrt("id")).alias("b"), F.lit(2.0).alias("c"))
+    seen, within = [], G._within
+
+    def counted(*args):
+        seen.append(within(*args).count())
+        return within(*args)
+
+    monkeypatch.setattr(G, "_within", counted)
+    got = G.quantiles(df, ["a", "b", "c"], [0.25, 0.5])
+    want = df.toPandas().quantile([0.25, 0.5])
+    for c in "abc":
+        assert got[c] == pytest.approx(want[c].tolist(), abs=1e-6)
+    assert seen[0] <= 5000 + 3333 and len(seen) > 1 and max(seen[1:]) < 200
+
+
 def test_history_state_knows_its_keys_by_name(spark):
     hist = spark.createDataFrame([(1, "x", "2020-01-01")], "id long, addr_state string, d string").withColumn("d", F.to_date("d"))
     batch = spark.createDataFrame([(9, "x", "x", "2020-01-02")], "id long, emp_title string, addr_state string, d string") \
