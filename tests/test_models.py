@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import evaluate as E
+from riskweave.plans import features as FE
 from riskweave.plans import models as M
+from riskweave.plans import training as T
 from riskweave.sources import scratch
 
 
@@ -97,3 +99,49 @@ def test_forest_score_follows_every_path(spark):
     length = {1: 1 + 1.0 + lone, 2: 2 + 0.0 + lone, 3: 2 + 1.0 + lone, 4: 2 + 1.0 + lone}
     got = M.IsolationForestModel(trees, 2, 5).raw_score(df, out="s").select("id", "s").collect()
     assert {r["id"]: r["s"] for r in got} == {i: pytest.approx(2 ** (-n / 2 / M.typical_path(5))) for i, n in length.items()}
+
+
+def test_training_engineers_each_part_once_and_fits_the_drift_reference_beside_the_models(spark, monkeypatch):
+    together = threading.Barrier(2, timeout=120)     # broken unless the two fits have begun before one has ended
+    engineered, engineer, fit_reference = [], FE.engineer, T.D.fit_reference
+
+    class Scores:
+        names, oof_means = ["a"], {"a": 0.5}
+
+        def score(self, x):
+            return x.select("id", "label", *[(F.col("id") % 10 / 10.0).alias(c) for c in ("a", "meta_score", "score")])
+
+    def fit_ensemble(train, val, *settings):
+        together.wait()
+        return Scores()
+
+    def reference(x, cols):
+        together.wait()
+        return fit_reference(x, cols)
+
+    monkeypatch.setattr(FE, "engineer", lambda df, *a, **k: engineered.append(df) or engineer(df, *a, **k))
+    monkeypatch.setattr(T.M, "fit_ensemble", fit_ensemble)
+    monkeypatch.setattr(T.D, "fit_reference", reference)
+    apps = spark.range(100).select(
+        "id", (F.col("id") % 3 == 0).cast("int").alias("label"), F.expr("date_add(DATE'2020-01-01', CAST(id AS INT))").alias("issue_d"),
+        (F.col("id") * 10.0 + 1000).alias("loan_amnt"), F.lit(10.0).alias("int_rate"), F.lit(36.0).alias("term"),
+        (F.col("id") * 100.0 + 20000).alias("annual_inc"), F.concat(F.lit("z"), F.col("id") % 7).alias("zip_code"),
+        F.concat(F.lit("e"), F.col("id") % 5).alias("emp_title"), F.lit("A").alias("grade"))
+    r = T.train(apps)
+    assert len(engineered) == 3
+    assert r.test_scores.count() == 15 and {x["model"] for x in r.report.collect()} == {"a", "ensemble"}
+    assert r.sweep.count() == 99 and r.drift.expected.count() == r.drift.edges.count() * 10
+    # the features of the training rows are those of a transform that engineers them itself
+    train = T.P.time_split(T.labelled_frame(apps, T.TrainSettings())).where("split = 'train'").drop("split")
+    eng, edges = FE.FeatureBuilder().engineer(train)
+    fm = FE.FeatureBuilder().fit_engineered(eng, edges, "label")
+    assert sorted(map(tuple, fm.transform(train).collect())) == sorted(map(tuple, fm.transform(eng, engineered=True).collect()))
+
+
+def test_more_fits_run_at_once_when_the_rows_are_few(spark, monkeypatch):
+    together = threading.Barrier(8, timeout=30)      # broken unless eight fits have begun before one has ended
+    monkeypatch.setattr(M, "_fit_base", lambda kind, train, max_iter, seed, val=None: together.wait())
+    monkeypatch.setattr(M, "_fold_scores", lambda folded, kinds, k, fitted: fitted)
+    assert len(M.oof_scores(planted(spark), ["xgboost", "lightgbm"], k=4)) == 8
+    monkeypatch.setattr(M, "FEW_ROWS", 599)
+    assert M._at_once(planted(spark)) == M.MAX_AT_ONCE
