@@ -145,3 +145,16 @@ def test_more_fits_run_at_once_when_the_rows_are_few(spark, monkeypatch):
     assert len(M.oof_scores(planted(spark), ["xgboost", "lightgbm"], k=4)) == 8
     monkeypatch.setattr(M, "FEW_ROWS", 599)
     assert M._at_once(planted(spark)) == M.MAX_AT_ONCE
+
+
+def test_one_pca_is_fitted_at_a_time(spark, monkeypatch):
+    x, held = planted(spark), []
+
+    class Watched(M.PCA):
+        def fit(self, df):
+            held.append(M._ONE_PCA.locked())
+            return super().fit(df)
+
+    monkeypatch.setattr(M, "PCA", Watched)
+    scratch.side_by_side(spark, [lambda: M.fit_reconstruction(x, k=1)] * 2)
+    assert held == [True, True]
