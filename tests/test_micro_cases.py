@@ -314,3 +314,22 @@ def test_lift_cuts_among_ties_by_id(spark):
         n = max(int(100 * k), 1)
         want = (sum(r[1] for r in top[:n]) / n) / (sum(r[1] for r in rows) / 100)
         assert EV.lift_at_k(df, k) == pytest.approx(want)
+
+
+def test_quantiles_of_many_columns_count_without_unpivoting(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    shapes = [rng.normal(size=3000), np.round(rng.normal(size=3000), 1), np.zeros(3000), rng.lognormal(0, 9, 3000),
+              np.where(np.arange(3000) % 3 == 0, 7.0, rng.uniform(-1e300, 1e300, 3000)), np.where(np.arange(3000) % 5 == 0, -np.inf, rng.normal(size=3000)),
+              np.where(np.arange(3000) % 4 == 0, np.nan, rng.integers(0, 9, 3000)), np.full(3000, np.inf), np.full(3000, np.nan)]
+    cols = [f"x{i}" for i in range(len(shapes))]
+    rows = [tuple(None if k % 50 == 0 else float(v) for v in row) for k, row in enumerate(zip(*shapes))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
+    probs = [0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0]
+    monkeypatch.setattr(G, "MANY_COLUMNS", len(cols) + 1)
+    unpivoted = G.quantiles(df, cols, probs, points=True)
+    monkeypatch.setattr(G, "MANY_COLUMNS", len(cols))
+    monkeypatch.setattr(G, "_within", None)     # not called
+    assert G.quantiles(df, cols, probs, points=True) == unpivoted
+    known = np.array([r[1] for r in rows if r[1] is not None])
+    assert G.quantiles(df, cols, probs)["x1"] == [round(float(v), 6) for v in np.quantile(known, probs)]
+    assert G.quantiles(df, cols, probs)["x8"] == [None] * len(probs)

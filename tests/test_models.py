@@ -158,3 +158,33 @@ def test_one_pca_is_fitted_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(M, "PCA", Watched)
     scratch.side_by_side(spark, [lambda: M.fit_reconstruction(x, k=1)] * 2)
     assert held == [True, True]
+
+
+def test_boosted_trees_of_few_rows_are_fitted_in_few_tasks(spark, monkeypatch):
+    x, seen = planted(spark).repartition(6), []
+
+    class Watched(M.GBTClassifier):
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count()))
+
+    monkeypatch.setattr(M, "GBTClassifier", Watched)
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 300)
+    M._fit_base("xgboost", x, 2, 42)
+    M._fit_base("xgboost", x, 2, 42, x.where("id < 100"))
+    assert seen == [(2, 600), (3, 700)]         # every row, the validation rows with them
+    seen.clear()
+    M.fit_gbt(x, "xgboost", max_iter=2)
+    assert seen[0][0] > 2                       # others keep their partitions
+
+
+def test_forest_samples_are_those_of_the_hashes(spark):
+    x = planted(spark, 300)
+    got = M.fit_isolation_forest(x, n_trees=8, rows_per_tree=40, seed=7).trees
+    span = 1 << 40
+    for t in range(3):
+        h = F.pmod(F.xxhash64(F.col("id"), F.lit(t), F.lit(7)), F.lit(span))
+        rows = [r[0] for r in x.withColumn("_r", h).orderBy("_r", "id").limit(40).select(M.vector_to_array("features")).collect()]
+        root = got[(got["tree"] == t) & (got["node"] == 0)].iloc[0]
+        values = [r[int(root["feat"])] for r in rows]
+        left = got[(got["tree"] == t) & (got["node"] == root["left"])].iloc[0]
+        assert root["size"] == 40 and left["size"] == sum(v < root["split"] for v in values)
