@@ -3,6 +3,7 @@ AUC above 0.5 on a planted signal, isotonic output monotone in the raw score."""
 
 import threading
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,61 @@ def test_forest_samples_are_those_of_the_hashes(spark):
         values = [r[int(root["feat"])] for r in rows]
         left = got[(got["tree"] == t) & (got["node"] == root["left"])].iloc[0]
         assert root["size"] == 40 and left["size"] == sum(v < root["split"] for v in values)
+
+
+def wide(spark, n=400, d=60):
+    cols = [F.sin(F.col("id") * (i + 1) * 0.37 + i).alias(f"x{i}") for i in range(d - 1)]
+    df = spark.range(n).select("id", (F.col("id") % 9 == 0).cast("int").alias("label"), *cols, F.lit(3.0).alias(f"x{d - 1}"))
+    return M.assemble(df, [f"x{i}" for i in range(d)])
+
+
+def test_reconstruction_works_on_vectors_and_equals_its_definition(spark):
+    x = wide(spark)
+    model = M.fit_reconstruction(x, k=5)
+    scored = model.raw_score(x, out="s")
+    assert "[59]" not in scored._jdf.queryExecution().toString()        # no expression per element
+    rows = scored.select("label", M.vector_to_array("features").alias("x"), "s").collect()
+    a = np.array([r["x"] for r in rows])
+    neg = a[[r["label"] == 0 for r in rows]]
+    std = np.where(neg.std(axis=0) > 0, neg.std(axis=0), 1.0)
+    assert np.allclose(model.mean, neg.mean(axis=0)) and np.allclose(model.std, std)
+    z, zn = (a - neg.mean(axis=0)) / std, (neg - neg.mean(axis=0)) / std
+    axes = np.linalg.eigh(np.cov(zn.T))[1][:, ::-1][:, :5]
+    assert np.allclose([r["s"] for r in rows], ((z ** 2).sum(axis=1) - ((z @ axes) ** 2).sum(axis=1)) / 60, atol=1e-9)
+
+
+def test_missing_values_keep_their_reconstruction_error(spark):
+    x = planted(spark, 100)
+    odd = M.assemble(x.select("id", F.when(F.col("id") == 7, F.lit(float("nan"))).otherwise(F.col("x0")).alias("x0"), "x1"), ["x0", "x1"])
+    got = M.fit_reconstruction(x, k=1).raw_score(odd, out="s").where("s IS NULL OR isnan(s)").select("id", "s").collect()
+    assert [r["id"] for r in got] == [7] and got[0]["s"] is not None
+
+
+def test_calibration_rows_are_scored_once(spark, monkeypatch):
+    seen, fit = [], M.fit_isotonic
+    monkeypatch.setattr(M, "fit_isotonic", lambda rows: seen.append(rows) or fit(rows))
+    x = planted(spark)
+    M.fit_ensemble(x.where("id < 400"), x.where("id >= 400"), ["reconstruction"], k=2)
+    assert hasattr(seen[0], "_scratch_path") and seen[0].count() == 200
+
+
+def test_numeric_block_repeats_no_condition(spark):
+    values = [(0, float("nan"), 1), (1, None, None), (2, float("inf"), 9), (3, float("-inf"), -9), (4, -0.0, 3), (5, 2.5, 4), (6, 7.0, 2)]
+    df = spark.createDataFrame(values, "id int, a double, b int").withColumn("t", F.col("b").cast("string"))
+    block = FE.numeric_block(df, ["a", "b", "t", "gone"], {"a": (0.0, 5.0), "b": (0.0, 3.0), "t": (0.0, 3.0)}, {"a": 1.5, "b": 2.0})
+    out = df.select("id", *block).orderBy("id")
+    assert [tuple(r)[1:] for r in out.collect()] == [
+        (1.5, 1.0, 1.0, None), (1.5, 2.0, None, None), (5.0, 3.0, 3.0, None), (0.0, 0.0, 0.0, None), (0.0, 3.0, 3.0, None),
+        (2.5, 3.0, 3.0, None), (5.0, 2.0, 2.0, None)]
+    plan = df.select(FE.numeric_block(df, ["a"], {"a": (0.0, 5.0)}, {"a": 1.5})[0])._jdf.queryExecution().analyzed().toString()
+    assert plan.count("isnan") == 1
+
+
+def test_moments_come_from_a_few_columns_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(FE, "COLUMNS_AT_ONCE", 2)
+    df = spark.range(50).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"c{i}") for i in range(5)]).withColumn(
+        "c1", F.when(F.col("c1") > 3, F.col("c1")))
+    got = FE._moments(df, df.columns, {c: (1.0, 15.0) for c in df.columns}, {c: 4.0 for c in df.columns})
+    a = df.toPandas().clip(1.0, 15.0).fillna(4.0)
+    assert list(got) == df.columns
+    assert np.allclose([got[c] for c in df.columns], list(zip(a.mean(), a.std(ddof=0))))

@@ -13,6 +13,8 @@ from riskweave.operators import velocity_index as VI
 from riskweave.plans import search as SE
 from riskweave.sources import io as IO
 from riskweave.streaming import monitoring as MO
+from riskweave.operators import ordering
+from riskweave.sources.scratch import materialise
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -130,3 +132,24 @@ def test_search_resumes_and_times_out(spark, tmp_path):
     for r in SE.RANGES:
         values = [float(SE.trial_params(t)[r.name]) for t in range(50)]
         assert r.low <= min(values) and max(values) <= r.high and len(set(values)) > 5
+
+
+def test_shares_of_many_columns_are_counted_in_place(spark, monkeypatch):
+    cols = [f"c{i}" for i in range(9)]
+    df = spark.range(300).select(*[(F.col("id") * (i + 3) % 41).cast("double").alias(c) for i, c in enumerate(cols)]).select(
+        F.when(F.col("c0") > 30, float("inf")).when(F.col("c0") < 5, float("nan")).otherwise(F.col("c0")).alias("c0"),
+        F.when(F.col("c1") > 7, F.col("c1")).alias("c1"), F.lit(2.0).alias("c2"), F.lit(None).cast("double").alias("c3"), *cols[4:])
+    stored = materialise(df, "drift-test")
+    want = {(r["feature"], r["bin"]): r["pct"] for r in
+            D._shares(D._binned(D._long(stored, cols), D.fit_reference(stored, cols).edges)).collect()}
+    monkeypatch.setattr(D, "_binned", None)             # no row per value
+    monkeypatch.setattr(ordering, "materialise", None)  # the stored columns are not written again
+    got = D.fit_reference(stored, cols, stored=True)
+    assert {(r["feature"], r["bin"]): r["expected_pct"] for r in got.expected.collect()} == want
+    assert stored.count() == 300                        # and stay
+
+
+def test_stored_columns_give_the_same_quantiles(spark):
+    df = materialise(spark.range(500).select((F.col("id") * 37 % 101).cast("double").alias("a"), F.col("id").cast("double").alias("b")), "quantile-test")
+    assert ordering.quantiles(df, ["a", "b"], [0.1, 0.5], stored=True) == ordering.quantiles(df, ["a", "b"], [0.1, 0.5])
+    assert df.count() == 500
