@@ -14,7 +14,7 @@ from riskweave.plans import search as SE
 from riskweave.sources import io as IO
 from riskweave.streaming import monitoring as MO
 from riskweave.operators import ordering
-from riskweave.sources.scratch import materialise
+from riskweave.sources.scratch import materialise, stored_columns
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -146,6 +146,8 @@ def test_shares_of_many_columns_are_counted_in_place(spark, monkeypatch):
     monkeypatch.setattr(ordering, "materialise", None)  # the stored columns are not written again
     got = D.fit_reference(stored, cols, stored=True)
     assert {(r["feature"], r["bin"]): r["expected_pct"] for r in got.expected.collect()} == want
+    again = D.fit_reference(stored_columns(stored, cols), cols)
+    assert {(r["feature"], r["bin"]): r["expected_pct"] for r in again.expected.collect()} == want
     assert stored.count() == 300                        # and stay
 
 
